@@ -2,9 +2,12 @@
 
 A handful of addresses (the dashboards' case) become an ``IN`` predicate that
 Spark pushes into the Parquet scan. A watchlist *table* (sanctions lists,
-clustered wallets) is joined instead: broadcast when its row count is below
-a checked limit, otherwise a shuffle join that AQE can split when one
-address is hot.
+clustered wallets) is joined instead. No broadcast hint is forced: Spark
+broadcasts the watchlist side only when its size estimate (and, under AQE,
+its measured size) is below ``spark.sql.autoBroadcastJoinThreshold``, and
+otherwise plans a shuffle join whose hot partitions AQE can split. Several
+watchlists checked against the same column share one join: they are merged
+into one table of ``(address, flag…)`` first.
 """
 
 from __future__ import annotations
@@ -14,10 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import any_equal
 
-# Rows a watchlist table may have and still be broadcast (one binary
-# address is ~40 bytes in memory, so 1M rows stay far below 100 MB).
-MAX_BROADCAST_WATCHLIST_ROWS = 1_000_000
-
 _counter = [0]
 
 
@@ -35,21 +34,48 @@ def as_values(watch) -> list | None:
     return [watch]
 
 
-def flag_member(df: DataFrame, col: str, watch, flag: str,
-                max_broadcast_rows: int = MAX_BROADCAST_WATCHLIST_ROWS) -> DataFrame:
+def flag_members(df: DataFrame, col: str, watches: dict[str, object]) -> DataFrame:
+    """Add one boolean column per entry of ``watches`` (flag name ->
+    watchlist): ``df[col]`` is on that watchlist. NULL addresses are never
+    members."""
+    out = df
+    tables = {}
+    for flag, watch in watches.items():
+        values = as_values(watch)
+        if values is not None:
+            out = out.withColumn(flag, F.coalesce(any_equal(col, values), F.lit(False)))
+        else:
+            tables[flag] = watch
+    if not tables:
+        return out
+    key = _fresh("wkey")
+    parts = []
+    for flag, watch in tables.items():
+        parts.append(watch.select(F.col(watch.columns[0]).alias(key),
+                                  *[F.lit(f == flag).alias(f) for f in tables]))
+    merged = parts[0]
+    for p in parts[1:]:
+        merged = merged.unionByName(p)
+    merged = (merged.where(F.col(key).isNotNull()).groupBy(key)
+              .agg(*[F.max(f).alias(f) for f in tables]))
+    joined = out.join(merged, out[col] == merged[key], "left")
+    return joined.select(*[c for c in out.columns],
+                         *[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in tables])
+
+
+def flag_member(df: DataFrame, col: str, watch, flag: str) -> DataFrame:
     """Add boolean ``flag`` = ``df[col]`` is on the watchlist."""
+    return flag_members(df, col, {flag: watch})
+
+
+def either_side(df: DataFrame, cols: tuple[str, str], watch) -> DataFrame:
+    """FIL-11: keep rows where either address column is on the watchlist."""
     values = as_values(watch)
     if values is not None:
-        return df.withColumn(flag, F.coalesce(any_equal(col, values), F.lit(False)))
-    key = _fresh("wkey")
-    hit = _fresh("whit")
-    table = (watch.select(F.col(watch.columns[0]).alias(key))
-             .where(F.col(key).isNotNull()).dropDuplicates([key])
-             .withColumn(hit, F.lit(True)))
-    if table.count() <= max_broadcast_rows:
-        table = F.broadcast(table)
-    joined = df.join(table, df[col] == table[key], "left")
-    return joined.withColumn(flag, F.col(hit).isNotNull()).drop(key, hit)
+        return df.where(any_equal(cols[0], values) | any_equal(cols[1], values))
+    f0, f1 = _fresh("side"), _fresh("side")
+    tagged = flag_member(flag_member(df, cols[0], watch, f0), cols[1], watch, f1)
+    return tagged.where(F.col(f0) | F.col(f1)).drop(f0, f1)
 
 
 def member_condition(df: DataFrame, col: str, watch) -> tuple[DataFrame, Column]:
@@ -59,14 +85,3 @@ def member_condition(df: DataFrame, col: str, watch) -> tuple[DataFrame, Column]
         return df, any_equal(col, values)
     flag = _fresh("wflag")
     return flag_member(df, col, watch, flag), F.col(flag)
-
-
-def either_side(df: DataFrame, cols: tuple[str, str], watch) -> DataFrame:
-    """FIL-11: keep rows where either address column is on the watchlist."""
-    values = as_values(watch)
-    if values is not None:
-        return df.where(any_equal(cols[0], values) | any_equal(cols[1], values))
-    df1, c1 = member_condition(df, cols[0], watch)
-    df2, c2 = member_condition(df1, cols[1], watch)
-    flags = [c for c in df2.columns if c not in df.columns]
-    return df2.where(c1 | c2).drop(*flags)

@@ -12,7 +12,19 @@ fixed window), and it is the wrong plan for raw event rows.
     the plain window. Use only when the input size has a proven bound
     (e.g. one row per hour of a fixed time range).
 
-``"ranged"`` (default for unbounded inputs)
+``"auto"`` (default)
+    the plain window when Catalyst's size estimate of the input (the same
+    statistic ``spark.sql.autoBroadcastJoinThreshold`` is checked against;
+    without column statistics a filter never lowers it and a join
+    multiplies it) is at most ``spark.flowtrace.window.singleTaskMaxBytes``
+    (default 32 MiB of estimated input, Parquet bytes for a scan).
+    Otherwise the input is checkpointed once (one evaluation of whatever
+    joins and filters produce it) and counted exactly: at most
+    ``spark.flowtrace.window.singleTaskMaxRows`` rows (default 1M) take
+    the plain window, more take ``"ranged"``, whose range sampling then
+    re-reads the checkpoint instead of re-running the upstream plan.
+
+``"ranged"`` (for unbounded inputs)
     1. ``repartitionByRange`` on ``(partition keys, order keys)``: the
        sampled range bounds split even a hot key range into many tasks,
        and equal keys always land in the same range, so RANGE-frame peers
@@ -40,6 +52,24 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage, shuffle_partitions
 
 RANGE_ID = "__ft_range"
+SINGLE_TASK_CONF = "spark.flowtrace.window.singleTaskMaxBytes"
+SINGLE_TASK_DEFAULT = 32 * 1024 * 1024
+SINGLE_TASK_ROWS_CONF = "spark.flowtrace.window.singleTaskMaxRows"
+SINGLE_TASK_ROWS_DEFAULT = 1_000_000
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (None when unavailable)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # pragma: no cover - e.g. Spark Connect sessions
+        return None
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    limit = int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_DEFAULT)))
+    size = estimated_bytes(df)
+    return size is not None and size <= limit
 
 
 def _sort_keys(cols: Sequence[str]) -> list[Column]:
@@ -85,15 +115,23 @@ def running_sum(out: str, value, frame: str = "range") -> Measure:
 
 
 def ordered_measures(df: DataFrame, order_by: Sequence[str], measures: Sequence[Measure],
-                     partition_by: Sequence[str] = (), strategy: str = "ranged",
+                     partition_by: Sequence[str] = (), strategy: str = "auto",
                      num_ranges: int | None = None) -> DataFrame:
     """Add sequence numbers / running totals ordered by ``order_by``.
 
     Results equal the plain SQL window with the default frame; see the module
-    docstring for the two strategies.
+    docstring for the strategies.
     """
     order_by = list(order_by)
     partition_by = list(partition_by)
+    if strategy == "auto":
+        if fits_one_task(df):
+            strategy = "window"
+        else:
+            df = cut_lineage(df)
+            limit = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF,
+                                                 str(SINGLE_TASK_ROWS_DEFAULT)))
+            strategy = "window" if df.count() <= limit else "ranged"
     if strategy == "window":
         spec = Window.partitionBy(*partition_by).orderBy(*_sort_keys(order_by))
         return df.select("*", *[m.window_expr(spec).alias(m.out) for m in measures])
@@ -162,7 +200,7 @@ def _ranged(df: DataFrame, order_by: list[str], measures: Sequence[Measure],
 
 def running_total(df: DataFrame, value, out: str, order_by: Sequence[str],
                   partition_by: Sequence[str] = (), frame: str = "range",
-                  strategy: str = "ranged", num_ranges: int | None = None) -> DataFrame:
+                  strategy: str = "auto", num_ranges: int | None = None) -> DataFrame:
     """OP-13: cumulative series, optionally per partition key."""
     return ordered_measures(df, order_by, [running_sum(out, value, frame)],
                             partition_by=partition_by, strategy=strategy,
@@ -170,7 +208,7 @@ def running_total(df: DataFrame, value, out: str, order_by: Sequence[str],
 
 
 def sequence_rows(df: DataFrame, out: str, order_by: Sequence[str],
-                  partition_by: Sequence[str] = (), strategy: str = "ranged",
+                  partition_by: Sequence[str] = (), strategy: str = "auto",
                   num_ranges: int | None = None) -> DataFrame:
     """WIN-1: 1-based position in ``order_by`` order (bigint)."""
     return ordered_measures(df, order_by, [row_number(out)], partition_by=partition_by,

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import window_predicate
 from ..functions.scalars import lit_number, scale_units
-from .membership import as_values, either_side, flag_member
+from .membership import as_values, either_side, flag_members
 from .ordered import ordered_measures, row_number, running_sum
 
 
@@ -78,7 +78,7 @@ def above(df: DataFrame, amount: str, minimum) -> DataFrame:
 def hop_log(df: DataFrame, min_amount, *, amount: str = "amount",
             order_by: Sequence[str] = ("block_time", "tx_hash"),
             seq_out: str = "hop_sequence", cum_out: str = "cumulative_amount",
-            strategy: str = "ranged", num_ranges: int | None = None) -> DataFrame:
+            strategy: str = "auto", num_ranges: int | None = None) -> DataFrame:
     """OP-3: keep transfers above ``min_amount``, number them in time order
     and keep a running total of the amount.
 
@@ -120,22 +120,18 @@ def classify_role(df: DataFrame, origin, suspect, labels: Sequence[str], *,
     ``origin`` and ``suspect`` may be single addresses, lists, or one-column
     watchlist tables.
     """
-    work = df
-    flags = []
-    for name, col, watch in (("o_s", sender, origin), ("s_r", receiver, suspect),
-                             ("s_s", sender, suspect)):
-        flag = f"__ft_role_{name}"
-        work = flag_member(work, col, watch, flag)
-        flags.append(flag)
-    role = (F.when(F.col(flags[0]) & F.col(flags[1]), F.lit(labels[0]))
-             .when(F.col(flags[2]), F.lit(labels[1]))
+    s_origin, s_suspect, r_suspect = "__ft_s_origin", "__ft_s_suspect", "__ft_r_suspect"
+    work = flag_members(df, sender, {s_origin: origin, s_suspect: suspect})
+    work = flag_members(work, receiver, {r_suspect: suspect})
+    role = (F.when(F.col(s_origin) & F.col(r_suspect), F.lit(labels[0]))
+             .when(F.col(s_suspect), F.lit(labels[1]))
              .otherwise(F.lit(labels[2])))
-    return work.withColumn(out, role).drop(*flags)
+    return work.withColumn(out, role).drop(s_origin, s_suspect, r_suspect)
 
 
 def drain_progress(df: DataFrame, role_col: str, exploit_label: str, *,
                    amount: str = "amount", order_by: Sequence[str] = ("block_time", "tx_hash"),
-                   out: str = "cumulative_drained", strategy: str = "ranged",
+                   out: str = "cumulative_drained", strategy: str = "auto",
                    num_ranges: int | None = None) -> DataFrame:
     """OP-6: running total of exploit rows only, shown on every row.
 

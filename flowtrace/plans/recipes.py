@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from ..functions.predicates import between_closed, partition_bound, window_predicate
 from ..functions.scalars import hex_0x, hex_upper, lit_number, round_scaled, shorten
 from ..operators import channels, graph, series, transfers
-from ..operators.membership import as_values
+from ..operators.membership import as_values, member_condition
+from ..session import cut_lineage
 from . import constants as K
 
 
@@ -45,7 +46,7 @@ def display(df: DataFrame, labels: dict[str, str]) -> DataFrame:
 def inception_hop_log(rseth_transfers: DataFrame, *, dates=K.HOP_LOG_DATES,
                       min_amount=K.HOP_MIN_RSETH, price=K.RSETH_PRICE_HOP_LOG,
                       bounds=K.SEVERITY_BOUNDS, labels=K.SEVERITY_LABELS,
-                      decimals: int = 18, exact: bool = False, strategy: str = "ranged",
+                      decimals: int = 18, exact: bool = False, strategy: str = "auto",
                       sort: bool = True) -> DataFrame:
     """Transfers above ``min_amount`` in a closed date window, numbered in
     time order with a severity tier and a running total.
@@ -100,7 +101,7 @@ def bridge_drain(erc20_transfers: DataFrame, *, contract=K.RSETH_ERC20,
                  origin=K.KELP_BRIDGE_ORIGIN, suspect=K.ATTACKER_WALLET,
                  window=K.BRIDGE_DRAIN_WINDOW, price=K.RSETH_PRICE_BRIDGE_DRAIN,
                  labels=K.ROLE_LABELS, decimals: int = 18, exact: bool = False,
-                 strategy: str = "ranged", sort: bool = True) -> DataFrame:
+                 strategy: str = "auto", sort: bool = True) -> DataFrame:
     """Transfers of one token touching the bridge or the attacker in a
     half-open time window, with a role and the running total drained by
     exploit rows (peers on ``(block_time, tx_hash)`` share a total).
@@ -235,22 +236,29 @@ def arbitrum_intervention(txs: DataFrame, *, council=K.ARBITRUM_SECURITY_COUNCIL
 
     Source columns: ``block_time, block_number, hash, from, to, value,
     block_date, success`` (partitioned by ``block_date``)."""
-    def canon(df):
-        return transfers.normalize_transfers(
-            df, tx_hash="hash", block_time="block_time", block_number="block_number",
-            sender="from", receiver="to", value="value", block_date="block_date",
-            decimals=decimals, exact=exact)
-
-    c_scope = txs.where(between_closed("block_date", *council_dates))
-    c_scope = transfers.watchlist_transfers(c_scope, [council, executor],
-                                            sender="from", receiver="to")
-    c_scope = c_scope.where(F.col("success") == F.lit(True))
-    council_rows = transfers.above(canon(c_scope), "amount", council_min)
-    council_rows = transfers.flow_direction(council_rows, council, labels)
-    r_scope = txs.where(between_closed("block_date", *route_dates)
-                        & (F.col("success") == F.lit(True)))
-    route_rows = transfers.above(canon(r_scope), "amount", route_min) \
-        .withColumn("flow_direction", F.lit(route_label))
+    # One pass over the table for both legs (the dashboard scans it twice):
+    # rows of either leg are selected together, tagged, and checkpointed, so
+    # the two legs and the NOT IN check read a small materialised subset
+    # instead of re-scanning (and, on a partitioned table, re-pruning).
+    c_win = between_closed("block_date", *council_dates)
+    r_win = between_closed("block_date", *route_dates)
+    watch = [council, executor]
+    scoped = txs.where((F.col("success") == F.lit(True)) & (c_win | r_win))
+    scoped, watched_from = member_condition(scoped, "from", watch)
+    scoped, watched_to = member_condition(scoped, "to", watch)
+    scoped = scoped.withColumn("__in_council", c_win & (watched_from | watched_to)) \
+                   .withColumn("__in_route", r_win)
+    canon = transfers.normalize_transfers(
+        scoped, tx_hash="hash", block_time="block_time", block_number="block_number",
+        sender="from", receiver="to", value="value", block_date="block_date",
+        decimals=decimals, exact=exact, extra=["__in_council", "__in_route"])
+    canon = canon.withColumn("__in_council", F.col("__in_council")
+                             & (F.col("amount") > F.lit(council_min))) \
+                 .withColumn("__in_route", F.col("__in_route")
+                             & (F.col("amount") > F.lit(route_min)))
+    legs = cut_lineage(canon.where(F.col("__in_council") | F.col("__in_route")))
+    council_rows = transfers.flow_direction(legs.where(F.col("__in_council")), council, labels)
+    route_rows = legs.where(F.col("__in_route")).withColumn("flow_direction", F.lit(route_label))
     cols = ["block_time", "block_number", "tx_hash", "sender", "receiver", "amount",
             "flow_direction"]
     moves = transfers.merge_without_duplicates(council_rows.select(*cols),
