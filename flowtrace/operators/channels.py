@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import window_predicate
 from ..functions.scalars import bytes_to_bigint, lit_number, round_scaled, scale_units
 from .series import bucket_column
+from .transfers import raw_floor
 
 
 def large_swaps(df: DataFrame, *, from_pattern: str, to_pattern: str, min_usd,
@@ -91,6 +92,7 @@ def native_value_proxy(txs: DataFrame, *, min_units, price, decimals: int = 6,
     units = scale_units(value, decimals, exact=exact, raw_precision=20)
     kept = txs.where(window_predicate(date_col, start, end)
                      & (F.col(success) == F.lit(True))
+                     & raw_floor(value, min_units, decimals, exact)
                      & (units > F.lit(min_units)))
     return (kept.select(F.col(date_col).alias(bucket),
                         (units * lit_number(price, exact)).alias("_usd"))

@@ -11,6 +11,7 @@ raw_value, amount, usd``
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import ROUND_FLOOR, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,24 @@ def above(df: DataFrame, amount: str, minimum) -> DataFrame:
     return df.where(F.col(amount) > F.lit(minimum))
 
 
+def raw_floor(raw: str, minimum, decimals: int, exact: bool = False) -> Column:
+    """O3: the raw-unit predicate implied by ``raw / 10^decimals > minimum``.
+
+    ``CAST(raw AS DOUBLE) / 1e18 > m`` reaches the Parquet scan only as
+    ``IsNotNull``; a comparison of the raw ``decimal(38,0)`` column with a
+    literal of the same type is pushed as ``GreaterThan`` and lets row groups
+    be skipped on their min/max statistics. In exact mode the predicate is
+    equivalent; in double mode it is a slightly wider superset (the bound is
+    lowered by a relative 1e-9, far beyond double rounding), and the exact
+    double predicate still runs after it.
+    """
+    bound = Decimal(str(minimum)).scaleb(decimals)
+    if not exact:
+        bound = bound * (1 - Decimal("1e-9"))
+    bound = bound.to_integral_value(rounding=ROUND_FLOOR)
+    return F.col(raw) > F.lit(bound).cast("decimal(38,0)")
+
+
 def hop_log(df: DataFrame, min_amount, *, amount: str = "amount",
             order_by: Sequence[str] = ("block_time", "tx_hash"),
             seq_out: str = "hop_sequence", cum_out: str = "cumulative_amount",

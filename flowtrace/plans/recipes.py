@@ -53,7 +53,8 @@ def inception_hop_log(rseth_transfers: DataFrame, *, dates=K.HOP_LOG_DATES,
 
     Source columns: ``evt_tx_hash, evt_block_time, evt_block_number, from,
     to, value, evt_block_date`` (partitioned by ``evt_block_date``)."""
-    scoped = rseth_transfers.where(between_closed("evt_block_date", *dates))
+    scoped = rseth_transfers.where(between_closed("evt_block_date", *dates)
+                                   & transfers.raw_floor("value", min_amount, decimals, exact))
     canon = transfers.normalize_transfers(
         scoped, tx_hash="evt_tx_hash", block_time="evt_block_time",
         block_number="evt_block_number", sender="from", receiver="to", value="value",
@@ -243,7 +244,9 @@ def arbitrum_intervention(txs: DataFrame, *, council=K.ARBITRUM_SECURITY_COUNCIL
     c_win = between_closed("block_date", *council_dates)
     r_win = between_closed("block_date", *route_dates)
     watch = [council, executor]
-    scoped = txs.where((F.col("success") == F.lit(True)) & (c_win | r_win))
+    scoped = txs.where((F.col("success") == F.lit(True)) & (c_win | r_win)
+                       & transfers.raw_floor("value", min(council_min, route_min), decimals,
+                                             exact))
     scoped, watched_from = member_condition(scoped, "from", watch)
     scoped, watched_to = member_condition(scoped, "to", watch)
     scoped = scoped.withColumn("__in_council", c_win & (watched_from | watched_to)) \

@@ -46,6 +46,16 @@ def test_partition_pruning_and_pushdown(spark, scratch):
     assert out.count() > 0
 
 
+def test_raw_threshold_reaches_the_scan(spark, scratch):
+    from flowtrace.operators.transfers import raw_floor
+    path = f"{scratch}/tron_transactions"
+    write_chain_table(B.tron_transactions(spark, SF_SMALL), path, "tron_transactions")
+    txs = read_chain_table(spark, "tron_transactions", path)
+    for exact in (True, False):
+        text = plan_text(txs.where(raw_floor("value", 50000, 6, exact)))
+        assert "PushedFilters: [IsNotNull(value), GreaterThan(value," in text
+
+
 def test_hourly_series_preaggregates_before_shuffle(spark):
     df = entry.queries()["hourly_legs"](spark, SF_SMALL)
     text = plan_text(df)
