@@ -1,9 +1,9 @@
 """Flow-graph accounting (OP-19, OP-20, RD-1, RD-2).
 
-An edge table is ``(source_node, target_node, value)``. Node accounting is
-two partial/final aggregates (one per direction) combined with a union, so
-a node with a third of all edges still costs one pre-aggregated row per
-task.
+An edge table is ``(source_node, target_node, value)``. Node accounting
+emits both ends of every edge in one pass and aggregates once (partial
+aggregation before the shuffle), so a node with a third of all edges still
+costs one pre-aggregated row per task.
 """
 
 from __future__ import annotations
@@ -46,24 +46,36 @@ def flow_edges(edges: DataFrame, *, value: str = "value", total=None,
     return edges.withColumn(out, pct)
 
 
+def _edge_ends(edges: DataFrame, value: str, fields) -> DataFrame:
+    """Two rows per edge (source end, target end) in one pass over the edge
+    table: an ``explode`` of a two-element array, not a union of two scans
+    (a union's branches prune columns differently, so Spark would evaluate
+    the edge table, and the joins behind it, twice)."""
+    v = F.col(value)
+    zero = F.lit(0).cast(edges.schema[value].dataType)
+    ends = F.array(
+        F.struct(F.col("source_node").alias("node"), *[f(v, zero, "out").alias(n)
+                                                       for n, f in fields]),
+        F.struct(F.col("target_node").alias("node"), *[f(v, zero, "in").alias(n)
+                                                       for n, f in fields]))
+    return edges.select(F.explode(ends).alias("_e")).select("_e.*")
+
+
 def node_totals(edges: DataFrame, value: str = "value", out: str = "total") -> DataFrame:
     """OP-20: one row per (node, direction) with the summed edge value;
     direction is ``out`` for outgoing and ``in`` for incoming edges."""
-    outgoing = (edges.groupBy(F.col("source_node").alias("node"))
-                .agg(F.sum(value).alias(out)).withColumn("direction", F.lit("out")))
-    incoming = (edges.groupBy(F.col("target_node").alias("node"))
-                .agg(F.sum(value).alias(out)).withColumn("direction", F.lit("in")))
-    return outgoing.unionByName(incoming).select("node", "direction", out)
+    ends = _edge_ends(edges, value, [("direction", lambda v, z, d: F.lit(d)),
+                                     ("_v", lambda v, z, d: v)])
+    return ends.groupBy("node", "direction").agg(F.sum("_v").alias(out))
 
 
 def node_balances(edges: DataFrame, value: str = "value") -> DataFrame:
     """Per node: total in, total out and balance = in - out."""
-    signed = (edges.select(F.col("source_node").alias("node"), (-F.col(value)).alias("_v"),
-                           F.lit(0).alias("_in"), F.col(value).alias("_out"))
-              .unionByName(edges.select(F.col("target_node").alias("node"),
-                                        F.col(value).alias("_v"), F.col(value).alias("_in"),
-                                        F.lit(0).alias("_out"))))
-    return (signed.groupBy("node")
+    ends = _edge_ends(edges, value, [
+        ("_in", lambda v, z, d: v if d == "in" else z),
+        ("_out", lambda v, z, d: v if d == "out" else z),
+        ("_v", lambda v, z, d: v if d == "in" else -v)])
+    return (ends.groupBy("node")
             .agg(F.sum("_in").alias("total_in"), F.sum("_out").alias("total_out"),
                  F.sum("_v").alias("balance")))
 

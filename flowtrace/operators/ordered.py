@@ -25,6 +25,9 @@ fixed window), and it is the wrong plan for raw event rows.
     re-reads the checkpoint instead of re-running the upstream plan.
 
 ``"ranged"`` (for unbounded inputs)
+    RANGE-frame running sums first pre-aggregate peer groups (see
+    ``_ranged_peer_sums``); everything else runs on rows:
+
     1. ``repartitionByRange`` on ``(partition keys, order keys)``: the
        sampled range bounds split even a hot key range into many tasks,
        and equal keys always land in the same range, so RANGE-frame peers
@@ -52,6 +55,7 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage, shuffle_partitions
 
 RANGE_ID = "__ft_range"
+ROW_ID = "__ft_row"
 SINGLE_TASK_CONF = "spark.flowtrace.window.singleTaskMaxBytes"
 SINGLE_TASK_DEFAULT = 32 * 1024 * 1024
 SINGLE_TASK_ROWS_CONF = "spark.flowtrace.window.singleTaskMaxRows"
@@ -142,8 +146,58 @@ def ordered_measures(df: DataFrame, order_by: Sequence[str], measures: Sequence[
 
 def _ranged(df: DataFrame, order_by: list[str], measures: Sequence[Measure],
             partition_by: list[str], num_ranges: int | None) -> DataFrame:
+    if measures and all(m.kind == "sum" and m.frame == "range" for m in measures):
+        return _ranged_peer_sums(df, order_by, measures, partition_by, num_ranges)
+    return _ranged_rows(df, order_by, measures, partition_by, num_ranges)
+
+
+def _ranged_peer_sums(df: DataFrame, order_by: list[str], measures: Sequence[Measure],
+                      partition_by: list[str], num_ranges: int | None) -> DataFrame:
+    """RANGE-frame running sums when peer groups may be huge.
+
+    Rows with equal (partition, order) keys share one total, so the range
+    partitioner would have to keep a peer group in one task. Instead the
+    peers are pre-aggregated first (partial aggregation splits a hot group
+    across tasks), the running total runs over the distinct keys (unique,
+    so the ranges split evenly; ROWS frame equals RANGE there), and the
+    totals are joined back on the keys (a shuffle join that AQE can split
+    when one key is hot, or a broadcast when the key table is small).
+    """
+    keys = partition_by + order_by
+    sums = [F.sum(m.value).alias(f"__ft_peer{i}") for i, m in enumerate(measures)]
+    peers = df.groupBy(*keys).agg(*sums)
+    running = _ranged_rows(peers, order_by,
+                           [running_sum(f"__ft_cum{i}", f"__ft_peer{i}", frame="rows")
+                            for i in range(len(measures))],
+                           partition_by, num_ranges)
+    plain = df.select("*", *[m.window_expr(Window.partitionBy(*partition_by)
+                                           .orderBy(*_sort_keys(order_by))).alias(m.out)
+                             for m in measures]).schema
+    right = running.select(*[F.col(k).alias(f"__ft_k{j}") for j, k in enumerate(keys)],
+                           *[F.col(f"__ft_cum{i}") for i in range(len(measures))])
+    cond = None
+    for j, k in enumerate(keys):
+        c = df[k].eqNullSafe(right[f"__ft_k{j}"])
+        cond = c if cond is None else cond & c
+    joined = df.join(right, cond, "left")
+    return joined.select(*[df[c] for c in df.columns], *[
+        F.col(f"__ft_cum{i}").cast(plain[m.out].dataType).alias(m.out)
+        for i, m in enumerate(measures)])
+
+
+def _ranged_rows(df: DataFrame, order_by: list[str], measures: Sequence[Measure],
+                 partition_by: list[str], num_ranges: int | None) -> DataFrame:
     spark = df.sparkSession
     n = num_ranges or shuffle_partitions(spark)
+    source_cols = df.columns
+    # Rows with equal keys are in arbitrary order for ROW_NUMBER and a ROWS
+    # frame, so a unique row id as the last key changes no result but lets
+    # the range partitioner split any group of equal keys, however hot.
+    # (Not when a RANGE-frame sum is among the measures: its peers must
+    # stay equal.)
+    if not any(m.kind == "sum" and m.frame == "range" for m in measures):
+        df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+        order_by = order_by + [ROW_ID]
     keys = partition_by + order_by
 
     ranged = (df.repartitionByRange(n, *_sort_keys(keys))
@@ -194,8 +248,7 @@ def _ranged(df: DataFrame, order_by: list[str], measures: Sequence[Measure],
             value = F.when(local.isNull() & offset.isNull(), F.lit(None)).otherwise(
                 F.coalesce(local, F.lit(0)) + F.coalesce(offset, F.lit(0)))
         out_cols.append(value.cast(plain_types[i]).alias(m.out))
-    keep = [c for c in df.columns]
-    return joined.select(*[F.col(c) for c in keep], *out_cols)
+    return joined.select(*[F.col(c) for c in source_cols], *out_cols)
 
 
 def running_total(df: DataFrame, value, out: str, order_by: Sequence[str],

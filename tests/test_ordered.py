@@ -60,3 +60,14 @@ def test_property_ranged_equals_window(spark, data):
         b = ordered_measures(df, ["t"], [running_sum("c", "v")], partition_by=part,
                              strategy="ranged", num_ranges=3)
         assert _same(a, b)
+
+
+def test_mixed_row_number_and_range_sum(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
+        "l_orderkey", "l_shipdate", F.col("l_quantity").cast("decimal(10,2)").alias("q"))
+    ms = [running_sum("c", "q"), row_number("rn")]
+    a = ordered_measures(li, ["l_shipdate"], ms, strategy="window")
+    b = ordered_measures(li, ["l_shipdate"], ms, strategy="ranged", num_ranges=4)
+    # row numbers among equal ship dates are arbitrary; the RANGE sum is not
+    assert _same(a.drop("rn"), b.drop("rn"))
+    assert sorted(r.rn for r in b.collect()) == list(range(1, li.count() + 1))
