@@ -266,3 +266,16 @@ def sequence_rows(df: DataFrame, out: str, order_by: Sequence[str],
     """WIN-1: 1-based position in ``order_by`` order (bigint)."""
     return ordered_measures(df, order_by, [row_number(out)], partition_by=partition_by,
                             strategy=strategy, num_ranges=num_ranges)
+
+
+def sorted_result(df: DataFrame, *cols: str) -> DataFrame:
+    """SRT-1/2: final ascending sort, NULLS LAST as in the dashboards' engine.
+
+    A result whose size estimate fits one task (see ``fits_one_task``) is
+    sorted in one partition, which skips the range-sampling job of a global
+    sort; anything larger gets the distributed ``orderBy``.
+    """
+    keys = _sort_keys(cols)
+    if fits_one_task(df):
+        return df.coalesce(1).sortWithinPartitions(*keys)
+    return df.orderBy(*keys)

@@ -25,6 +25,7 @@ from ..functions.predicates import between_closed, partition_bound, window_predi
 from ..functions.scalars import hex_0x, hex_upper, lit_number, round_scaled, shorten
 from ..operators import channels, graph, series, transfers
 from ..operators.membership import as_values, member_condition
+from ..operators.ordered import sorted_result
 from ..session import cut_lineage
 from . import constants as K
 
@@ -71,7 +72,7 @@ def inception_hop_log(rseth_transfers: DataFrame, *, dates=K.HOP_LOG_DATES,
         _final(round_scaled("usd", 6, 3, exact), exact).alias("usd_value_m"),
         _final(F.round("_cum", 2), exact).alias("cumulative_rseth_drained"),
         F.col("transfer_type").alias("classification"))
-    return out.orderBy("hop_sequence") if sort else out
+    return sorted_result(out, "hop_sequence") if sort else out
 
 
 HOP_LOG_LABELS = {
@@ -133,7 +134,7 @@ def bridge_drain(erc20_transfers: DataFrame, *, contract=K.RSETH_ERC20,
         _final(F.round("_cum", 2), exact).alias("cumulative_drained_rseth"))
     # Sorted by the running total's own order (the dashboard sorts by time
     # only, which leaves rows of one block in arbitrary order).
-    return out.orderBy("block_time", "tx_hash_full") if sort else out
+    return sorted_result(out, "block_time", "tx_hash_full") if sort else out
 
 
 # --------------------------------------------------------------------------
@@ -185,7 +186,7 @@ def aave_contagion(supply: DataFrame, borrow: DataFrame, *, window=K.CONTAGION_W
         _final(round_scaled("eth_borrowed_usd", 6, 3, exact), exact)
         .alias("eth_borrow_usd_m"),
         _final(F.round("_cum", 2), exact).alias("cumul_eth_borrowed"))
-    return out.orderBy("hour_bucket") if sort else out
+    return sorted_result(out, "hour_bucket") if sort else out
 
 
 # --------------------------------------------------------------------------
@@ -216,7 +217,7 @@ def aave_tvl_drop(supply: DataFrame, borrow: DataFrame, *, window=K.TVL_WINDOW,
         .alias("net_borrow_change_b"),
         _final(round_scaled("_cum", 9, 3, exact), exact).alias("cumulative_net_supply_b"),
         "period_flag")
-    return out.orderBy("day_bucket") if sort else out
+    return sorted_result(out, "day_bucket") if sort else out
 
 
 # --------------------------------------------------------------------------
@@ -282,7 +283,7 @@ def arbitrum_intervention(txs: DataFrame, *, council=K.ARBITRUM_SECURITY_COUNCIL
         _final(F.col("eth_volume"), exact).alias("eth_volume"),
         _final(F.col("usd_volume_m"), exact).alias("usd_volume_m"),
         _final(F.round("_cum", 4), exact).alias("cumulative_eth"))
-    return out.orderBy("hour_bucket", "flow_type") if sort else out
+    return sorted_result(out, "hour_bucket", "flow_type") if sort else out
 
 
 # --------------------------------------------------------------------------
@@ -344,7 +345,7 @@ def laundering_path(swaps: DataFrame, tron_logs: DataFrame, *,
         F.col("transfer_count").alias("tron_usdt_transfers"),
         _final(F.col("total_volume_m"), exact).alias("tron_usdt_volume_m"),
         _final(F.col("_tot"), exact).alias("total_laundered_m"))
-    return out.orderBy("day_bucket") if sort else out
+    return sorted_result(out, "day_bucket") if sort else out
 
 
 def laundering_path_v2(swaps: DataFrame, tron_txs: DataFrame, *,
@@ -370,7 +371,7 @@ def laundering_path_v2(swaps: DataFrame, tron_txs: DataFrame, *,
         F.col("tx_count").alias("tron_large_tx_count"),
         _final(F.col("value_usd_m"), exact).alias("tron_value_usd_m"),
         _final(F.col("_tot"), exact).alias("total_laundering_flow_m"))
-    return out.orderBy("day_bucket") if sort else out
+    return sorted_result(out, "day_bucket") if sort else out
 
 
 # --------------------------------------------------------------------------
@@ -398,4 +399,4 @@ def kill_chain_summary(edges: DataFrame, *, total=K.EXPLOIT_TOTAL_USD_M,
     """Edge table with each edge's percent of the exploit total."""
     out = graph.flow_edges(edges, value=value, total=total, out="pct_of_total")
     out = out.select("step", "source_node", "target_node", value, "notes", "pct_of_total")
-    return out.orderBy("step") if sort else out
+    return sorted_result(out, "step") if sort else out

@@ -22,6 +22,9 @@ SESSION_DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Remove checkpoint files once the DataFrame that wrote them is gone, so
+    # repeated runs do not pile up data in the shared checkpoint folder.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
