@@ -80,8 +80,8 @@ def dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _nation_watchlists(spark: SparkSession, sf_dir: str):
     p = PARAMS["bridge_drain"]
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    supplier = B._table(spark, sf_dir, "supplier")
+    customer = B._table(spark, sf_dir, "customer")
     origin = supplier.where(F.col("s_nationkey") == p["origin_nation"]) \
         .select(B.address("s_suppkey").alias("address"))
     suspect = customer.where(F.col("c_nationkey") == p["suspect_nation"]) \
