@@ -91,7 +91,22 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
     writer.save(path)
 
 
-def write_chain_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
+def write_chain_table(df: DataFrame, path: str, name: str, mode: str = "overwrite",
+                      max_records_per_file: int = 5_000_000) -> None:
     """Store a chain table partitioned by its date key so time windows prune
-    whole folders."""
-    write_result(df, path, mode=mode, partition_by=PARTITION_KEYS.get(name, ()))
+    whole folders.
+
+    The ``rebalance`` hint shuffles rows by the partition key so each date
+    folder gets few, large files; AQE then splits a hot date (say the
+    incident day holding a third of all rows) into several tasks and merges
+    small ones, so no single task writes a hot date alone.
+    ``max_records_per_file`` caps the file size within a task.
+    """
+    keys = PARTITION_KEYS.get(name, ())
+    if keys:
+        df = df.hint("rebalance", *keys)
+    writer = df.write.mode(mode).format("parquet").option(
+        "maxRecordsPerFile", str(max_records_per_file))
+    if keys:
+        writer = writer.partitionBy(*keys)
+    writer.save(path)

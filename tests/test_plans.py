@@ -60,3 +60,9 @@ def test_hourly_series_preaggregates_before_shuffle(spark):
     df = entry.queries()["hourly_legs"](spark, SF_SMALL)
     text = plan_text(df)
     assert "partial_sum" in text
+
+
+def test_partitioned_write_rebalances_by_date(spark, scratch):
+    df = B.tron_transactions(spark, SF_SMALL).hint("rebalance", "block_date")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in text
