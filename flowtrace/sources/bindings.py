@@ -211,17 +211,18 @@ def nation_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B6: money flowing from supplier nations to customer nations, one
     weighted edge per (supplier nation, customer nation), in USD millions."""
     lo = _lines_with_orders(spark, sf_dir)
+    supp = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    cust = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    # Dimensions are joined to their nation first (small x tiny), so every
-    # fact row goes through two dimension lookups instead of four.
-    supp = (_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "inner")
-            .select("s_suppkey", F.col("n_name").alias("source_node")))
-    cust = (_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "inner")
-            .select("c_custkey", F.col("n_name").alias("target_node")))
+    sn = nation.select(F.col("n_nationkey").alias("sn_key"), F.col("n_name").alias("source_node"))
+    cn = nation.select(F.col("n_nationkey").alias("cn_key"), F.col("n_name").alias("target_node"))
+    # Joined one dimension at a time onto the fact rows: each dimension scan
+    # is small enough to broadcast on its own, while a pre-joined dimension
+    # pair would be estimated (size product) above the broadcast threshold.
     flows = (lo.join(supp, lo.l_suppkey == supp.s_suppkey, "inner")
-               .join(cust, lo.o_custkey == cust.c_custkey, "inner"))
+               .join(cust, lo.o_custkey == cust.c_custkey, "inner")
+               .join(sn, F.col("s_nationkey") == F.col("sn_key"), "inner")
+               .join(cn, F.col("c_nationkey") == F.col("cn_key"), "inner"))
     return (flows.groupBy("source_node", "target_node")
             .agg((F.sum(cents("l_extendedprice")) * F.lit(Decimal("0.000001")))
                  .alias("value_usd_m")))
