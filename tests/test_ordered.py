@@ -71,3 +71,32 @@ def test_mixed_row_number_and_range_sum(spark):
     # row numbers among equal ship dates are arbitrary; the RANGE sum is not
     assert _same(a.drop("rn"), b.drop("rn"))
     assert sorted(r.rn for r in b.collect()) == list(range(1, li.count() + 1))
+
+
+def _skewed(spark, n=3000):
+    # A third of the rows share one (time, hash) key; the rest are distinct.
+    hot = [(dt.datetime(2026, 4, 18, 17, 37), b"\x01", Decimal(i % 7)) for i in range(n // 3)]
+    rest = [(dt.datetime(2026, 4, 18) + dt.timedelta(seconds=i), bytes([2 + i % 200]),
+             Decimal(i % 11)) for i in range(n - n // 3)]
+    return spark.createDataFrame(hot + rest, "t timestamp, h binary, v decimal(10,0)")
+
+
+def test_hot_key_results(spark):
+    df = _skewed(spark)
+    a = ordered_measures(df, ["t", "h"], [running_sum("c", "v")], strategy="window")
+    b = ordered_measures(df, ["t", "h"], [running_sum("c", "v")], strategy="ranged",
+                         num_ranges=8)
+    assert _same(a, b)
+    rn = ordered_measures(df, ["t", "h"], [row_number("rn"), running_sum("c", "v", "rows")],
+                          strategy="ranged", num_ranges=8)
+    assert sorted(r.rn for r in rn.collect()) == list(range(1, df.count() + 1))
+    last = rn.orderBy(F.col("rn").desc()).first()
+    assert last.c == df.agg(F.sum("v")).first()[0]
+
+
+def test_hot_key_is_split_across_ranges(spark):
+    from flowtrace.operators.ordered import ROW_ID
+    df = _skewed(spark).withColumn(ROW_ID, F.monotonically_increasing_id())
+    sizes = (df.repartitionByRange(8, "t", "h", ROW_ID)
+               .groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert max(r["count"] for r in sizes) < 0.25 * df.count()
