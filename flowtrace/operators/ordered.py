@@ -273,9 +273,12 @@ def sorted_result(df: DataFrame, *cols: str) -> DataFrame:
 
     A result whose size estimate fits one task (see ``fits_one_task``) is
     sorted in one partition, which skips the range-sampling job of a global
-    sort; anything larger gets the distributed ``orderBy``.
+    sort; anything larger gets the distributed ``orderBy`` with a unique
+    trailing key, so equal keys never pin one task.
     """
     keys = _sort_keys(cols)
     if fits_one_task(df):
         return df.coalesce(1).sortWithinPartitions(*keys)
-    return df.orderBy(*keys)
+    # Rows with equal sort keys may come in any order, so a unique trailing
+    # key changes nothing but lets the range partitioner split a hot key.
+    return df.orderBy(*keys, F.monotonically_increasing_id())

@@ -12,6 +12,13 @@ def test_sort_is_nulls_last(spark):
     assert [r.k for r in sorted_result(df, "k").collect()] == [1, 2, None]
     big = spark.range(5).selectExpr("CAST(NULL AS INT) AS k").union(df)
     assert [r.k for r in sorted_result(big, "k").collect()][:2] == [1, 2]
+    spark.conf.set("spark.flowtrace.window.singleTaskMaxBytes", "0")
+    try:  # the distributed path
+        out = sorted_result(big, "k")
+        assert "rangepartitioning" in out._jdf.queryExecution().executedPlan().toString()
+        assert [r.k for r in out.collect()] == [1, 2] + [None] * 6
+    finally:
+        spark.conf.unset("spark.flowtrace.window.singleTaskMaxBytes")
 
 
 def test_chain_table_round_trip_keeps_rows_and_prunes(spark, scratch):
