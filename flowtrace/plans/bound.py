@@ -19,7 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import findings, graph, series
+from ..functions.scalars import hex_0x, hex_upper, shorten
+from ..operators import findings, graph, series, transfers
 from ..sources import bindings as B
 from . import constants as K
 from . import recipes as R
@@ -76,6 +77,38 @@ def dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.dispersion(hops, "block_time")
 
 
+def severity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-2 on every transfer of the hop-log window (no threshold): rows,
+    volume and amount range per severity tier."""
+    p = PARAMS["hop_log"]
+    src = B.rseth_evt_transfer(spark, sf_dir)
+    canon = transfers.normalize_transfers(
+        transfers.in_window(src, "evt_block_date", *p["dates"], closed=True),
+        tx_hash="evt_tx_hash", block_time="evt_block_time", sender="from", receiver="to",
+        value="value", decimals=18, exact=True)
+    tiered = transfers.severity_tier(canon, "amount", p["bounds"], K.SEVERITY_LABELS)
+    out = tiered.groupBy("transfer_type").agg(
+        F.count(F.lit(1)).alias("transfers"), F.round(F.sum("amount"), 2).alias("volume"),
+        F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"))
+    return _doubles(out, {"volume", "min_amount", "max_amount"})
+
+
+def address_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-13…16, 18 on every ERC-20 transfer: hashes and addresses as
+    upper-case hex, ``0x`` lower-case hex and shortened forms."""
+    t = B.erc20_evt_transfer(spark, sf_dir)
+    return t.select(
+        "block_time",
+        hex_upper("tx_hash").alias("tx_hash_hex"),
+        hex_0x("tx_hash").alias("tx_hash_full"),
+        shorten(hex_0x("tx_hash"), 18).alias("tx_hash_short"),
+        hex_0x("from").alias("from_full"),
+        shorten(hex_0x("from"), 10).alias("from_addr"),
+        shorten(hex_0x("to"), 10).alias("to_addr"),
+        hex_upper("contract_address").alias("contract_hex"),
+        (F.col("from") == F.lit((7).to_bytes(B.ADDRESS_BYTES, "big"))).alias("from_watched"))
+
+
 # ---------------------------------------------------------------- Q1b -----
 
 def _nation_watchlists(spark: SparkSession, sf_dir: str):
@@ -235,6 +268,8 @@ def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hop_log": hop_log,
     "bridge_drain": bridge_drain,
+    "severity_profile": severity_profile,
+    "address_display": address_display,
     "hourly_legs": hourly_legs,
     "daily_net_flow": daily_net_flow,
     "intervention_hourly": intervention_hourly,
