@@ -175,8 +175,9 @@ def aave_contagion(supply: DataFrame, borrow: DataFrame, *, window=K.CONTAGION_W
         "eth_borrowed": F.sum("amount"), "eth_borrowed_usd": F.sum("amount_usd"),
         "borrow_tx_count": F.count(F.lit(1))}, bucket="hour_bucket")
     aligned = series.align_legs([s_h, b_h], "hour_bucket")
-    # One row per hour of a bounded window: the plain window is safe here.
-    cum = series.running_total(aligned, "eth_borrowed", "_cum", ["hour_bucket"])
+    # One row per hour of the window at most: a bound from the parameters.
+    cum = series.running_total(aligned, "eth_borrowed", "_cum", ["hour_bucket"],
+                               max_rows=series.buckets_in(window[0], window[1], "hour"))
     out = cum.select(
         "hour_bucket",
         _final(F.round("rseth_supplied", 2), exact).alias("rseth_supplied"),
@@ -207,7 +208,8 @@ def aave_tvl_drop(supply: DataFrame, borrow: DataFrame, *, window=K.TVL_WINDOW,
     b_d = series.net_flow(b, "block_time", "day", "transaction_type", "amount_usd",
                           "borrow", "repay", "net_borrow_usd", bucket="day_bucket")
     aligned = series.align_legs([s_d, b_d], "day_bucket")
-    cum = series.running_total(aligned, "net_supply_usd", "_cum", ["day_bucket"])
+    cum = series.running_total(aligned, "net_supply_usd", "_cum", ["day_bucket"],
+                               max_rows=series.buckets_in(window[0], window[1], "day"))
     flagged = series.period_flag(cum, "day_bucket", pivot, labels)
     out = flagged.select(
         "day_bucket",
@@ -275,9 +277,12 @@ def arbitrum_intervention(txs: DataFrame, *, council=K.ARBITRUM_SECURITY_COUNCIL
         F.round("_sum", 4).alias("eth_volume"),
         round_scaled(F.col("_sum") * lit_number(price, exact), 6, 3, exact)
         .alias("usd_volume_m"))
-    # Bounded: one row per (hour, flow type) of a fixed window.
+    # Bounded: one row per (bucket, flow type) of the two fixed windows.
+    span = series.buckets_in(min(council_dates[0], route_dates[0]),
+                             max(council_dates[1], route_dates[1]), unit)
     cum = series.running_total(hourly, "eth_volume", "_cum", ["hour_bucket"],
-                               partition_by=["flow_direction"])
+                               partition_by=["flow_direction"],
+                               max_rows=None if span is None else span * (len(labels) + 1))
     out = cum.select(
         "hour_bucket", F.col("flow_direction").alias("flow_type"), "tx_count",
         _final(F.col("eth_volume"), exact).alias("eth_volume"),
