@@ -51,24 +51,28 @@ _RELATIONS: dict[tuple, DataFrame] = {}
 FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A driver table, resolved once per session: the relation keeps its
     file listing and Parquet footer schema, so later queries over the same
     table skip both (as a catalog table would).
 
-    A fact table stored in fewer splits than the session has cores (the
-    test files are one Parquet row group each, so one scan task) is
-    hash-partitioned on its key once, which spreads the per-row work (joins,
-    address encoding, decimal arithmetic) over all cores and co-partitions
-    ``lineitem`` and ``orders`` on the order key. On a cluster table with
-    thousands of splits this is a no-op.
+    With ``spread=True`` (bindings that join or do heavy per-row work), a
+    fact table stored in fewer splits than the session has cores (the test
+    files are one Parquet row group each, so one scan task) is
+    hash-partitioned on its key once. That spreads the joins, address
+    encoding and decimal arithmetic over all cores and co-partitions
+    ``lineitem`` and ``orders`` on the order key; filters and column pruning
+    still reach the scan below the exchange. A plain scan-and-aggregate
+    binding does not spread (partial aggregation in the scan task is cheaper
+    than a shuffle), and on a cluster table with thousands of splits it is a
+    no-op either way.
     """
-    key = (spark.sparkContext.applicationId, id(spark), f"{sf_dir}/{name}.parquet")
+    key = (spark.sparkContext.applicationId, id(spark), f"{sf_dir}/{name}.parquet", spread)
     df = _RELATIONS.get(key)
     if df is None:
         df = spark.read.parquet(key[2])
         cores = spark.sparkContext.defaultParallelism
-        if name in FACT_KEYS and df.rdd.getNumPartitions() < cores:
+        if spread and name in FACT_KEYS and df.rdd.getNumPartitions() < cores:
             df = df.repartition(cores, FACT_KEYS[name])
         _RELATIONS[key] = df
     return df
@@ -93,7 +97,7 @@ def token_address(col: str):
 
 
 def rseth_evt_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _table(spark, sf_dir, "events")
+    ev = _table(spark, sf_dir, "events", spread=True)
     return ev.select(
         int_to_bytes(F.col("event_id"), HASH_BYTES).alias("evt_tx_hash"),
         F.col("ts").alias("evt_block_time"),
@@ -105,10 +109,10 @@ def rseth_evt_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _table(spark, sf_dir, "lineitem").select(
+    li = _table(spark, sf_dir, "lineitem", spread=True).select(
         "l_orderkey", "l_suppkey", "l_extendedprice", "l_linestatus", "l_returnflag",
         "l_shipdate")
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = _table(spark, sf_dir, "orders", spread=True).select("o_orderkey", "o_custkey")
     return li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
 
 
@@ -175,7 +179,7 @@ def lending_borrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def thorchain_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _table(spark, sf_dir, "lineitem").select(
+    li = _table(spark, sf_dir, "lineitem", spread=True).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_shipdate")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
