@@ -11,7 +11,7 @@ import datetime as dt
 from ..functions.scalars import hex_literal
 
 # --- fixed values: addresses (Ethereum, Arbitrum, Tron) -----------------------
-KELP_BRIDGE_ORIGIN = hex_literal("0x85d456B2DfF1fd8245387C0BfB64Dfb700e98Ef3")
+BRIDGE_ORIGIN = hex_literal("0x85d456B2DfF1fd8245387C0BfB64Dfb700e98Ef3")
 ATTACKER_WALLET = hex_literal("0x8B1b6c9A6DB1304000412dd21Ae6A70a82d60D3b")
 RSETH_ERC20 = hex_literal("0xa1290d69c65a6fe4df752f95823fae25cb99e5a7")
 ARBITRUM_SECURITY_COUNCIL = hex_literal("0x423552c0F05baCCac5Bfa91C6dCF1dc53a0A1641")

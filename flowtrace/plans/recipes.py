@@ -100,7 +100,7 @@ def _union_watch(a, b):
 
 
 def bridge_drain(erc20_transfers: DataFrame, *, contract=K.RSETH_ERC20,
-                 origin=K.KELP_BRIDGE_ORIGIN, suspect=K.ATTACKER_WALLET,
+                 origin=K.BRIDGE_ORIGIN, suspect=K.ATTACKER_WALLET,
                  window=K.BRIDGE_DRAIN_WINDOW, price=K.RSETH_PRICE_BRIDGE_DRAIN,
                  labels=K.ROLE_LABELS, decimals: int = 18, exact: bool = False,
                  strategy: str = "auto", sort: bool = True) -> DataFrame:

@@ -19,8 +19,8 @@ def ts(day, h, m=0):
 
 
 def test_inception_hop_log_defaults(spark):
-    rows = [(H[1], ts(18, 17, 30), 24908200, K.KELP_BRIDGE_ORIGIN, X, 50 * E18),
-            (H[2], ts(18, 17, 37), 24908285, K.KELP_BRIDGE_ORIGIN, K.ATTACKER_WALLET, 116500 * E18),
+    rows = [(H[1], ts(18, 17, 30), 24908200, K.BRIDGE_ORIGIN, X, 50 * E18),
+            (H[2], ts(18, 17, 37), 24908285, K.BRIDGE_ORIGIN, K.ATTACKER_WALLET, 116500 * E18),
             (H[3], ts(18, 17, 40), 24908300, K.ATTACKER_WALLET, X, 20000 * E18),
             (H[4], ts(18, 17, 45), 24908320, X, K.ATTACKER_WALLET, 5000 * E18),
             (H[5], ts(19, 1, 0), 24910000, X, X, 500 * E18),
@@ -39,13 +39,13 @@ def test_inception_hop_log_defaults(spark):
 
 def test_bridge_drain_defaults(spark):
     t0 = ts(18, 17, 0)
-    rows = [(t0, H[1], K.KELP_BRIDGE_ORIGIN, K.ATTACKER_WALLET, 100000 * E18, K.RSETH_ERC20),
-            (t0, H[1], K.KELP_BRIDGE_ORIGIN, K.ATTACKER_WALLET, 16500 * E18, K.RSETH_ERC20),
+    rows = [(t0, H[1], K.BRIDGE_ORIGIN, K.ATTACKER_WALLET, 100000 * E18, K.RSETH_ERC20),
+            (t0, H[1], K.BRIDGE_ORIGIN, K.ATTACKER_WALLET, 16500 * E18, K.RSETH_ERC20),
             (ts(18, 18), H[2], K.ATTACKER_WALLET, X, 1000 * E18, K.RSETH_ERC20),
-            (ts(18, 19), H[3], X, K.KELP_BRIDGE_ORIGIN, 1 * E18, K.RSETH_ERC20),
+            (ts(18, 19), H[3], X, K.BRIDGE_ORIGIN, 1 * E18, K.RSETH_ERC20),
             (ts(18, 19), H[4], X, X, 7 * E18, K.RSETH_ERC20),            # not watched
-            (ts(18, 20), H[5], K.KELP_BRIDGE_ORIGIN, K.ATTACKER_WALLET, E18, X),  # other token
-            (ts(19, 6), H[6], K.KELP_BRIDGE_ORIGIN, K.ATTACKER_WALLET, E18, K.RSETH_ERC20)]
+            (ts(18, 20), H[5], K.BRIDGE_ORIGIN, K.ATTACKER_WALLET, E18, X),  # other token
+            (ts(19, 6), H[6], K.BRIDGE_ORIGIN, K.ATTACKER_WALLET, E18, K.RSETH_ERC20)]
     df = spark.createDataFrame(rows, SCHEMAS["erc20_evt_transfer"])
     out = R.bridge_drain(df).collect()
     assert [(r.transfer_type, r.cumulative_drained_rseth) for r in out] == [
