@@ -16,6 +16,9 @@ ATTACKER_WALLET = hex_literal("0x8B1b6c9A6DB1304000412dd21Ae6A70a82d60D3b")
 RSETH_ERC20 = hex_literal("0xa1290d69c65a6fe4df752f95823fae25cb99e5a7")
 ARBITRUM_SECURITY_COUNCIL = hex_literal("0x423552c0F05baCCac5Bfa91C6dCF1dc53a0A1641")
 ARBITRUM_EMERGENCY_EXECUTOR = hex_literal("0x4a4962275DF8C60a80d3a25faEc5AA7De116A746")
+# The dashboard writes this literal with 41 hex digits; it is kept as written
+# and read as a number, i.e. left-padded to 21 whole bytes (0x04 1a 61 ...).
+# Pass ``contract=`` to the recipe to use a different byte string.
 TRON_USDT_CONTRACT = hex_literal("0x41a614f803b6fd780986a42c78ec9c7f77e6ded13")
 ERC20_TRANSFER_TOPIC = hex_literal(
     "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef")
