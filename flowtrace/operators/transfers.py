@@ -148,6 +148,32 @@ def classify_role(df: DataFrame, origin, suspect, labels: Sequence[str], *,
     return work.withColumn(out, role).drop(s_origin, s_suspect, r_suspect)
 
 
+def watchlist_roles(df: DataFrame, origin, suspect, labels: Sequence[str], *,
+                    sender: str = "sender", receiver: str = "receiver",
+                    out: str = "transfer_type") -> DataFrame:
+    """OP-5 + OP-4 together: keep rows touching the origin or the suspect on
+    either side, and label their role.
+
+    Literal addresses take the ``IN`` path, which reaches the scan. With
+    watchlist tables each address column is flagged once against both lists
+    (one join per column), and the filter and the role both read those
+    flags, instead of separate joins for the filter and for the role.
+    """
+    if as_values(origin) is not None and as_values(suspect) is not None:
+        watch = as_values(origin) + [v for v in as_values(suspect)
+                                     if v not in as_values(origin)]
+        return classify_role(either_side(df, (sender, receiver), watch), origin, suspect,
+                             labels, sender=sender, receiver=receiver, out=out)
+    s_o, s_s, r_o, r_s = "__ft_s_o", "__ft_s_s", "__ft_r_o", "__ft_r_s"
+    work = flag_members(df, sender, {s_o: origin, s_s: suspect})
+    work = flag_members(work, receiver, {r_o: origin, r_s: suspect})
+    work = work.where(F.col(s_o) | F.col(s_s) | F.col(r_o) | F.col(r_s))
+    role = (F.when(F.col(s_o) & F.col(r_s), F.lit(labels[0]))
+             .when(F.col(s_s), F.lit(labels[1]))
+             .otherwise(F.lit(labels[2])))
+    return work.withColumn(out, role).drop(s_o, s_s, r_o, r_s)
+
+
 def drain_progress(df: DataFrame, role_col: str, exploit_label: str, *,
                    amount: str = "amount", order_by: Sequence[str] = ("block_time", "tx_hash"),
                    out: str = "cumulative_drained", strategy: str = "auto",

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions.predicates import between_closed, partition_bound, window_predicate
 from ..functions.scalars import hex_0x, hex_upper, lit_number, round_scaled, shorten
 from ..operators import channels, graph, series, transfers
-from ..operators.membership import as_values, member_condition
+from ..operators.membership import member_condition
 from ..operators.ordered import sorted_result
 from ..session import cut_lineage
 from . import constants as K
@@ -87,18 +87,6 @@ HOP_LOG_LABELS = {
 # Q1b: bridge drain transactions
 # --------------------------------------------------------------------------
 
-def _union_watch(a, b):
-    va, vb = as_values(a), as_values(b)
-    if va is not None and vb is not None:
-        return va + [v for v in vb if v not in va]
-    frames = []
-    for w in (a, b):
-        if as_values(w) is not None:
-            raise ValueError("mix of literal and table watchlists")
-        frames.append(w.select(F.col(w.columns[0]).alias("address")))
-    return frames[0].unionByName(frames[1])
-
-
 def bridge_drain(erc20_transfers: DataFrame, *, contract=K.RSETH_ERC20,
                  origin=K.BRIDGE_ORIGIN, suspect=K.ATTACKER_WALLET,
                  window=K.BRIDGE_DRAIN_WINDOW, price=K.RSETH_PRICE_BRIDGE_DRAIN,
@@ -111,14 +99,12 @@ def bridge_drain(erc20_transfers: DataFrame, *, contract=K.RSETH_ERC20,
     Source columns: ``block_time, tx_hash, from, to, value,
     contract_address``. ``origin``/``suspect`` are addresses, lists or
     one-column watchlist tables."""
-    scoped = transfers.watchlist_transfers(
-        erc20_transfers, _union_watch(origin, suspect), sender="from", receiver="to",
-        contract_col="contract_address", contract=contract, time_col="block_time",
-        start=window[0], end=window[1])
+    scoped = transfers.in_window(erc20_transfers, "block_time", window[0], window[1])
+    scoped = scoped.where(F.col("contract_address") == F.lit(contract))
     canon = transfers.normalize_transfers(
         scoped, tx_hash="tx_hash", block_time="block_time", sender="from", receiver="to",
         value="value", decimals=decimals, price=price, exact=exact)
-    roled = transfers.classify_role(canon, origin, suspect, labels)
+    roled = transfers.watchlist_roles(canon, origin, suspect, labels)
     prog = transfers.drain_progress(roled, "transfer_type", labels[0],
                                     order_by=("block_time", "tx_hash"), out="_cum",
                                     strategy=strategy)

@@ -121,3 +121,16 @@ def test_drain_progress_peers_share_total(spark):
         out = drain_progress(df, "transfer_type", ex, strategy=strategy, num_ranges=2)
         got = sorted((bytes(r.tx_hash), r.amount, r.cumulative_drained) for r in out.collect())
         assert got == [(b"\x00", 1, 16), (b"\x01", 5, 15), (b"\x01", 10, 15), (b"\x02", 7, 15)]
+
+
+def test_watchlist_roles_tables_equal_literals(spark):
+    from flowtrace.operators import watchlist_roles
+    rows = [(A, B), (A, C), (B, A), (C, C), (C, A), (B, B)]
+    df = spark.createDataFrame(rows, "sender binary, receiver binary")
+    lit = watchlist_roles(df, A, B, K.ROLE_LABELS)
+    tab = watchlist_roles(df, spark.createDataFrame([(A,)], "a binary"),
+                          spark.createDataFrame([(B,), (B,)], "a binary"), K.ROLE_LABELS)
+    norm = lambda d: sorted((bytes(r.sender), bytes(r.receiver), r.transfer_type)
+                            for r in d.collect())
+    assert norm(lit) == norm(tab)
+    assert len(norm(lit)) == 5  # (C, C) touches neither list
