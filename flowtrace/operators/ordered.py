@@ -18,11 +18,14 @@ fixed window), and it is the wrong plan for raw event rows.
     without column statistics a filter never lowers it and a join
     multiplies it) is at most ``spark.flowtrace.window.singleTaskMaxBytes``
     (default 32 MiB of estimated input, Parquet bytes for a scan).
-    Otherwise the input is checkpointed once (one evaluation of whatever
-    joins and filters produce it) and counted exactly: at most
+    Otherwise, up to ``spark.flowtrace.window.countMaxBytes`` of estimated
+    input (default 8 GiB), the input is checkpointed once (one evaluation of
+    whatever joins and filters produce it) and counted exactly: at most
     ``spark.flowtrace.window.singleTaskMaxRows`` rows (default 1M) take
     the plain window, more take ``"ranged"``, whose range sampling then
-    re-reads the checkpoint instead of re-running the upstream plan.
+    re-reads the checkpoint instead of re-running the upstream plan. Above
+    that estimate ``"ranged"`` runs directly on the input, so a very large
+    input is not written once just to be counted.
 
 ``"ranged"`` (for unbounded inputs)
     RANGE-frame running sums first pre-aggregate peer groups (see
@@ -60,6 +63,8 @@ SINGLE_TASK_CONF = "spark.flowtrace.window.singleTaskMaxBytes"
 SINGLE_TASK_DEFAULT = 32 * 1024 * 1024
 SINGLE_TASK_ROWS_CONF = "spark.flowtrace.window.singleTaskMaxRows"
 SINGLE_TASK_ROWS_DEFAULT = 1_000_000
+COUNT_MAX_CONF = "spark.flowtrace.window.countMaxBytes"
+COUNT_MAX_DEFAULT = 8 * 1024 ** 3
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -129,12 +134,17 @@ def ordered_measures(df: DataFrame, order_by: Sequence[str], measures: Sequence[
     order_by = list(order_by)
     partition_by = list(partition_by)
     if strategy == "auto":
+        conf = df.sparkSession.conf
+        size = estimated_bytes(df)
         if fits_one_task(df):
             strategy = "window"
+        elif size is not None and size > int(conf.get(COUNT_MAX_CONF, str(COUNT_MAX_DEFAULT))):
+            # Too big to be worth materialising just to count: range
+            # sampling re-reads the (pruned, filtered) input instead.
+            strategy = "ranged"
         else:
             df = cut_lineage(df)
-            limit = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF,
-                                                 str(SINGLE_TASK_ROWS_DEFAULT)))
+            limit = int(conf.get(SINGLE_TASK_ROWS_CONF, str(SINGLE_TASK_ROWS_DEFAULT)))
             strategy = "window" if df.count() <= limit else "ranged"
     if strategy == "window":
         spec = Window.partitionBy(*partition_by).orderBy(*_sort_keys(order_by))

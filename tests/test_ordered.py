@@ -100,3 +100,20 @@ def test_hot_key_is_split_across_ranges(spark):
     sizes = (df.repartitionByRange(8, "t", "h", ROW_ID)
                .groupBy(F.spark_partition_id().alias("p")).count().collect())
     assert max(r["count"] for r in sizes) < 0.25 * df.count()
+
+
+def test_auto_goes_ranged_directly_above_count_limit(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_shipdate",
+        F.col("l_quantity").cast("decimal(10,2)").alias("q"))
+    order = ["l_shipdate", "l_orderkey", "l_linenumber"]
+    want = ordered_measures(li, order, [running_sum("c", "q", "rows")], strategy="window")
+    spark.conf.set("spark.flowtrace.window.singleTaskMaxBytes", "0")
+    spark.conf.set("spark.flowtrace.window.countMaxBytes", "0")
+    try:
+        got = ordered_measures(li, order, [running_sum("c", "q", "rows")])
+        assert "__ft_range" not in got.columns
+        assert _same(want, got)
+    finally:
+        spark.conf.unset("spark.flowtrace.window.singleTaskMaxBytes")
+        spark.conf.unset("spark.flowtrace.window.countMaxBytes")
