@@ -18,14 +18,15 @@ fixed window), and it is the wrong plan for raw event rows.
     without column statistics a filter never lowers it and a join
     multiplies it) is at most ``spark.flowtrace.window.singleTaskMaxBytes``
     (default 32 MiB of estimated input, Parquet bytes for a scan).
-    Otherwise, up to ``spark.flowtrace.window.countMaxBytes`` of estimated
-    input (default 8 GiB), the input is checkpointed once (one evaluation of
+    Otherwise, up to ``spark.flowtrace.window.countMaxBytes`` read by the
+    plan (its leaf scans after pruning, default 8 GiB), the input is
+    checkpointed once (one evaluation of
     whatever joins and filters produce it) and counted exactly: at most
     ``spark.flowtrace.window.singleTaskMaxRows`` rows (default 1M) take
     the plain window, more take ``"ranged"``, whose range sampling then
     re-reads the checkpoint instead of re-running the upstream plan. Above
-    that estimate ``"ranged"`` runs directly on the input, so a very large
-    input is not written once just to be counted.
+    that size ``"ranged"`` runs directly on the input, so a very large input
+    is not written once just to be counted.
 
 ``"ranged"`` (for unbounded inputs)
     RANGE-frame running sums first pre-aggregate peer groups (see
@@ -75,6 +76,18 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes the plan reads: the sum of its leaf relations' size estimates
+    after partition pruning (unlike the plan's own estimate, not multiplied
+    through joins)."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
+                   for i in range(leaves.size()))
+    except Exception:  # pragma: no cover - e.g. Spark Connect sessions
+        return estimated_bytes(df)
+
+
 def fits_one_task(df: DataFrame) -> bool:
     limit = int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_DEFAULT)))
     size = estimated_bytes(df)
@@ -135,7 +148,7 @@ def ordered_measures(df: DataFrame, order_by: Sequence[str], measures: Sequence[
     partition_by = list(partition_by)
     if strategy == "auto":
         conf = df.sparkSession.conf
-        size = estimated_bytes(df)
+        size = input_bytes(df)
         if fits_one_task(df):
             strategy = "window"
         elif size is not None and size > int(conf.get(COUNT_MAX_CONF, str(COUNT_MAX_DEFAULT))):
