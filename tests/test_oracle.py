@@ -43,3 +43,23 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert df.columns[0] == "hop_sequence"
+
+
+@pytest.fixture()
+def force_distributed(spark):
+    """Thresholds at 0: every ordered measure runs the ranged plan and every
+    final sort is a range-partitioned one, as on cluster-sized inputs."""
+    keys = ["spark.flowtrace.window.singleTaskMaxBytes",
+            "spark.flowtrace.window.singleTaskMaxRows",
+            "spark.flowtrace.window.countMaxBytes"]
+    for k in keys:
+        spark.conf.set(k, "0")
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_oracle_with_distributed_plans(spark, con_small, force_distributed, name):
+    result = compare(QUERIES[name](spark, SF_SMALL), con_small, ORACLES[name])
+    assert result["match"], result
