@@ -1,7 +1,6 @@
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from flowtrace.operators import (above, classify_role, drain_progress, flow_direction,
                                  hop_log, in_window, large_moves, merge_without_duplicates,
