@@ -1,5 +1,5 @@
 """Structured Streaming forms of the bucket operators."""
 
-from .monitor import start_to_table, stream_bucket_flow
+from .monitor import start_to_table, stream_bucket_flow, stream_watchlist_roles
 
-__all__ = ["start_to_table", "stream_bucket_flow"]
+__all__ = ["start_to_table", "stream_bucket_flow", "stream_watchlist_roles"]

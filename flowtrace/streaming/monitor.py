@@ -1,4 +1,5 @@
-"""The bucket series (OP-10) on an append-only stream.
+"""Operators on append-only streams: the bucket series (OP-10) and the
+watchlist roles (OP-4/5).
 
 Chain tables only grow, and the dashboards re-run their hourly/daily
 aggregates as blocks arrive. In Structured Streaming that is a tumbling
@@ -53,3 +54,18 @@ def start_to_table(result: DataFrame, table: str, checkpoint: str,
     if trigger_seconds:
         writer = writer.trigger(processingTime=f"{trigger_seconds} seconds")
     return writer.toTable(table)
+
+
+def stream_watchlist_roles(transfers_stream: DataFrame, origin, suspect, labels, *,
+                           sender: str = "sender", receiver: str = "receiver",
+                           out: str = "transfer_type") -> DataFrame:
+    """Transfers touching the watchlists, labelled by role, as they arrive.
+
+    Stateless, so no watermark is needed: each micro-batch is filtered and
+    labelled on its own. Literal addresses are an ``IN`` predicate; a
+    watchlist table is a static DataFrame and becomes a stream-static join
+    (re-read per micro-batch, so list updates reach the next batch).
+    """
+    from ..operators.transfers import watchlist_roles
+    return watchlist_roles(transfers_stream, origin, suspect, labels, sender=sender,
+                           receiver=receiver, out=out)

@@ -26,3 +26,30 @@ def test_stream_matches_batch_for_closed_buckets(spark, scratch):
     # (within the lateness) are still open.
     assert got and got <= want
     assert len(want) - len(got) <= 2
+
+
+
+def test_stream_watchlist_roles_match_batch(spark, scratch):
+    from flowtrace.operators import normalize_transfers, watchlist_roles
+    from flowtrace.plans import constants as K
+    from flowtrace.streaming import stream_watchlist_roles
+
+    path = f"{scratch}/erc20_stream"
+    src = B.erc20_evt_transfer(spark, SF_SMALL)
+    src.write.mode("overwrite").parquet(path)
+    canon = lambda df: normalize_transfers(df, tx_hash="tx_hash", block_time="block_time",
+                                           sender="from", receiver="to", value="value",
+                                           exact=True)
+    origin = spark.createDataFrame([((7).to_bytes(20, "big"),)], "address binary")
+    suspect = spark.createDataFrame([((3).to_bytes(20, "big"),)], "address binary")
+    live = stream_watchlist_roles(canon(spark.readStream.schema(src.schema).parquet(path)),
+                                  origin, suspect, K.ROLE_LABELS)
+    q = (live.select("tx_hash", "sender", "receiver", "amount", "transfer_type")
+         .writeStream.outputMode("append").format("memory").queryName("ft_live_roles")
+         .option("checkpointLocation", f"{scratch}/ft_roles_ckpt").start())
+    q.processAllAvailable()
+    q.stop()
+    got = spark.sql("SELECT * FROM ft_live_roles")
+    want = watchlist_roles(canon(src), origin, suspect, K.ROLE_LABELS).select(*got.columns)
+    assert got.count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
