@@ -39,3 +39,11 @@ def test_write_result_csv(spark, scratch):
     write_result(spark.createDataFrame([(1, "a")], "n int, s string"), path, fmt="csv")
     back = spark.read.option("header", "true").csv(path)
     assert back.columns == ["n", "s"] and back.count() == 1
+
+
+def test_runner_writes_results(spark, scratch):
+    from flowtrace.plans.run import main
+    out = f"{scratch}/run_out"
+    main(["--sf-dir", SF_SMALL, "--out", out, "--csv", "recovery", "fund_destinations"])
+    back = spark.read.option("header", "true").csv(f"{out}/fund_destinations")
+    assert back.count() > 0 and "resting_value" in back.columns
