@@ -24,19 +24,26 @@ def lit_number(value, exact: bool) -> Column:
     return F.lit(float(value))
 
 
-def scale_units(raw, decimals: int, exact: bool = False, raw_precision: int = 38) -> Column:
+def scale_units(raw, decimals: int, exact: bool = False, raw_precision: int = 38,
+                safe: bool = False) -> Column:
     """Raw integer token amount -> whole tokens.
 
     ``exact=False`` follows the dashboards: ``CAST(raw AS DOUBLE) / 10^d``.
     ``exact=True`` keeps a decimal: the raw value is read as
     ``decimal(raw_precision, 0)`` and multiplied by ``10^-d``, which is exact
     as long as ``raw_precision + d`` fits Spark's 38 digits.
+    ``safe=True`` uses ``try_cast``: a raw value that does not fit (a
+    uint256 beyond 38 digits stored as text) becomes NULL instead of failing
+    the job under ANSI mode; :func:`flowtrace.operators.transfers.quarantined`
+    returns those rows.
     """
     raw = _col(raw)
     if exact:
         factor = F.lit(Decimal(1).scaleb(-decimals))
-        return raw.cast(f"decimal({raw_precision},0)") * factor
-    return raw.cast("double") / F.lit(float(10 ** decimals))
+        kind = f"decimal({raw_precision},0)"
+        return (raw.try_cast(kind) if safe else raw.cast(kind)) * factor
+    as_double = raw.try_cast("double") if safe else raw.cast("double")
+    return as_double / F.lit(float(10 ** decimals))
 
 
 def scale_down(value, power: int, exact: bool = False) -> Column:

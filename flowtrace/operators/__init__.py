@@ -12,7 +12,7 @@ from .series import (align_legs, align_legs_spine, bucket_flow, net_flow, period
                      signed_amount)
 from .transfers import (above, classify_role, drain_progress, flow_direction, hop_log,
                         in_window, large_moves, merge_without_duplicates,
-                        normalize_transfers, not_in, severity_tier, to_display,
+                        normalize_transfers, not_in, quarantined, severity_tier, to_display,
                         watchlist_roles, watchlist_transfers)
 
 __all__ = [
@@ -24,6 +24,6 @@ __all__ = [
     "running_total", "sequence_rows", "align_legs", "align_legs_spine", "bucket_flow",
     "net_flow", "period_flag", "signed_amount", "above", "classify_role", "drain_progress",
     "flow_direction", "hop_log", "in_window", "large_moves", "merge_without_duplicates",
-    "normalize_transfers", "not_in", "severity_tier", "to_display", "watchlist_roles",
+    "normalize_transfers", "not_in", "quarantined", "severity_tier", "to_display", "watchlist_roles",
     "watchlist_transfers",
 ]

@@ -25,14 +25,17 @@ from .ordered import ordered_measures, row_number, running_sum
 def normalize_transfers(df: DataFrame, *, tx_hash: str, block_time: str, sender: str,
                         receiver: str, value: str, block_number: str | None = None,
                         block_date: str | None = None, decimals: int = 18,
-                        price=None, exact: bool = False,
+                        price=None, exact: bool = False, safe: bool = False,
                         extra: Sequence[str] = ()) -> DataFrame:
     """OP-1: rename a raw transfer/transaction table to the canonical schema.
 
     ``amount`` is ``value / 10^decimals`` (double like the dashboards, or an
     exact decimal); ``usd`` is ``amount * price`` when a price is given.
+    ``safe=True`` turns raw values that cannot be read as a number of the
+    target type into a NULL amount (see :func:`quarantined`) instead of an
+    error.
     """
-    amount = scale_units(value, decimals, exact=exact) if decimals else (
+    amount = scale_units(value, decimals, exact=exact, safe=safe) if decimals else (
         F.col(value) if exact else F.col(value).cast("double"))
     cols = [
         F.col(tx_hash).alias("tx_hash"),
@@ -53,6 +56,12 @@ def normalize_transfers(df: DataFrame, *, tx_hash: str, block_time: str, sender:
     return df.select(*cols)
 
 
+def quarantined(canonical: DataFrame) -> DataFrame:
+    """Rows whose raw value was present but could not be scaled (``safe``
+    normalisation): kept aside for inspection instead of dropped silently."""
+    return canonical.where(F.col("raw_value").isNotNull() & F.col("amount").isNull())
+
+
 def severity_tier(df: DataFrame, amount: str, bounds: Sequence, labels: Sequence[str],
                   out: str = "transfer_type") -> DataFrame:
     """OP-2: label each row by size.

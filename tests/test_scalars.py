@@ -65,3 +65,19 @@ def test_round_scaled_rounds_once(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v decimal(18,2)")
     got = [r.r for r in df.select(round_scaled("v", 6, 3, exact=True).alias("r")).collect()]
     assert got == [Decimal("0.000"), Decimal("1.235"), Decimal("-1.235"), Decimal("0.001")]
+
+
+def test_safe_scaling_quarantines_uint256_overflow(spark):
+    from flowtrace.operators import normalize_transfers, quarantined
+    huge = str(2 ** 256 - 1)  # 78 digits: beyond decimal(38,0)
+    df = spark.createDataFrame([(b"\x01", huge), (b"\x02", "1500000000000000000")],
+                               "h binary, v string").selectExpr(
+        "h", "current_timestamp() AS t", "h AS s", "h AS r", "v")
+    canon = normalize_transfers(df, tx_hash="h", block_time="t", sender="s", receiver="r",
+                                value="v", exact=True, safe=True)
+    got = {bytes(r.tx_hash): r.amount for r in canon.collect()}
+    assert got[b"\x02"] == Decimal("1.500000") and got[b"\x01"] is None
+    assert [bytes(r.tx_hash) for r in quarantined(canon).collect()] == [b"\x01"]
+    with pytest.raises(Exception):
+        normalize_transfers(df, tx_hash="h", block_time="t", sender="s", receiver="r",
+                            value="v", exact=True).collect()
