@@ -8,8 +8,8 @@ from .graph import (edges_from_transfers, flow_edges, fund_destinations, node_ba
 from .membership import either_side, flag_member, flag_members
 from .ordered import (Measure, ordered_measures, row_number, running_sum, running_total,
                       sequence_rows)
-from .series import (align_legs, align_legs_spine, bucket_flow, net_flow, period_flag,
-                     signed_amount)
+from .series import (align_legs, align_legs_spine, bucket_flow, bucket_legs, net_flow,
+                     period_flag, signed_amount)
 from .transfers import (above, classify_role, drain_progress, flow_direction, hop_log,
                         in_window, large_moves, merge_without_duplicates,
                         normalize_transfers, not_in, quarantined, severity_tier, to_display,
@@ -21,7 +21,7 @@ __all__ = [
     "primary_drain", "edges_from_transfers", "flow_edges", "fund_destinations",
     "node_balances", "node_totals", "number_edges", "recovery", "either_side", "flag_member",
     "flag_members", "Measure", "ordered_measures", "row_number", "running_sum",
-    "running_total", "sequence_rows", "align_legs", "align_legs_spine", "bucket_flow",
+    "running_total", "sequence_rows", "align_legs", "align_legs_spine", "bucket_flow", "bucket_legs",
     "net_flow", "period_flag", "signed_amount", "above", "classify_role", "drain_progress",
     "flow_direction", "hop_log", "in_window", "large_moves", "merge_without_duplicates",
     "normalize_transfers", "not_in", "quarantined", "severity_tier", "to_display", "watchlist_roles",

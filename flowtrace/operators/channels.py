@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import window_predicate
 from ..functions.scalars import bytes_to_bigint, lit_number, round_scaled, scale_units
-from .series import bucket_column
 from .transfers import raw_floor
 
 
@@ -26,6 +25,41 @@ def large_swaps(df: DataFrame, *, from_pattern: str, to_pattern: str, min_usd,
                     & (F.col(usd) > F.lit(min_usd)))
 
 
+def swap_values(swaps: DataFrame, *, time_col: str = "block_timestamp",
+                usd: str = "from_amount_usd", sent: str = "from_amount",
+                received: str = "to_amount", round_rows: bool = False) -> DataFrame:
+    """Row-level part of :func:`swap_daily`: time, USD and the two amounts,
+    each swap rounded first (USD to 2, amounts to 4) when ``round_rows``."""
+    if round_rows:
+        vals = [F.round(usd, 2).alias("_usd"), F.round(sent, 4).alias("_sent"),
+                F.round(received, 4).alias("_recv")]
+    else:
+        vals = [F.col(usd).alias("_usd"), F.col(sent).alias("_sent"),
+                F.col(received).alias("_recv")]
+    return swaps.select(F.col(time_col), *vals)
+
+
+SWAP_AGGS = {"swap_count": ("count", None), "_usd": ("sum", "_usd"),
+             "_sent": ("sum", "_sent"), "_recv": ("sum", "_recv")}
+
+
+def finish_swaps(daily: DataFrame, exact: bool = False) -> DataFrame:
+    """Rounding of the per-day swap sums (millions of USD to 3 places,
+    amounts to 4)."""
+    return (daily.withColumn("total_swap_usd_m", round_scaled("_usd", 6, 3, exact))
+            .withColumn("total_sent", F.round("_sent", 4))
+            .withColumn("total_received", F.round("_recv", 4))
+            .drop("_usd", "_sent", "_recv"))
+
+
+def _daily(values: DataFrame, time_col: str, aggs: dict, unit: str, bucket: str) -> DataFrame:
+    """One leg on its own: a plain GROUP BY (a NULL bucket keeps its sums)."""
+    from .series import bucket_flow
+    measures = {name: F.count(F.lit(1)) if func == "count" else F.sum(value)
+                for name, (func, value) in aggs.items()}
+    return bucket_flow(values, time_col, unit, measures, bucket=bucket)
+
+
 def swap_daily(swaps: DataFrame, *, time_col: str = "block_timestamp",
                usd: str = "from_amount_usd", sent: str = "from_amount",
                received: str = "to_amount", round_rows: bool = False, exact: bool = False,
@@ -36,18 +70,9 @@ def swap_daily(swaps: DataFrame, *, time_col: str = "block_timestamp",
     amounts to 4). ``round_rows=True`` rounds each swap first (USD to 2,
     amounts to 4) and then the sums, which is not the same number.
     """
-    cols = [bucket_column(swaps, time_col, unit, bucket)]
-    if round_rows:
-        cols += [F.round(usd, 2).alias("_usd"), F.round(sent, 4).alias("_sent"),
-                 F.round(received, 4).alias("_recv")]
-    else:
-        cols += [F.col(usd).alias("_usd"), F.col(sent).alias("_sent"),
-                 F.col(received).alias("_recv")]
-    return (swaps.select(*cols).groupBy(bucket).agg(
-        F.count(F.lit(1)).alias("swap_count"),
-        round_scaled(F.sum("_usd"), 6, 3, exact).alias("total_swap_usd_m"),
-        F.round(F.sum("_sent"), 4).alias("total_sent"),
-        F.round(F.sum("_recv"), 4).alias("total_received")))
+    values = swap_values(swaps, time_col=time_col, usd=usd, sent=sent, received=received,
+                         round_rows=round_rows)
+    return finish_swaps(_daily(values, time_col, SWAP_AGGS, unit, bucket), exact)
 
 
 def decode_token_transfers(logs: DataFrame, *, contract: bytes, topic0: bytes,
@@ -70,16 +95,50 @@ def decode_token_transfers(logs: DataFrame, *, contract: bytes, topic0: bytes,
                        scale_units(raw, decimals, exact=exact, raw_precision=20).alias("amount"))
 
 
+def large_transfer_values(transfers: DataFrame, min_amount, *,
+                          time_col: str = "block_time") -> DataFrame:
+    """Row-level part of :func:`large_transfer_daily`: decoded transfers
+    strictly above ``min_amount``."""
+    kept = transfers.where(F.col("amount") > F.lit(min_amount))
+    return kept.select(F.col(time_col), F.col("amount").alias("_vol"))
+
+
+LARGE_TRANSFER_AGGS = {"transfer_count": ("count", None), "_vol": ("sum", "_vol")}
+
+
+def finish_large_transfers(daily: DataFrame, exact: bool = False) -> DataFrame:
+    return daily.withColumn("total_volume_m", round_scaled("_vol", 6, 3, exact)).drop("_vol")
+
+
 def large_transfer_daily(transfers: DataFrame, min_amount, *, exact: bool = False,
                          time_col: str = "block_time", unit: str = "date",
                          bucket: str = "day_bucket") -> DataFrame:
     """Per-day count and volume (millions, 3 places) of decoded transfers
     strictly above ``min_amount``."""
-    kept = transfers.where(F.col("amount") > F.lit(min_amount))
-    return (kept.select(bucket_column(kept, time_col, unit, bucket), "amount")
-            .groupBy(bucket).agg(
-                F.count(F.lit(1)).alias("transfer_count"),
-                round_scaled(F.sum("amount"), 6, 3, exact).alias("total_volume_m")))
+    values = large_transfer_values(transfers, min_amount, time_col=time_col)
+    return finish_large_transfers(_daily(values, time_col, LARGE_TRANSFER_AGGS, unit, bucket),
+                                  exact)
+
+
+def native_values(txs: DataFrame, *, min_units, price, decimals: int = 6,
+                  exact: bool = False, date_col: str = "block_date", start=None, end=None,
+                  value: str = "value", success: str = "success") -> DataFrame:
+    """Row-level part of :func:`native_value_proxy`: successful transfers
+    above ``min_units`` whole coins in ``[start, end)``, valued at ``price``.
+    The raw-unit threshold reaches the scan (:func:`raw_floor`)."""
+    units = scale_units(value, decimals, exact=exact, raw_precision=20)
+    kept = txs.where(window_predicate(date_col, start, end)
+                     & (F.col(success) == F.lit(True))
+                     & raw_floor(value, min_units, decimals, exact)
+                     & (units > F.lit(min_units)))
+    return kept.select(F.col(date_col), (units * lit_number(price, exact)).alias("_nusd"))
+
+
+NATIVE_AGGS = {"tx_count": ("count", None), "_nusd": ("sum", "_nusd")}
+
+
+def finish_native(daily: DataFrame, exact: bool = False) -> DataFrame:
+    return daily.withColumn("value_usd_m", round_scaled("_nusd", 6, 3, exact)).drop("_nusd")
 
 
 def native_value_proxy(txs: DataFrame, *, min_units, price, decimals: int = 6,
@@ -89,16 +148,10 @@ def native_value_proxy(txs: DataFrame, *, min_units, price, decimals: int = 6,
     """OP-17: per-day count and estimated USD (millions, 3 places) of
     successful native transfers above ``min_units`` whole coins, priced at a
     constant ``price``. Half-open date bounds on the partition column."""
-    units = scale_units(value, decimals, exact=exact, raw_precision=20)
-    kept = txs.where(window_predicate(date_col, start, end)
-                     & (F.col(success) == F.lit(True))
-                     & raw_floor(value, min_units, decimals, exact)
-                     & (units > F.lit(min_units)))
-    return (kept.select(F.col(date_col).alias(bucket),
-                        (units * lit_number(price, exact)).alias("_usd"))
-            .groupBy(bucket).agg(
-                F.count(F.lit(1)).alias("tx_count"),
-                round_scaled(F.sum("_usd"), 6, 3, exact).alias("value_usd_m")))
+    values = native_values(txs, min_units=min_units, price=price, decimals=decimals,
+                           exact=exact, date_col=date_col, start=start, end=end, value=value,
+                           success=success)
+    return finish_native(_daily(values, date_col, NATIVE_AGGS, "date", bucket), exact)
 
 
 def combine_channels(aligned: DataFrame, parts: Sequence[str], out: str,

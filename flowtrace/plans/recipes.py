@@ -154,13 +154,14 @@ def aave_contagion(supply: DataFrame, borrow: DataFrame, *, window=K.CONTAGION_W
                     symbols=collateral_symbols, types=supply_types)
     b = lending_leg(borrow, window=window, chain=chain, project=project,
                     symbols=borrow_symbols)
-    s_h = series.bucket_flow(s, "block_time", "hour", {
-        "rseth_supplied": F.sum("amount"), "rseth_supplied_usd": F.sum("amount_usd"),
-        "supply_tx_count": F.count(F.lit(1))}, bucket="hour_bucket")
-    b_h = series.bucket_flow(b, "block_time", "hour", {
-        "eth_borrowed": F.sum("amount"), "eth_borrowed_usd": F.sum("amount_usd"),
-        "borrow_tx_count": F.count(F.lit(1))}, bucket="hour_bucket")
-    aligned = series.align_legs([s_h, b_h], "hour_bucket")
+    # Both legs bucketed and aligned by one aggregate over the stacked rows.
+    aligned = series.bucket_legs([
+        (s, "block_time", {"rseth_supplied": ("sum", "amount"),
+                           "rseth_supplied_usd": ("sum", "amount_usd"),
+                           "supply_tx_count": ("count", None)}),
+        (b, "block_time", {"eth_borrowed": ("sum", "amount"),
+                           "eth_borrowed_usd": ("sum", "amount_usd"),
+                           "borrow_tx_count": ("count", None)})], "hour", "hour_bucket")
     # One row per hour of the window at most: a bound from the parameters.
     cum = series.running_total(aligned, "eth_borrowed", "_cum", ["hour_bucket"],
                                max_rows=series.buckets_in(window[0], window[1], "hour"))
@@ -189,11 +190,11 @@ def aave_tvl_drop(supply: DataFrame, borrow: DataFrame, *, window=K.TVL_WINDOW,
     start, and a pre/hack-day/post flag."""
     s = lending_leg(supply, window=window, chain=chain, project=project)
     b = lending_leg(borrow, window=window, chain=chain, project=project)
-    s_d = series.net_flow(s, "block_time", "day", "transaction_type", "amount_usd",
-                          "deposit", "withdraw", "net_supply_usd", bucket="day_bucket")
-    b_d = series.net_flow(b, "block_time", "day", "transaction_type", "amount_usd",
-                          "borrow", "repay", "net_borrow_usd", bucket="day_bucket")
-    aligned = series.align_legs([s_d, b_d], "day_bucket")
+    aligned = series.bucket_legs([
+        (s, "block_time", {"net_supply_usd": ("sum", series.signed_amount(
+            "transaction_type", "amount_usd", "deposit", "withdraw"))}),
+        (b, "block_time", {"net_borrow_usd": ("sum", series.signed_amount(
+            "transaction_type", "amount_usd", "borrow", "repay"))})], "day", "day_bucket")
     cum = series.running_total(aligned, "net_supply_usd", "_cum", ["day_bucket"],
                                max_rows=series.buckets_in(window[0], window[1], "day"))
     flagged = series.period_flag(cum, "day_bucket", pivot, labels)
@@ -321,11 +322,16 @@ def laundering_path(swaps: DataFrame, tron_logs: DataFrame, *,
                     exact: bool = False, sort: bool = True) -> DataFrame:
     """Q4: ThorChain swaps (rounded per swap) and decoded Tron USDT transfers
     on one day axis, with the combined daily total."""
-    tc = thorchain_daily(swaps, window=window, from_pattern=from_pattern,
-                         to_pattern=to_pattern, min_usd=min_usd, round_rows=True, exact=exact)
-    tu = tron_usdt_daily(tron_logs, dates=dates, contract=contract, topic0=topic0,
-                         min_amount=min_transfer, exact=exact)
-    aligned = series.align_legs([tc, tu], "day_bucket")
+    big = channels.large_swaps(swaps, from_pattern=from_pattern, to_pattern=to_pattern,
+                               min_usd=min_usd, start=window[0], end=window[1])
+    decoded = channels.decode_token_transfers(tron_logs, contract=contract, topic0=topic0,
+                                              exact=exact, start=dates[0], end=dates[1])
+    # Both channels bucketed by day and aligned in one aggregate.
+    daily = series.bucket_legs([
+        (channels.swap_values(big, round_rows=True), "block_timestamp", channels.SWAP_AGGS),
+        (channels.large_transfer_values(decoded, min_transfer), "block_time",
+         channels.LARGE_TRANSFER_AGGS)], "date", "day_bucket")
+    aligned = channels.finish_large_transfers(channels.finish_swaps(daily, exact), exact)
     total = channels.combine_channels(aligned, ["total_swap_usd_m", "total_volume_m"], "_tot")
     out = total.select(
         "day_bucket",
@@ -347,11 +353,14 @@ def laundering_path_v2(swaps: DataFrame, tron_txs: DataFrame, *,
                        ) -> DataFrame:
     """Q4v2: ThorChain swaps (summed, then rounded) and the native TRX proxy
     on one day axis, with the combined daily total."""
-    tc = thorchain_daily(swaps, window=window, from_pattern=from_pattern,
-                         to_pattern=to_pattern, min_usd=min_usd, round_rows=False, exact=exact)
-    tn = tron_native_daily(tron_txs, dates=dates, min_units=min_units, price=price,
-                           exact=exact)
-    aligned = series.align_legs([tc, tn], "day_bucket")
+    big = channels.large_swaps(swaps, from_pattern=from_pattern, to_pattern=to_pattern,
+                               min_usd=min_usd, start=window[0], end=window[1])
+    native = channels.native_values(tron_txs, min_units=min_units, price=price, exact=exact,
+                                    start=dates[0], end=dates[1])
+    daily = series.bucket_legs([
+        (channels.swap_values(big), "block_timestamp", channels.SWAP_AGGS),
+        (native, "block_date", channels.NATIVE_AGGS)], "date", "day_bucket")
+    aligned = channels.finish_native(channels.finish_swaps(daily, exact), exact)
     total = channels.combine_channels(aligned, ["total_swap_usd_m", "value_usd_m"], "_tot")
     out = total.select(
         "day_bucket",

@@ -57,3 +57,17 @@ def test_running_total_last_equals_total(spark):
     cum = running_total(daily, "q", "cum", ["l_shipdate"])
     last = cum.orderBy(F.col("l_shipdate").desc()).first().cum
     assert last == li.agg(F.sum("q")).first()[0]
+
+
+
+def test_bucket_legs_equals_bucket_flow_plus_align(spark):
+    from flowtrace.operators.series import bucket_legs
+    a = spark.createDataFrame([(D1, 1), (D1, 2), (D2, None), (None, 5)], "t timestamp, v int")
+    b = spark.createDataFrame([(D2, 10), (D3, 20), (D3, 30), (None, 7)], "t timestamp, w int")
+    stacked = bucket_legs([(a, "t", {"sa": ("sum", "v"), "na": ("count", None)}),
+                           (b, "t", {"sb": ("sum", "w"), "nb": ("count", None)})], "day", "k")
+    fa = bucket_flow(a, "t", "day", {"sa": F.sum("v"), "na": F.count(F.lit(1))}, bucket="k")
+    fb = bucket_flow(b, "t", "day", {"sb": F.sum("w"), "nb": F.count(F.lit(1))}, bucket="k")
+    joined = align_legs([fa, fb], "k")
+    assert {tuple(r) for r in stacked.collect()} == {tuple(r) for r in joined.collect()}
+    assert stacked.count() == 4  # D1, D2, D3 and one NULL bucket
