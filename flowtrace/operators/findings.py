@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def peak_bucket(series: DataFrame, bucket: str, measure: str) -> DataFrame:
-    """RD-3: the bucket with the largest measure (earliest bucket on ties)."""
+    """RD-3: the bucket with the largest measure (earliest bucket on ties);
+    no row for an empty series."""
     best = F.min_by(F.struct(F.col(bucket).alias("b"), F.col(measure).alias("m")),
                     F.struct((-F.col(measure)).alias("neg"), F.col(bucket).alias("b")))
     return (series.where(F.col(measure).isNotNull()).agg(best.alias("_best"))
+            .where(F.col("_best").isNotNull())
             .select(F.col("_best.b").alias(f"peak_{bucket}"),
                     F.col("_best.m").alias(f"peak_{measure}")))
 
@@ -35,11 +37,13 @@ def leverage_ratio(collateral: DataFrame, borrowed: DataFrame, collateral_col: s
 
 
 def primary_drain(hops: DataFrame, amount: str, order_by: str = "hop_sequence") -> DataFrame:
-    """RD-5: the single largest hop (earliest on ties), all its columns."""
+    """RD-5: the single largest hop (earliest on ties), all its columns; no
+    row when there are no hops."""
     cols = hops.columns
     best = F.min_by(F.struct(*[F.col(c) for c in cols]),
                     F.struct((-F.col(amount)).alias("neg"), F.col(order_by).alias("o")))
     return (hops.where(F.col(amount).isNotNull()).agg(best.alias("_best"))
+            .where(F.col("_best").isNotNull())
             .select(*[F.col(f"_best.{c}").alias(c) for c in cols]))
 
 

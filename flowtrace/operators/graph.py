@@ -91,7 +91,7 @@ def fund_destinations(edges: DataFrame, value: str = "value") -> DataFrame:
 def recovery(edges: DataFrame, recovered_nodes: Sequence, value: str = "value",
              labels: Sequence[str] = ("recovered", "at_risk")) -> DataFrame:
     """RD-2: split the resting value into recovered (frozen, returned) and
-    at-risk, with each status' share of the total."""
+    at-risk: amount and number of resting nodes per status."""
     dest = fund_destinations(edges, value)
     status = F.when(F.col("node").isin(list(recovered_nodes)), F.lit(labels[0])) \
               .otherwise(F.lit(labels[1]))

@@ -36,3 +36,11 @@ def test_interior_nodes_conserve_flow(spark):
     assert totals.where(F.col("direction") == "out").count() == 7
     assert totals.where(F.col("direction") == "in").count() == 9
     assert len(bal) == 10  # ten distinct nodes in nine edges
+
+
+
+def test_findings_on_empty_input_return_no_row(spark):
+    from flowtrace.operators import peak_bucket, primary_drain
+    empty = spark.createDataFrame([], "b timestamp, m double, hop_sequence bigint")
+    assert peak_bucket(empty, "b", "m").count() == 0
+    assert primary_drain(empty, "m").count() == 0
