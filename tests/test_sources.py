@@ -47,3 +47,20 @@ def test_runner_writes_results(spark, scratch):
     main(["--sf-dir", SF_SMALL, "--out", out, "--csv", "recovery", "fund_destinations"])
     back = spark.read.option("header", "true").csv(f"{out}/fund_destinations")
     assert back.count() > 0 and "resting_value" in back.columns
+
+
+def test_register_dashboards_as_sql_views(spark):
+    from flowtrace.plans.bound import PARAMS
+    from flowtrace.plans.recipes import kill_chain_edges
+    from flowtrace.plans.views import register_dashboards
+    tables = {"rseth_evt_transfer": B.rseth_evt_transfer(spark, SF_SMALL),
+              "kill_chain_edges": kill_chain_edges(spark)}
+    p = PARAMS["hop_log"]
+    names = register_dashboards(spark, tables, params={"inception_hop_log": dict(
+        dates=p["dates"], min_amount=p["min_amount"], bounds=p["bounds"], exact=True)},
+        prefix="ft_")
+    assert names == ["ft_inception_hop_log", "ft_kill_chain_summary"]
+    n = spark.sql("SELECT count(*) AS n FROM ft_inception_hop_log").first().n
+    assert n == 691
+    top = spark.sql("SELECT pct_of_total FROM ft_kill_chain_summary WHERE step = 4").first()
+    assert top.pct_of_total == 26.4
