@@ -291,16 +291,18 @@ def sequence_rows(df: DataFrame, out: str, order_by: Sequence[str],
                             strategy=strategy, num_ranges=num_ranges)
 
 
-def sorted_result(df: DataFrame, *cols: str) -> DataFrame:
+def sorted_result(df: DataFrame, *cols: str, max_rows: int | None = None) -> DataFrame:
     """SRT-1/2: final ascending sort, NULLS LAST as in the dashboards' engine.
 
-    A result whose size estimate fits one task (see ``fits_one_task``) is
-    sorted in one partition, which skips the range-sampling job of a global
+    A result with a caller-proven row bound (``max_rows``, e.g. days in the
+    recipe's window) within ``singleTaskMaxRows``, or whose size estimate
+    fits one task (see ``fits_one_task``), is sorted in one partition, which skips the range-sampling job of a global
     sort; anything larger gets the distributed ``orderBy`` with a unique
     trailing key, so equal keys never pin one task.
     """
     keys = _sort_keys(cols)
-    if fits_one_task(df):
+    limit = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(SINGLE_TASK_ROWS_DEFAULT)))
+    if (max_rows is not None and max_rows <= limit) or fits_one_task(df):
         return df.coalesce(1).sortWithinPartitions(*keys)
     # Rows with equal sort keys may come in any order, so a unique trailing
     # key changes nothing but lets the range partitioner split a hot key.

@@ -174,7 +174,8 @@ def aave_contagion(supply: DataFrame, borrow: DataFrame, *, window=K.CONTAGION_W
         _final(round_scaled("eth_borrowed_usd", 6, 3, exact), exact)
         .alias("eth_borrow_usd_m"),
         _final(F.round("_cum", 2), exact).alias("cumul_eth_borrowed"))
-    return sorted_result(out, "hour_bucket") if sort else out
+    return sorted_result(out, "hour_bucket", max_rows=series.buckets_in(
+        window[0], window[1], "hour")) if sort else out
 
 
 # --------------------------------------------------------------------------
@@ -206,7 +207,8 @@ def aave_tvl_drop(supply: DataFrame, borrow: DataFrame, *, window=K.TVL_WINDOW,
         .alias("net_borrow_change_b"),
         _final(round_scaled("_cum", 9, 3, exact), exact).alias("cumulative_net_supply_b"),
         "period_flag")
-    return sorted_result(out, "day_bucket") if sort else out
+    return sorted_result(out, "day_bucket", max_rows=series.buckets_in(
+        window[0], window[1], "day")) if sort else out
 
 
 # --------------------------------------------------------------------------
@@ -275,7 +277,8 @@ def arbitrum_intervention(txs: DataFrame, *, council=K.ARBITRUM_SECURITY_COUNCIL
         _final(F.col("eth_volume"), exact).alias("eth_volume"),
         _final(F.col("usd_volume_m"), exact).alias("usd_volume_m"),
         _final(F.round("_cum", 4), exact).alias("cumulative_eth"))
-    return sorted_result(out, "hour_bucket", "flow_type") if sort else out
+    return sorted_result(out, "hour_bucket", "flow_type", max_rows=None if span is None
+                         else span * (len(labels) + 1)) if sort else out
 
 
 # --------------------------------------------------------------------------
@@ -314,6 +317,13 @@ def tron_native_daily(txs: DataFrame, *, dates=K.LAUNDERING_DATES,
                                        start=dates[0], end=dates[1])
 
 
+def _laundering_days(window, dates) -> int | None:
+    """Days on the combined axis: at most the days of both windows."""
+    a = series.buckets_in(window[0], window[1], "day")
+    b = series.buckets_in(dates[0], dates[1], "day")
+    return None if a is None or b is None else a + b
+
+
 def laundering_path(swaps: DataFrame, tron_logs: DataFrame, *,
                     window=K.LAUNDERING_WINDOW, dates=K.LAUNDERING_DATES,
                     from_pattern: str = "%ETH%", to_pattern: str = "%BTC%",
@@ -342,7 +352,8 @@ def laundering_path(swaps: DataFrame, tron_logs: DataFrame, *,
         F.col("transfer_count").alias("tron_usdt_transfers"),
         _final(F.col("total_volume_m"), exact).alias("tron_usdt_volume_m"),
         _final(F.col("_tot"), exact).alias("total_laundered_m"))
-    return sorted_result(out, "day_bucket") if sort else out
+    return sorted_result(out, "day_bucket", max_rows=_laundering_days(window, dates)) \
+        if sort else out
 
 
 def laundering_path_v2(swaps: DataFrame, tron_txs: DataFrame, *,
@@ -371,7 +382,8 @@ def laundering_path_v2(swaps: DataFrame, tron_txs: DataFrame, *,
         F.col("tx_count").alias("tron_large_tx_count"),
         _final(F.col("value_usd_m"), exact).alias("tron_value_usd_m"),
         _final(F.col("_tot"), exact).alias("total_laundering_flow_m"))
-    return sorted_result(out, "day_bucket") if sort else out
+    return sorted_result(out, "day_bucket", max_rows=_laundering_days(window, dates)) \
+        if sort else out
 
 
 # --------------------------------------------------------------------------
