@@ -98,7 +98,8 @@ def raw_floor(raw: str, minimum, decimals: int, exact: bool = False) -> Column:
     """
     bound = Decimal(str(minimum)).scaleb(decimals)
     if not exact:
-        bound = bound * (1 - Decimal("1e-9"))
+        # Lower the bound (whatever its sign) so the predicate stays a superset.
+        bound = bound - abs(bound) * Decimal("1e-9") - 1
     bound = bound.to_integral_value(rounding=ROUND_FLOOR)
     return F.col(raw) > F.lit(bound).cast("decimal(38,0)")
 

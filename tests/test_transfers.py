@@ -133,3 +133,21 @@ def test_watchlist_roles_tables_equal_literals(spark):
                             for r in d.collect())
     assert norm(lit) == norm(tab)
     assert len(norm(lit)) == 5  # (C, C) touches neither list
+
+
+
+def test_raw_floor_is_exact_or_a_superset(spark):
+    from flowtrace.functions import scale_units
+    from flowtrace.operators.transfers import raw_floor
+    e18 = Decimal(10) ** 18
+    raws = [Decimal(v) for v in (-5 * e18 - 1, -5 * e18, -5 * e18 + 1, -1, 0, 1,
+                                  100 * e18 - 1, 100 * e18, 100 * e18 + 1)]
+    df = spark.createDataFrame([(r,) for r in raws], "v decimal(38,0)")
+    for minimum in (-5, 0, 100):
+        for exact in (True, False):
+            scaled = scale_units("v", 18, exact=exact)
+            want = {r.v for r in df.where(scaled > minimum).collect()}
+            pre = {r.v for r in df.where(raw_floor("v", minimum, 18, exact)).collect()}
+            assert want <= pre
+            if exact:
+                assert want == pre
