@@ -91,10 +91,12 @@ def raw_floor(raw: str, minimum, decimals: int, exact: bool = False) -> Column:
     ``CAST(raw AS DOUBLE) / 1e18 > m`` reaches the Parquet scan only as
     ``IsNotNull``; a comparison of the raw ``decimal(38,0)`` column with a
     literal of the same type is pushed as ``GreaterThan`` and lets row groups
-    be skipped on their min/max statistics. In exact mode the predicate is
-    equivalent; in double mode it is a slightly wider superset (the bound is
-    lowered by a relative 1e-9, far beyond double rounding), and the exact
-    double predicate still runs after it.
+    be skipped on their min/max statistics. In exact mode it is the exact
+    comparison of the raw integer (equivalent to the scaled one whenever the
+    scaling is lossless); in double mode it is a slightly wider superset
+    (the bound is lowered by a relative 1e-9, far beyond double rounding).
+    Either way the scaled predicate still runs after it, so it only ever
+    removes rows the scaled predicate would remove.
     """
     bound = Decimal(str(minimum)).scaleb(decimals)
     if not exact:
