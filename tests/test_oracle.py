@@ -63,3 +63,14 @@ def force_distributed(spark):
 def test_query_matches_oracle_with_distributed_plans(spark, con_small, force_distributed, name):
     result = compare(QUERIES[name](spark, SF_SMALL), con_small, ORACLES[name])
     assert result["match"], result
+
+
+@pytest.mark.parametrize("name", ["hop_log", "bridge_drain", "intervention_hourly",
+                                  "log_decode_daily", "laundering_v1"])
+def test_results_do_not_depend_on_ansi_mode(spark, con_small, name):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        result = compare(QUERIES[name](spark, SF_SMALL), con_small, ORACLES[name])
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+    assert result["match"], result

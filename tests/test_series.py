@@ -71,3 +71,31 @@ def test_bucket_legs_equals_bucket_flow_plus_align(spark):
     joined = align_legs([fa, fb], "k")
     assert {tuple(r) for r in stacked.collect()} == {tuple(r) for r in joined.collect()}
     assert stacked.count() == 4  # D1, D2, D3 and one NULL bucket
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_leg = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 6)), st.integers(-5, 5)),
+                max_size=15)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(_leg, _leg)
+def test_property_alignment_forms_agree(spark, a_rows, b_rows):
+    from flowtrace.operators.series import bucket_legs
+
+    def frame(rows, col):
+        return spark.createDataFrame(
+            [(None if d is None else D1 + dt.timedelta(days=d, hours=3), v) for d, v in rows],
+            f"t timestamp, {col} int")
+
+    a, b = frame(a_rows, "v"), frame(b_rows, "w")
+    fa = bucket_flow(a, "t", "day", {"sa": F.sum("v")}, bucket="k")
+    fb = bucket_flow(b, "t", "day", {"sb": F.sum("w")}, bucket="k")
+    outer = {tuple(r) for r in align_legs([fa, fb], "k").collect()}
+    spine = {tuple(r) for r in align_legs_spine([fa, fb], "k").collect()}
+    stacked = {tuple(r) for r in bucket_legs([(a, "t", {"sa": ("sum", "v")}),
+                                              (b, "t", {"sb": ("sum", "w")})],
+                                             "day", "k").collect()}
+    assert outer == spine == stacked
