@@ -91,3 +91,48 @@ KILL_CHAIN_EDGES = [
      "$50.9M BTC held in Lazarus cold wallets"),
 ]
 RECOVERED_NODES = ("Security Council Freeze",)
+
+# --- fixed values: dashboard column labels (snake_case column -> label) ---------
+HOP_LOG_LABELS = {
+    "hop_sequence": "Hop #", "block_time": "Block Time (UTC)", "block_number": "Block",
+    "tx_hash": "Tx Hash", "from_address": "From Address", "to_address": "To Address",
+    "rseth_amount": "rsETH Amount", "usd_value_m": "USD Value (M)",
+    "cumulative_rseth_drained": "Cumul. rsETH Drained", "classification": "Classification",
+}
+CONTAGION_LABELS = {
+    "hour_bucket": "Hour (UTC)", "rseth_supplied": "rsETH Supplied to Aave",
+    "rseth_supply_usd_m": "rsETH Supply USD (M)", "eth_weth_borrowed": "ETH/WETH Borrowed",
+    "eth_borrow_usd_m": "ETH Borrow USD (M)", "cumul_eth_borrowed": "Cumul. ETH Borrowed",
+}
+TVL_LABELS = {
+    "day_bucket": "Date", "net_supply_change_b": "Net Supply Change (B USD)",
+    "net_borrow_change_b": "Net Borrow Change (B USD)",
+    "cumulative_net_supply_b": "Cumulative Aave Supply TVL (B USD)",
+    "period_flag": "Period Flag",
+}
+INTERVENTION_LABELS = {
+    "hour_bucket": "Hour (UTC)", "flow_type": "Flow Type", "tx_count": "Tx Count",
+    "eth_volume": "ETH Volume", "usd_volume_m": "USD Volume (M)",
+    "cumulative_eth": "Cumulative ETH",
+}
+LAUNDERING_LABELS = {
+    "day_bucket": "Date", "thorchain_swap_count": "ThorChain Swap Count",
+    "eth_to_btc": "ETH → BTC (ThorChain)", "btc_received": "BTC Received",
+    "thorchain_volume_m": "ThorChain Volume (M USD)",
+    "tron_usdt_transfers": "Tron USDT Transfers", "tron_usdt_volume_m": "Tron USDT Volume (M)",
+    "total_laundered_m": "Total Laundered (M USD)",
+}
+LAUNDERING_V2_LABELS = {
+    "day_bucket": "Date", "thorchain_swaps": "ThorChain ETH→BTC Swaps",
+    "eth_swapped": "ETH Swapped", "btc_received": "BTC Received",
+    "thorchain_volume_m": "ThorChain Volume (M USD)",
+    "tron_large_tx_count": "Tron Large Tx Count",
+    "tron_value_usd_m": "Tron Value (M USD, est.)",
+    "total_laundering_flow_m": "Total Laundering Flow (M USD)",
+}
+KILL_CHAIN_LABELS = {
+    "step": "Step", "source_node": "Source", "target_node": "Destination",
+    "value_usd_m": "Value (M USD)", "notes": "Description",
+    "pct_of_total": "% of Total Exploit",
+}
+# The bridge-drain dashboard already uses snake_case names.

@@ -75,12 +75,7 @@ def inception_hop_log(rseth_transfers: DataFrame, *, dates=K.HOP_LOG_DATES,
     return sorted_result(out, "hop_sequence") if sort else out
 
 
-HOP_LOG_LABELS = {
-    "hop_sequence": "Hop #", "block_time": "Block Time (UTC)", "block_number": "Block",
-    "tx_hash": "Tx Hash", "from_address": "From Address", "to_address": "To Address",
-    "rseth_amount": "rsETH Amount", "usd_value_m": "USD Value (M)",
-    "cumulative_rseth_drained": "Cumul. rsETH Drained", "classification": "Classification",
-}
+HOP_LOG_LABELS = K.HOP_LOG_LABELS
 
 
 # --------------------------------------------------------------------------

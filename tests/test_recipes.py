@@ -117,3 +117,29 @@ def test_laundering_paths_defaults(spark):
                                 SCHEMAS["tron_transactions"])
     v2 = {r.day_bucket: r for r in R.laundering_path_v2(swaps, txs).collect()}
     assert v2[d19].tron_large_tx_count == 1 and v2[d19].tron_value_usd_m == 0.304
+
+
+def test_display_labels_cover_each_dashboard(spark):
+    from flowtrace.sources import bindings as B
+    from flowtrace.plans.bound import PARAMS
+    sf = "/root/testdata/sf0.001"
+    s, t = PARAMS["swaps"], PARAMS["tron"]
+    cases = [
+        (R.aave_contagion(B.lending_supply(spark, sf), B.lending_borrow(spark, sf),
+                          window=PARAMS["contagion"]["window"]), K.CONTAGION_LABELS),
+        (R.aave_tvl_drop(B.lending_supply(spark, sf), B.lending_borrow(spark, sf),
+                         window=PARAMS["tvl"]["window"], pivot=PARAMS["tvl"]["pivot"]),
+         K.TVL_LABELS),
+        (R.laundering_path_v2(B.thorchain_swaps(spark, sf), B.tron_transactions(spark, sf),
+                              window=s["window"], dates=t["dates"],
+                              from_pattern=s["from_pattern"], to_pattern=s["to_pattern"],
+                              min_usd=s["min_usd"], min_units=t["min_units"]),
+         K.LAUNDERING_V2_LABELS),
+        (R.kill_chain_summary(R.kill_chain_edges(spark)), K.KILL_CHAIN_LABELS),
+    ]
+    for df, labels in cases:
+        shown = R.display(df, labels)
+        assert shown.columns == list(labels.values())
+        assert shown.count() > 0
+    for labels in (K.INTERVENTION_LABELS, K.LAUNDERING_LABELS, K.HOP_LOG_LABELS):
+        assert len(set(labels.values())) == len(labels)
