@@ -64,3 +64,10 @@ def test_register_dashboards_as_sql_views(spark):
     assert n == 691
     top = spark.sql("SELECT pct_of_total FROM ft_kill_chain_summary WHERE step = 4").first()
     assert top.pct_of_total == 26.4
+
+    labelled = register_dashboards(spark, {"kill_chain_edges": kill_chain_edges(spark)},
+                                   prefix="ftl_", labelled=True)
+    assert labelled == ["ftl_kill_chain_summary"]
+    row = spark.sql("SELECT `% of Total Exploit` AS p FROM ftl_kill_chain_summary "
+                    "WHERE `Step` = 3").first()
+    assert row.p == 65.1
