@@ -3,7 +3,7 @@
 Environment:
   BENCH_SF_DIR   parquet folder (default /root/testdata/sf0.1)
   BENCH_CPUS     local cores (default 8)
-  BENCH_REPEATS  timed runs per query after one warm-up run (default 3)
+  BENCH_REPEATS  timed runs per query after one warm-up run (default 5)
 
 Each run builds the query (which may execute checkpoint jobs) and executes
 it fully through the ``noop`` sink. Per query the median of the timed runs
@@ -33,7 +33,7 @@ def _sf(path: str) -> float | str:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="flowtrace-bench")
 
     def run(fn) -> float:
