@@ -232,15 +232,17 @@ def nation_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     supp = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     cust = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    sn = nation.select(F.col("n_nationkey").alias("sn_key"), F.col("n_name").alias("source_node"))
-    cn = nation.select(F.col("n_nationkey").alias("cn_key"), F.col("n_name").alias("target_node"))
+    sn, cn = nation.alias("sn"), nation.alias("cn")
     # Joined one dimension at a time onto the fact rows: each dimension scan
     # is small enough to broadcast on its own, while a pre-joined dimension
     # pair would be estimated (size product) above the broadcast threshold.
+    # Both nation lookups use the same projection, so one broadcast serves both.
     flows = (lo.join(supp, lo.l_suppkey == supp.s_suppkey, "inner")
                .join(cust, lo.o_custkey == cust.c_custkey, "inner")
-               .join(sn, F.col("s_nationkey") == F.col("sn_key"), "inner")
-               .join(cn, F.col("c_nationkey") == F.col("cn_key"), "inner"))
+               .join(sn, F.col("s_nationkey") == F.col("sn.n_nationkey"), "inner")
+               .join(cn, F.col("c_nationkey") == F.col("cn.n_nationkey"), "inner")
+               .select(F.col("sn.n_name").alias("source_node"),
+                       F.col("cn.n_name").alias("target_node"), "l_extendedprice"))
     return (flows.groupBy("source_node", "target_node")
             .agg((F.sum(cents("l_extendedprice")) * F.lit(Decimal("0.000001")))
                  .alias("value_usd_m")))
