@@ -160,3 +160,48 @@ def test_raw_floor_is_exact_or_a_superset(spark):
                                          > minimum).collect()}
         pre = {r.v for r in cents.where(raw_floor("v", minimum, 2, True)).collect()}
         assert want == pre  # lossless scaling: the raw predicate is equivalent
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_keys = st.lists(st.one_of(st.none(), st.integers(0, 5)), max_size=8)
+
+
+def _sql_not_in(left, right):
+    """SQL three-valued logic: keep x only when `x NOT IN right` is TRUE."""
+    kept = []
+    for x in left:
+        if not right:
+            kept.append(x)
+        elif x is None or any(r is None for r in right) or x in right:
+            continue  # NULL (unknown) or FALSE
+        else:
+            kept.append(x)
+    return sorted(kept, key=lambda v: (v is None, v))
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(_keys, _keys)
+def test_property_not_in_matches_sql_semantics(spark, left, right):
+    ldf = spark.createDataFrame([(k,) for k in left], "k int")
+    rdf = spark.createDataFrame([(k,) for k in right], "k int")
+    got = sorted((r.k for r in not_in(ldf, rdf, "k").collect()), key=lambda v: (v is None, v))
+    assert got == _sql_not_in(left, right)
+
+
+_addr = st.sampled_from([A, B, C, None])
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(_addr, _addr), max_size=10))
+def test_property_watchlist_roles_literal_equals_table(spark, rows):
+    from flowtrace.operators import watchlist_roles
+    df = spark.createDataFrame(rows, "sender binary, receiver binary")
+    lit = watchlist_roles(df, A, B, K.ROLE_LABELS)
+    tab = watchlist_roles(df, spark.createDataFrame([(A,)], "a binary"),
+                          spark.createDataFrame([(B,)], "a binary"), K.ROLE_LABELS)
+    norm = lambda d: sorted(((bytes(r.sender) if r.sender is not None else b"",
+                              bytes(r.receiver) if r.receiver is not None else b"",
+                              r.transfer_type) for r in d.collect()))
+    assert norm(lit) == norm(tab)
