@@ -81,3 +81,23 @@ def test_safe_scaling_quarantines_uint256_overflow(spark):
     with pytest.raises(Exception):
         normalize_transfers(df, tx_hash="h", block_time="t", sender="s", receiver="r",
                             value="v", exact=True).collect()
+
+
+from decimal import ROUND_HALF_UP  # noqa: E402
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(-10 ** 16, 10 ** 16), min_size=1, max_size=20),
+       st.sampled_from([(6, 3), (9, 3), (6, 2)]))
+def test_property_round_scaled_is_one_half_up_rounding(spark, cents, pd):
+    power, digits = pd
+    df = spark.createDataFrame([(Decimal(c).scaleb(-2),) for c in cents], "v decimal(18,2)")
+    # a SUM widens the type to decimal(28,2); scaling it multiplies into the
+    # range where Spark would otherwise cut the scale
+    got = df.agg(round_scaled(F.sum("v"), power, digits, exact=True).alias("r")).first().r
+    total = sum(Decimal(c).scaleb(-2) for c in cents)
+    want = total.scaleb(-power).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP)
+    assert got == want
