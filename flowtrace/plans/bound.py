@@ -55,6 +55,7 @@ def _doubles(df: DataFrame, cols) -> DataFrame:
 # ---------------------------------------------------------------- Q1 ------
 
 def hop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1: transfers above the threshold in a closed date window, numbered, tiered, with a running total."""
     p = PARAMS["hop_log"]
     return R.inception_hop_log(B.rseth_evt_transfer(spark, sf_dir), dates=p["dates"],
                                min_amount=p["min_amount"], bounds=p["bounds"],
@@ -62,6 +63,7 @@ def hop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def primary_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RD-5: the largest hop of the hop log."""
     p = PARAMS["hop_log"]
     hops = R.inception_hop_log(B.rseth_evt_transfer(spark, sf_dir), dates=p["dates"],
                                min_amount=p["min_amount"], bounds=p["bounds"],
@@ -70,6 +72,7 @@ def primary_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RD-6: hop count, first and last hop time, and the span in seconds."""
     p = PARAMS["hop_log"]
     scoped = B.rseth_evt_transfer(spark, sf_dir)
     hops = R.inception_hop_log(scoped, dates=p["dates"], min_amount=p["min_amount"],
@@ -123,6 +126,7 @@ def _nation_watchlists(spark: SparkSession, sf_dir: str):
 
 
 def bridge_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1b: watchlist transfers of one token with roles and the exploit running total."""
     p = PARAMS["bridge_drain"]
     origin, suspect = _nation_watchlists(spark, sf_dir)
     contract = p["token"].encode().rjust(B.ADDRESS_BYTES, b"\x00")
@@ -134,12 +138,14 @@ def bridge_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- Q2 / Q2b -
 
 def hourly_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2: hourly collateral supplied vs ETH/WETH borrowed, aligned, with cumulative borrow."""
     p = PARAMS["contagion"]
     return R.aave_contagion(B.lending_supply(spark, sf_dir), B.lending_borrow(spark, sf_dir),
                             window=p["window"], exact=True)
 
 
 def daily_net_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2b: daily net supply and borrow flows, cumulative net supply, period flag."""
     p = PARAMS["tvl"]
     return R.aave_tvl_drop(B.lending_supply(spark, sf_dir), B.lending_borrow(spark, sf_dir),
                            window=p["window"], pivot=p["pivot"], exact=True)
@@ -154,11 +160,13 @@ def _supply_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peak_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RD-3: the hour with the most collateral supplied."""
     peak = findings.peak_bucket(_supply_hourly(spark, sf_dir), "hour_bucket", "rseth_supplied")
     return _doubles(peak, {"peak_rseth_supplied"})
 
 
 def leverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RD-4: borrowed over deposited collateral (USD) in the contagion window."""
     p = PARAMS["contagion"]
     collateral = R.lending_leg(B.lending_supply(spark, sf_dir), window=p["window"],
                                chain="ethereum", project="aave", symbols=("rsETH",),
@@ -173,6 +181,7 @@ def leverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- Q3 ------
 
 def intervention_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3: watched-address activity plus large moves (NOT IN), per hour and flow type."""
     p = PARAMS["intervention"]
     council = p["council_key"].to_bytes(B.ADDRESS_BYTES, "big")
     executor = p["executor_key"].to_bytes(B.ADDRESS_BYTES, "big")
@@ -196,10 +205,12 @@ def _swaps(spark, sf_dir, round_rows):
 
 
 def swap_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4v2 leg A: large swaps per day, summed then rounded."""
     return _doubles(_swaps(spark, sf_dir, False), SWAP_COLS)
 
 
 def swap_daily_rounded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4 leg A: large swaps per day, each swap rounded first."""
     return _doubles(_swaps(spark, sf_dir, True), SWAP_COLS)
 
 
@@ -208,6 +219,7 @@ def _tron_contract() -> bytes:
 
 
 def log_decode_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4 leg B: decoded token-transfer logs above the threshold per day."""
     p = PARAMS["tron"]
     out = R.tron_usdt_daily(B.tron_logs(spark, sf_dir), dates=p["dates"],
                             contract=_tron_contract(), topic0=K.ERC20_TRANSFER_TOPIC,
@@ -216,6 +228,7 @@ def log_decode_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def native_proxy_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4v2 leg B: large native transfers per day with estimated USD."""
     p = PARAMS["tron"]
     out = R.tron_native_daily(B.tron_transactions(spark, sf_dir), dates=p["dates"],
                               min_units=p["min_units"], price=p["price"], exact=True)
@@ -223,6 +236,7 @@ def native_proxy_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def laundering_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: both laundering channels on one day axis with the daily total."""
     s, t = PARAMS["swaps"], PARAMS["tron"]
     return R.laundering_path(
         B.thorchain_swaps(spark, sf_dir), B.tron_logs(spark, sf_dir), window=s["window"],
@@ -232,6 +246,7 @@ def laundering_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def laundering_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4v2: swaps and the native-value proxy on one day axis with the daily total."""
     s, t = PARAMS["swaps"], PARAMS["tron"]
     return R.laundering_path_v2(
         B.thorchain_swaps(spark, sf_dir), B.tron_transactions(spark, sf_dir),
@@ -243,6 +258,7 @@ def laundering_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- Q5 ------
 
 def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5 / OP-19: numbered flow edges with each edge's percent of the total."""
     edges = graph.number_edges(B.nation_flow_edges(spark, sf_dir))
     out = graph.flow_edges(edges, value="value_usd_m", out="pct_of_total")
     return _doubles(out.select("step", "source_node", "target_node", "value_usd_m",
@@ -250,16 +266,19 @@ def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-20: per node and direction, the summed edge value."""
     out = graph.node_totals(B.nation_flow_edges(spark, sf_dir), value="value_usd_m")
     return _doubles(out, {"total"})
 
 
 def fund_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RD-1: nodes holding more than they sent, with the surplus."""
     out = graph.fund_destinations(B.nation_flow_edges(spark, sf_dir), value="value_usd_m")
     return _doubles(out, {"resting_value"})
 
 
 def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RD-2: resting value split into recovered and at-risk nodes."""
     out = graph.recovery(B.nation_flow_edges(spark, sf_dir), PARAMS["recovered_nodes"],
                          value="value_usd_m")
     return _doubles(out, {"amount"})
