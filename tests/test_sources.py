@@ -71,3 +71,14 @@ def test_register_dashboards_as_sql_views(spark):
     row = spark.sql("SELECT `% of Total Exploit` AS p FROM ftl_kill_chain_summary "
                     "WHERE `Step` = 3").first()
     assert row.p == 65.1
+
+
+def test_scale_settings_bounds():
+    from flowtrace.session import MAX_SHUFFLE_PARTITIONS, scale_settings
+    big = scale_settings(100 * 2 ** 40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == MAX_SHUFFLE_PARTITIONS
+    small = scale_settings(37 * 2 ** 20, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 24  # three waves of 8 cores
+    mid = scale_settings(512 * 2 ** 30, 64)
+    assert int(mid["spark.sql.shuffle.partitions"]) == 2048  # 512 GiB / 256 MiB
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
