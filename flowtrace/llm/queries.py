@@ -1,9 +1,10 @@
 """The subpackage's registered queries."""
 
 from flowtrace.llm.byte_bpe import op5_byte_bpe
+from flowtrace.llm.token_store import op10_token_store
 
 QUERIES = {f.__name__: f for f in (
-    op5_byte_bpe,
+    op5_byte_bpe, op10_token_store,
 )}
 
 #: DuckDB SQL of those queries that SQL can express.
