@@ -1,10 +1,12 @@
 """The subpackage's registered queries."""
 
 from flowtrace.llm.byte_bpe import op5_byte_bpe
+from flowtrace.llm.phrase_dedup import op9_phrase_dedup
+from flowtrace.llm.suffix_dedup import op4_suffix_dedup
 from flowtrace.llm.token_store import op10_token_store
 
 QUERIES = {f.__name__: f for f in (
-    op5_byte_bpe, op10_token_store,
+    op4_suffix_dedup, op5_byte_bpe, op9_phrase_dedup, op10_token_store,
 )}
 
 #: DuckDB SQL of those queries that SQL can express.
