@@ -134,8 +134,9 @@ def find(docs: DataFrame) -> DataFrame:
                                                   F.size(f"m_{r.name}"))).alias(f"g_{r.name}")
         for r in RULES))
     df = df.select("doc_id", "text", *(f"m_{n}" for n in names), *(f"g_{n}" for n in names), *(
-        F.when(F.col(f"g_{n}").isNotNull(), _prefix_sums(F.zip_with(
-            f"g_{n}", f"m_{n}", lambda g, m: F.char_length(g) + F.char_length(m)))).alias(f"b_{n}")
+        F.when(F.col(f"g_{n}").isNotNull(), F.get(F.transform(
+            F.array(F.zip_with(f"g_{n}", f"m_{n}", lambda g, m: F.char_length(g) + F.char_length(m))),
+            _prefix_sums), F.lit(0))).alias(f"b_{n}")
         for n in names))
 
     def spans(rule: Rule) -> Column:
