@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from flowtrace.llm.arrays import binary_array, gather_slices, ranges, text_buffers
 from flowtrace.llm.tables import table
 
-CHUNK_TOKENS = 4_000_000
+#: Positions in a chunk, and of a chunk in work at a time.
+CHUNK_TOKENS, SLICE = 1_500_000, 1 << 18
 
 #: White_Space code points (fixed values of the Unicode property).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -120,65 +121,74 @@ def _packed(codes: np.ndarray) -> bytes:
 
 
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint32)
     planes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.uint8)
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
-_CHUNK = "chunk long, bucket int, doc_ids array<long>, counts array<int>, packed binary, " \
-         "idx array<int>, words array<binary>"
+_POSITIONS = "chunk long, doc_ids array<long>, counts array<int>, n_words int, buckets binary, " \
+             "codes binary"
+_WORDS = "chunk long, bucket int, n int, sizes binary, words binary"
+_IDS = "chunk long, bucket int, n int, sizes binary, n_ids int, ids binary"
+
+
+def _rows(schema: list, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, (_, t) in zip(columns, schema)], [n for n, _ in schema])
 
 
 def _chunker(buckets: int, want_words: bool, chunk_tokens: int):
+    """Scan task: one row of positions per chunk, or its distinct words, one
+    row per bucket. Words are numbered by frequency; each knows its bucket."""
+
     def run(batches):
         import xxhash
         from pyspark import TaskContext
 
         task, seq = TaskContext.get().partitionId(), 0
         classes, held, size = Classes(), [], 0
-        names = ["chunk", "bucket", "doc_ids", "counts", "packed", "idx", "words"]
-        types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()),
-                 pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())]
 
         def flush():
-            codes = pa.chunked_array([c for _, _, c in held]).unify_dictionaries()
-            words = codes.chunk(0).dictionary
-            index = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in codes.chunks])
-            # Frequent words get small codes, which compress well.
+            coded = pa.chunked_array([c for _, _, c in held]).unify_dictionaries()
+            index = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
+            words = coded.chunk(0).dictionary
             order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
             words = words.take(pa.array(order)).to_pylist()
             doc_ids = [i for ids, _, _ in held for i in ids]
-            counts = np.concatenate([c for _, c, _ in held])
             # The content names the chunk, so that words and positions that
             # were read by different attempts can't be mixed up.
-            digest = xxhash.xxh3_64(repr(doc_ids).encode())
+            digest = xxhash.xxh3_64(repr((task, seq, doc_ids)).encode())
             digest.update(b"\0".join(words))
-            digest.update(f"{task}/{seq}".encode())
             chunk = digest.intdigest() - (1 << 63)
+            of = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words),
+                             np.int64, len(words))
             if not want_words:
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
-                rows = [{"chunk": chunk, "bucket": -1, "doc_ids": doc_ids,
-                         "counts": counts, "packed": _packed(rank[index]),
-                         "idx": None, "words": None}]
-            else:
-                of = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words),
-                                 np.int64, len(words))
-                by = np.argsort(of, kind="stable")
-                cuts = np.searchsorted(of[by], np.arange(buckets + 1))
-                rows = [{"chunk": chunk, "bucket": b, "doc_ids": None, "counts": None,
-                         "packed": None, "idx": by[cuts[b]:cuts[b + 1]],
-                         "words": [words[i] for i in by[cuts[b]:cuts[b + 1]]]}
-                        for b in range(buckets) if cuts[b + 1] > cuts[b]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
+                return _rows(
+                    [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+                     ("counts", pa.list_(pa.int32())), ("n_words", pa.int32()),
+                     ("buckets", pa.binary()), ("codes", pa.binary())],
+                    [(chunk, doc_ids, np.concatenate([c for _, c, _ in held]), len(words),
+                      _packed(of), _packed(rank[index]))])
+            by = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[by], np.arange(buckets + 1)).tolist()
+            rows = []
+            for k in range(buckets):
+                mine = [words[i] for i in by[cuts[k]:cuts[k + 1]].tolist()]
+                rows.append((chunk, k, len(mine), _packed(np.fromiter(map(len, mine), np.int64, len(mine))),
+                             pa.compress(b"".join(mine), codec="zstd", asbytes=True)))
+            return _rows([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()),
+                          ("sizes", pa.binary()), ("words", pa.binary())], rows)
 
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             starts, before = pre_tokens(data, offsets, classes)
-            coded = binary_array(data, np.append(starts, len(data))).dictionary_encode()
-            if not len(starts):
-                coded = pa.DictionaryArray.from_arrays(pa.array([], pa.int32()),
-                                                       pa.array([], pa.large_binary()))
+            coded = binary_array(data, np.append(starts, len(data))).dictionary_encode() if len(starts) \
+                else pa.DictionaryArray.from_arrays(pa.array([], pa.int32()),
+                                                    pa.array([], pa.large_binary()))
             held.append((batch.column("doc_id").to_pylist(), np.diff(before).astype(np.int32), coded))
             size += len(starts)
             if size >= chunk_tokens:
@@ -191,69 +201,66 @@ def _chunker(buckets: int, want_words: bool, chunk_tokens: int):
 
 
 def _encoder(rank_file: str, pattern: str):
-    """Words of one bucket to ids: every distinct word once per bucket."""
+    """Words of a bucket to ids: every distinct word of the corpus meets here
+    and is encoded once."""
 
     def run(batches):
         import tiktoken
 
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, special_tokens={},
                                      mergeable_ranks=vocabulary(rank_file))
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            for chunk, idx, words in zip(batch.column("chunk").to_pylist(),
-                                         batch.column("idx"), batch.column("words").to_pylist()):
-                fresh = [w for w in words if w not in known]
-                known.update((w, encoding.encode_ordinary(w.decode())) for w in fresh)
-                found = [known[w] for w in words]
-                sizes = np.fromiter(map(len, found), np.int32, len(found))
-                flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int64()),
-                     pa.array([idx.values.to_numpy()], pa.list_(pa.int32())),
-                     pa.array([sizes], pa.list_(pa.int32())), pa.array([flat], pa.list_(pa.int32()))],
-                    ["chunk", "idx", "sizes", "ids"])
+            for row in batch.to_pylist():
+                sizes = _unpacked(row["sizes"], row["n"]).astype(np.int64)
+                ends = np.cumsum(sizes)
+                text = pa.decompress(row["words"], int(sizes.sum()), codec="zstd", asbytes=True)
+                found = []
+                for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+                    word = text[a:b]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = np.array(encoding.encode_ordinary(word.decode()), np.uint32)
+                    found.append(ids)
+                ids = np.concatenate([*found, np.zeros(0, np.uint32)])
+                yield _rows(
+                    [("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()),
+                     ("sizes", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())],
+                    [(row["chunk"], row["bucket"], row["n"],
+                      _packed(np.fromiter(map(len, found), np.int64, len(found))), len(ids), _packed(ids))])
 
     return run
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([c.flatten().to_numpy() for c in column.chunks])
-
-
 def _reassemble(key, positions: pa.Table, words: pa.Table) -> pa.Table:
     """Documents of one chunk from its positions and its words' ids."""
-    idx, sizes, ids = (_flat(words.column(n)) if words.num_rows else np.zeros(0, np.int64)
-                       for n in ("idx", "sizes", "ids"))
-    total = len(idx)
     if positions.num_rows != 1:
         raise RuntimeError("the documents were read in another order meanwhile")
-    doc_ids = positions.column("doc_ids").to_pylist()[0]
-    counts = np.asarray(positions.column("counts").to_pylist()[0], np.int64)
-    n = int(counts.sum())
-    codes = _unpacked(positions.column("packed")[0].as_py(), n) if n else np.zeros(0, np.uint32)
-    first = np.zeros(total, np.int64)
-    length = np.zeros(total, np.int64)
-    length[idx] = sizes
-    first[idx] = np.cumsum(sizes) - sizes
+    chunk = positions.to_pylist()[0]
+    replies = sorted(words.to_pylist(), key=lambda r: r["bucket"])
+    order = np.argsort(_unpacked(chunk["buckets"], chunk["n_words"]), kind="stable")
+    sizes = np.concatenate([np.zeros(0, np.int64),
+                            *(_unpacked(r["sizes"], r["n"]).astype(np.int64) for r in replies)])
+    ids = np.concatenate([np.zeros(0, np.uint32), *(_unpacked(r["ids"], r["n_ids"]) for r in replies)])
+    first, length = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    length[order] = sizes
+    first[order] = np.cumsum(sizes) - sizes
+    counts = np.asarray(chunk["counts"], np.int64)
     ends = np.append(0, np.cumsum(counts))
-    out = []
-    step = 1 << 20
-    # Documents in slices of about a million positions.
-    cut = [0]
-    while cut[-1] < len(counts):
-        cut.append(max(cut[-1] + 1, int(np.searchsorted(ends, ends[cut[-1]] + step, "right")) - 1))
-    for a, b in zip(cut[:-1], cut[1:]):
+    codes = _unpacked(chunk["codes"], int(ends[-1]))
+    out, a = [], 0
+    while a < len(counts):  # documents in slices of about SLICE positions
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
         part = codes[ends[a]:ends[b]]
         lengths = length[part]
         flat = ids[ranges(first[part], lengths)]
-        sums = np.append(0, np.cumsum(lengths))
-        offsets = sums[ends[a:b + 1] - ends[a]]
+        offsets = np.append(0, np.cumsum(lengths))[ends[a:b + 1] - ends[a]]
         out.append(pa.Table.from_arrays(
-            [pa.array(doc_ids[a:b], pa.int64()),
-             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))],
-            ["doc_id", "ids"]))
-    return pa.concat_tables(out) if out else pa.table(
-        {"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+            [pa.array(chunk["doc_ids"][a:b], pa.int64()),
+             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
+                                      pa.array(flat.astype(np.int32)))], ["doc_id", "ids"]))
+        a = b
+    return pa.concat_tables(out)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str,
@@ -265,14 +272,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str,
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = docs.mapInArrow(_chunker(buckets, True, chunk_tokens), _CHUNK) \
-        .select("chunk", "bucket", "idx", "words") \
-        .repartition(buckets, "bucket") \
-        .select("chunk", "idx", "words") \
-        .mapInArrow(_encoder(rank_file, pattern),
-                    "chunk long, idx array<int>, sizes array<int>, ids array<int>")
-    positions = docs.mapInArrow(_chunker(buckets, False, chunk_tokens), _CHUNK) \
-        .select("chunk", "doc_ids", "counts", "packed")
+    words = docs.mapInArrow(_chunker(buckets, True, chunk_tokens), _WORDS) \
+        .repartition(buckets, "bucket").mapInArrow(_encoder(rank_file, pattern), _IDS)
+    positions = docs.mapInArrow(_chunker(buckets, False, chunk_tokens), _POSITIONS)
     return positions.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(
         _reassemble, "doc_id long, ids array<int>")
 
