@@ -2,13 +2,14 @@
 
 from flowtrace.llm.byte_bpe import op5_byte_bpe
 from flowtrace.llm.decontamination import op7_decontamination
+from flowtrace.llm.jaccard_join import op3_jaccard_join
 from flowtrace.llm.phrase_dedup import op9_phrase_dedup
 from flowtrace.llm.pii import op6_pii
 from flowtrace.llm.suffix_dedup import op4_suffix_dedup
 from flowtrace.llm.token_store import op10_token_store
 
 QUERIES = {f.__name__: f for f in (
-    op4_suffix_dedup, op5_byte_bpe, op6_pii, op7_decontamination, op9_phrase_dedup, op10_token_store,
+    op3_jaccard_join, op4_suffix_dedup, op5_byte_bpe, op6_pii, op7_decontamination, op9_phrase_dedup, op10_token_store,
 )}
 
 #: DuckDB SQL of those queries that SQL can express.
