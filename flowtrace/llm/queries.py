@@ -5,11 +5,14 @@ from flowtrace.llm.decontamination import op7_decontamination
 from flowtrace.llm.jaccard_join import op3_jaccard_join
 from flowtrace.llm.phrase_dedup import op9_phrase_dedup
 from flowtrace.llm.pii import op6_pii
+from flowtrace.llm.quality import op8_quality
 from flowtrace.llm.suffix_dedup import op4_suffix_dedup
 from flowtrace.llm.token_store import op10_token_store
+from flowtrace.llm.warc import op1_warc
 
 QUERIES = {f.__name__: f for f in (
-    op3_jaccard_join, op4_suffix_dedup, op5_byte_bpe, op6_pii, op7_decontamination, op9_phrase_dedup, op10_token_store,
+    op1_warc, op3_jaccard_join, op4_suffix_dedup, op5_byte_bpe, op6_pii, op7_decontamination, op8_quality,
+    op9_phrase_dedup, op10_token_store,
 )}
 
 #: DuckDB SQL of those queries that SQL can express.
