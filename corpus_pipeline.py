@@ -1,30 +1,69 @@
-"""The document pipeline: five stages over the documents table."""
+"""The document pipeline: five stages over the documents table.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and
+returns a DataFrame; all but the last keep the columns of documents. Rows
+without doc_id leave at the near-duplicate stage, as do all but the smallest
+text of rows that repeat one; the stages' operators define the other cases.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowtrace.llm import byte_bpe, decontamination, jaccard_join, pii, quality
+from flowtrace.llm.tables import bounded_batches, one_whole_row_per_id, stored, table
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    bounded_batches(spark)
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by similarity, the one with the smallest id."""
+    bounded_batches(spark)
+    docs = one_whole_row_per_id(docs)
+    kept = jaccard_join.similar(docs).where("doc_id = component_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with a benchmark item."""
+    found = decontamination.hits(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+
 
-from flowtrace.llm.byte_bpe import round_trip
-from flowtrace.llm.tables import bounded_batches, stored, table
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars follows."""
+    clean = pii.redacted(pii.find(docs))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return clean.select("doc_id", "text", *(
+        F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"rest.`{c}`")
+        for c in others)).select(docs.columns)
 
 
-def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents that are left."""
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded bytes."""
     bounded_batches(spark)
-    return round_trip(docs)
+    return byte_bpe.round_trip(docs)
 
 
 #: In this order; each stage's result is written and read as the next one's docs.
 STAGES = [
-    ("byte_bpe", byte_bpe),
+    ("quality", classify),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("pii", redact),
+    ("byte_bpe", tokenise),
 ]
 
-#: Classifier votes, similarity components and BPE merges aren't expressible.
+#: Classifier votes and BPE merges can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -116,24 +116,27 @@ def _prefix_sums(lengths: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans): spans are structs (kind, rank, start, stop, base,
-    score), offsets in code points, ordered by kind and start."""
+    """(doc_id, text, rest, spans): spans are structs (rank of the kind, start,
+    stop, base, score), offsets in code points, ordered by kind and start;
+    rest holds the other columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", text.alias("text"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.lit(None).cast("string")
+    df = docs.select("doc_id", text.alias("text"), rest.alias("rest"))
     names = [r.name for r in RULES]
 
     def when_hinted(rule, value):
         return value if not rule.hint else F.when(F.contains(F.col("text"), F.lit(rule.hint)), value)
 
-    df = df.select("doc_id", "text", *(
+    df = df.select("doc_id", "text", "rest", *(
         F.coalesce(when_hinted(r, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))),
                    F.array().cast("array<string>")).alias(f"m_{r.name}") for r in RULES))
     # What stands between the matches gives their places.
-    df = df.select("doc_id", "text", *(f"m_{n}" for n in names), *(
+    df = df.select("doc_id", "text", "rest", *(f"m_{n}" for n in names), *(
         F.when(F.size(f"m_{r.name}") > 0, F.slice(F.split("text", r.pattern, -1), F.lit(1),
                                                   F.size(f"m_{r.name}"))).alias(f"g_{r.name}")
         for r in RULES))
-    df = df.select("doc_id", "text", *(f"m_{n}" for n in names), *(f"g_{n}" for n in names), *(
+    df = df.select("doc_id", "text", "rest", *(f"m_{n}" for n in names), *(f"g_{n}" for n in names), *(
         F.when(F.col(f"g_{n}").isNotNull(), F.get(F.transform(
             F.array(F.zip_with(f"g_{n}", f"m_{n}", lambda g, m: F.char_length(g) + F.char_length(m))),
             _prefix_sums), F.lit(0))).alias(f"b_{n}")
@@ -157,11 +160,11 @@ def find(docs: DataFrame) -> DataFrame:
 
     base = F.concat(*(spans(r) for r in RULES if r.base))
     more = F.filter(F.concat(*(spans(r) for r in RULES if not r.base)), lambda x: x["score"] >= THRESHOLD)
-    df = df.select("doc_id", "text", base.alias("found"), more.alias("more"))
+    df = df.select("doc_id", "text", "rest", base.alias("found"), more.alias("more"))
     # A span that the base has already is not added again.
     new = F.filter("more", lambda x: ~F.exists("found", lambda y: (y["rank"] == x["rank"]) & (
         y["start"] == x["start"]) & (y["stop"] == x["stop"])))
-    return df.select("doc_id", "text", F.array_sort(F.concat("found", new)).alias("spans"))
+    return df.select("doc_id", "text", "rest", F.array_sort(F.concat("found", new)).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -182,7 +185,7 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def redacted(found: DataFrame) -> DataFrame:
-    """(doc_id, text) with every span replaced by its kind in brackets;
+    """(doc_id, text, rest) with every span replaced by its kind in brackets;
     overlapping spans become one, named after the first."""
     kinds = F.array(*map(F.lit, KINDS))
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(
@@ -198,11 +201,11 @@ def redacted(found: DataFrame) -> DataFrame:
                 F.lit("["), F.get(kinds, x["rank"]), F.lit("]"))))).otherwise(acc["parts"]).alias("parts"))
 
     done = F.aggregate(ordered, zero, step)
-    clean = found.select("doc_id", "text", "spans", F.when(F.size("spans") > 0, done).alias("done"))
+    clean = found.select("doc_id", "text", "rest", F.when(F.size("spans") > 0, done).alias("done"))
     return clean.select("doc_id", F.when(
         F.col("done").isNotNull(),
         F.concat(F.array_join("done.parts", ""), F.substr("text", F.col("done.at") + 1)))
-        .otherwise(F.col("text")).alias("text"))
+        .otherwise(F.col("text")).alias("text"), "rest")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "text")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs``, all columns, that the model doesn't reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(counts(batch.column("text"))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))

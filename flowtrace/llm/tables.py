@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowtrace.session import ensure_checkpoint_dir
@@ -49,3 +49,12 @@ def one_row_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     if not odd.count():
         return docs
     return docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def one_whole_row_per_id(docs: DataFrame) -> DataFrame:
+    """As :func:`one_row_per_id`, with all columns."""
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1)
+    if not odd.count():
+        return docs
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    return docs.where("doc_id is not null").withColumn("_place", place).where("_place = 1").drop("_place")
