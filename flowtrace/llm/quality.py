@@ -93,6 +93,16 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def right_vectors(x: np.ndarray, k: int) -> np.ndarray:
+    """The k leading right singular vectors, by subspace iteration."""
+    basis = np.random.default_rng(0).standard_normal((x.shape[1], k + 16)).astype(np.float32)
+    for _ in range(8):
+        basis, _ = np.linalg.qr(x.T @ (x @ basis))
+    inner = x @ basis
+    _, turn = np.linalg.eigh(inner.T @ inner)
+    return (basis @ turn[:, ::-1][:, :k]).astype(np.float32)
+
+
 class Model:
     """Term weights, projection, and the labelled vectors."""
 
@@ -100,8 +110,7 @@ class Model:
         self.idf, self.labels = idf, labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
         x = weighted(c, idf)
-        values, vectors = np.linalg.eigh(x.T @ x)  # right singular vectors of x
-        self.projection = vectors[:, ::-1][:, :DIMENSIONS].astype(np.float32)
+        self.projection = right_vectors(x, DIMENSIONS)
         self.vectors = self._unit(x)
 
     def _unit(self, x):
