@@ -74,7 +74,3 @@ def any_equal(c, values) -> Column:
     if len(values) == 1:
         return _col(c) == F.lit(values[0])
     return _col(c).isin(values)
-
-
-def is_dataframe(obj) -> bool:
-    return isinstance(obj, DataFrame)

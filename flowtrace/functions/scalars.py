@@ -29,9 +29,10 @@ def scale_units(raw, decimals: int, exact: bool = False, raw_precision: int = 38
     """Raw integer token amount -> whole tokens.
 
     ``exact=False`` follows the dashboards: ``CAST(raw AS DOUBLE) / 10^d``.
-    ``exact=True`` keeps a decimal: the raw value is read as
-    ``decimal(raw_precision, 0)`` and multiplied by ``10^-d``, which is exact
-    as long as ``raw_precision + d`` fits Spark's 38 digits.
+    ``exact=True`` keeps every digit: whole tokens and the remainder are
+    scaled apart, as a product of 38-digit decimals would be rounded to six
+    places. The result is ``decimal(38, d)``, so up to ``38 - d`` digits of
+    whole tokens; more overflow (an error, or NULL without ANSI).
     ``safe=True`` uses ``try_cast``: a raw value that does not fit (a
     uint256 beyond 38 digits stored as text) becomes NULL instead of failing
     the job under ANSI mode; :func:`flowtrace.operators.transfers.quarantined`
@@ -39,26 +40,19 @@ def scale_units(raw, decimals: int, exact: bool = False, raw_precision: int = 38
     """
     raw = _col(raw)
     if exact:
-        factor = F.lit(Decimal(1).scaleb(-decimals))
         kind = f"decimal({raw_precision},0)"
-        return (raw.try_cast(kind) if safe else raw.cast(kind)) * factor
+        units = raw.try_cast(kind) if safe else raw.cast(kind)
+        if raw_precision + decimals + 1 <= 38:
+            return units * F.lit(Decimal(1).scaleb(-decimals))
+        base = F.lit(Decimal(10) ** decimals).cast(f"decimal({decimals + 1},0)")
+        rest = units % base
+        whole = ((units - rest) / base).cast(f"decimal({37 - decimals},0)")
+        part = rest.cast(f"decimal({decimals},0)") * F.lit(Decimal(1).scaleb(-decimals))
+        return (whole + part).cast(f"decimal(38,{decimals})")
     as_double = raw.try_cast("double") if safe else raw.cast("double")
     return as_double / F.lit(float(10 ** decimals))
 
 
-def scale_down(value, power: int, exact: bool = False) -> Column:
-    """Report scaling (to millions, billions): ``value / 10^power``.
-
-    Exact mode multiplies by ``10^-power`` so decimal inputs stay decimal
-    (dividing decimals would widen the scale and, in other engines, turn the
-    result into a double).
-    """
-    value = _col(value)
-    if exact:
-        return value * F.lit(Decimal(1).scaleb(-power))
-    return value / F.lit(float(10 ** power))
-
-
 def hex_upper(c) -> Column:
     """Binary -> upper-case hex without prefix (``to_hex``)."""
     return F.hex(_col(c))
@@ -76,13 +70,22 @@ def shorten(c, length: int, suffix: str = "...") -> Column:
 
 
 def bytes_to_bigint(c) -> Column:
-    """Big-endian varbinary -> bigint.
+    """Big-endian varbinary -> bigint; NULL beyond the signed 64-bit range
+    (see :func:`bytes_to_decimal` for wider words)."""
+    return bytes_to_decimal(c).try_cast("bigint")
+
+
+def bytes_to_decimal(c) -> Column:
+    """Big-endian varbinary -> decimal(38,0).
 
-    Leading zero bytes are allowed (32-byte ABI words). A value beyond the
-    signed 64-bit range raises under ANSI mode, like the SQL engine the
-    dashboards ran on.
+    Leading zero bytes are allowed (32-byte ABI words). A value of more than
+    15 bytes doesn't fit and becomes NULL, so that one bad payload does not
+    end the job; callers report such rows.
     """
-    return F.conv(F.hex(_col(c)), 16, 10).cast("decimal(20,0)").cast("bigint")
+    digits = F.ltrim(F.hex(_col(c)), F.lit("0"))
+    wide = F.lpad(digits, 30, "0")
+    high, low = (F.conv(F.substring(wide, at, 15), 16, 10).cast("decimal(19,0)") for at in (1, 16))
+    return F.when(F.length(digits) <= 30, (high * F.lit(Decimal(2 ** 60)) + low).cast("decimal(38,0)"))
 
 
 def int_to_bytes(c, width: int) -> Column:
@@ -124,10 +127,6 @@ def truncate_time(c, unit: str, like: DataType | None = None) -> Column:
     return out
 
 
-def to_double(c) -> Column:
-    return _col(c).cast("double")
-
-
 def round_scaled(value, power: int, digits: int, exact: bool = False) -> Column:
     """``ROUND(value / 10^power, digits)`` (report scaling, e.g. to millions).
 

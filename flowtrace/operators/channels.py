@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import window_predicate
-from ..functions.scalars import bytes_to_bigint, lit_number, round_scaled, scale_units
+from ..functions.scalars import bytes_to_decimal, lit_number, round_scaled, scale_units
 from .transfers import raw_floor
 
 
@@ -27,7 +27,7 @@ def large_swaps(df: DataFrame, *, from_pattern: str, to_pattern: str, min_usd,
 
 def swap_values(swaps: DataFrame, *, time_col: str = "block_timestamp",
                 usd: str = "from_amount_usd", sent: str = "from_amount",
-                received: str = "to_amount", round_rows: bool = False) -> DataFrame:
+                 received: str = "to_amount", round_rows: bool = False) -> DataFrame:
     """Row-level part of :func:`swap_daily`: time, USD and the two amounts,
     each swap rounded first (USD to 2, amounts to 4) when ``round_rows``."""
     if round_rows:
@@ -81,18 +81,27 @@ def decode_token_transfers(logs: DataFrame, *, contract: bytes, topic0: bytes,
                            time_col: str = "block_time", data: str = "data",
                            contract_col: str = "contract_address",
                            topic_col: str = "topic0",
-                           keep: Sequence[str] = ("tx_hash",)) -> DataFrame:
-    """OP-16: token Transfer logs of one contract -> ``(block_time,
-    day_bucket, amount)``. The amount is the big-endian payload word as a
-    bigint, scaled by ``10^decimals``. Date bounds are half-open and hit the
+                           keep: Sequence[str] | None = None) -> DataFrame:
+    """OP-16: token Transfer logs of one contract -> ``(block_time, …keep,
+    amount)``. The amount is the big-endian payload word, scaled by
+    ``10^decimals``; NULL where the word has more than 15 bytes (see
+    :func:`unreadable_logs`). ``keep`` defaults to the hash, sender and
+    receiver of the transaction, as far as the logs have them. Date bounds are half-open and hit the
     partition column; contract and topic are binary equalities pushed into
     the scan."""
     kept = logs.where(window_predicate(date_col, start, end)
                       & (F.col(contract_col) == F.lit(contract))
                       & (F.col(topic_col) == F.lit(topic0)))
-    raw = bytes_to_bigint(data)
+    if keep is None:
+        keep = [c for c in ("tx_hash", "tx_from", "tx_to") if c in logs.columns]
     return kept.select(F.col(time_col), *keep,
-                       scale_units(raw, decimals, exact=exact, raw_precision=20).alias("amount"))
+                       scale_units(bytes_to_decimal(data), decimals, exact=exact).alias("amount"))
+
+
+def unreadable_logs(logs: DataFrame, data: str = "data") -> DataFrame:
+    """Logs whose payload is present but too wide for an amount: kept aside
+    for inspection, as their transfers are not in any sum."""
+    return logs.where(F.col(data).isNotNull() & bytes_to_decimal(data).isNull())
 
 
 def large_transfer_values(transfers: DataFrame, min_amount, *,
@@ -126,7 +135,7 @@ def native_values(txs: DataFrame, *, min_units, price, decimals: int = 6,
     """Row-level part of :func:`native_value_proxy`: successful transfers
     above ``min_units`` whole coins in ``[start, end)``, valued at ``price``.
     The raw-unit threshold reaches the scan (:func:`raw_floor`)."""
-    units = scale_units(value, decimals, exact=exact, raw_precision=20)
+    units = scale_units(value, decimals, exact=exact)
     kept = txs.where(window_predicate(date_col, start, end)
                      & (F.col(success) == F.lit(True))
                      & raw_floor(value, min_units, decimals, exact)

@@ -16,14 +16,6 @@ from pyspark.sql import functions as F
 from .ordered import sequence_rows
 
 
-def edges_from_transfers(transfers: DataFrame, source: str, target: str, value: str,
-                         out_value: str = "value") -> DataFrame:
-    """Aggregate transfer rows into one weighted edge per (source, target)."""
-    return (transfers.groupBy(F.col(source).alias("source_node"),
-                              F.col(target).alias("target_node"))
-            .agg(F.sum(value).alias(out_value)))
-
-
 def number_edges(edges: DataFrame, order_by: Sequence[str] = ("source_node", "target_node"),
                  out: str = "step") -> DataFrame:
     """Give an edge table a stable step number (distributed row number)."""
@@ -35,13 +27,11 @@ def flow_edges(edges: DataFrame, *, value: str = "value", total=None,
     """OP-19: edge table with each edge's share of a total, in percent.
 
     ``total`` is the exploit total (a constant in the dashboards). Without it
-    the sum of all edge values is used: a distributed aggregate reduced to one
-    number on the driver, never a window over the whole table.
+    the sum of all edge values is used: a distributed aggregate in the plan (a
+    scalar subquery), never a window over the whole table.
     """
-    if total is None:
-        total = edges.agg(F.sum(value).alias("t")).first()["t"]
-    total = float(total) if total is not None else None
-    pct = F.round(F.try_divide(F.col(value).cast("double"), F.lit(total).cast("double"))
+    whole = edges.agg(F.sum(value)).scalar() if total is None else F.lit(float(total))
+    pct = F.round(F.try_divide(F.col(value).cast("double"), whole.cast("double"))
                   * F.lit(100.0), digits)
     return edges.withColumn(out, pct)
 

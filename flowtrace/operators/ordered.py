@@ -2,50 +2,23 @@
 
 SQL writes these as ``ROW_NUMBER() OVER (ORDER BY t)`` and
 ``SUM(x) OVER (ORDER BY t)``. Without ``PARTITION BY`` Spark plans such a
-window as ``Exchange SinglePartition``: every row goes through one task.
-That is fine after aggregation to a bounded number of buckets (hours in a
-fixed window), and it is the wrong plan for raw event rows.
-
-``ordered_measures`` therefore has two strategies:
-
-``"window"``
-    the plain window. Use only when the input size has a proven bound
-    (e.g. one row per hour of a fixed time range).
-
-``"auto"`` (default)
-    the plain window when Catalyst's size estimate of the input (the same
-    statistic ``spark.sql.autoBroadcastJoinThreshold`` is checked against;
-    without column statistics a filter never lowers it and a join
-    multiplies it) is at most ``spark.flowtrace.window.singleTaskMaxBytes``
-    (default 32 MiB of estimated input, Parquet bytes for a scan).
-    Otherwise, up to ``spark.flowtrace.window.countMaxBytes`` read by the
-    plan (its leaf scans after pruning, default 8 GiB), the input is
-    checkpointed once (one evaluation of
-    whatever joins and filters produce it) and counted exactly: at most
-    ``spark.flowtrace.window.singleTaskMaxRows`` rows (default 1M) take
-    the plain window, more take ``"ranged"``, whose range sampling then
-    re-reads the checkpoint instead of re-running the upstream plan. Above
-    that size ``"ranged"`` runs directly on the input, so a very large input
-    is not written once just to be counted.
-
-``"ranged"`` (for unbounded inputs)
-    RANGE-frame running sums first pre-aggregate peer groups (see
-    ``_ranged_peer_sums``); everything else runs on rows:
-
-    1. ``repartitionByRange`` on ``(partition keys, order keys)``: the
-       sampled range bounds split even a hot key range into many tasks,
-       and equal keys always land in the same range, so RANGE-frame peers
-       stay together;
-    2. a local window per range (``partitionBy(range_id, *partition keys)``);
-    3. a reliable checkpoint, so the range assignment is fixed once and
-       survives executor loss (range sampling must not be re-run with a
-       different sample for the offsets branch);
-    4. per-range totals (at most ``num_ranges`` rows per partition key),
-       turned into exclusive prefix offsets by a window over those totals;
-    5. a join of the offsets back onto the rows. Without partition keys the
-       offsets table has at most ``num_ranges`` rows, a proven bound, so it
-       is broadcast; with partition keys the size depends on their
-       cardinality and Spark (AQE) chooses the join at run time.
+window as one task over all rows. ``ordered_measures`` gives the same result
+with one plan for every input size, built lazily:
+
+1. rows are grouped by their order keys except the last (for a time series
+   of one key, by day): a local window numbers and accumulates each group,
+   after the one exchange that rows go through;
+2. each group's totals (partial aggregation, one row per group) become
+   offsets level by level: groups within the next shorter key, and so on up
+   to days. Only the last level, one row per day (or per distinct first key
+   where that is not a time), is accumulated in one task;
+3. the offsets join back on the group keys, by which the rows are
+   partitioned already.
+
+A group is one transaction or one block, not a sampled range: nothing depends
+on the number of partitions, on a size estimate or on a checkpoint. Doubles
+are accumulated as decimals and converted at the end, so results don't depend
+on the order of addition either.
 """
 
 from __future__ import annotations
@@ -54,44 +27,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage, shuffle_partitions
-
-RANGE_ID = "__ft_range"
-ROW_ID = "__ft_row"
-SINGLE_TASK_CONF = "spark.flowtrace.window.singleTaskMaxBytes"
-SINGLE_TASK_DEFAULT = 32 * 1024 * 1024
-SINGLE_TASK_ROWS_CONF = "spark.flowtrace.window.singleTaskMaxRows"
-SINGLE_TASK_ROWS_DEFAULT = 1_000_000
-COUNT_MAX_CONF = "spark.flowtrace.window.countMaxBytes"
-COUNT_MAX_DEFAULT = 8 * 1024 ** 3
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (None when unavailable)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - e.g. Spark Connect sessions
-        return None
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes the plan reads: the sum of its leaf relations' size estimates
-    after partition pruning (unlike the plan's own estimate, not multiplied
-    through joins)."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
-                   for i in range(leaves.size()))
-    except Exception:  # pragma: no cover - e.g. Spark Connect sessions
-        return estimated_bytes(df)
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_DEFAULT)))
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
+#: Doubles are summed with this type (nine places, 29 digits before them).
+EXACT_SUM = "decimal(38,9)"
 
 
 def _sort_keys(cols: Sequence[str]) -> list[Column]:
@@ -120,13 +60,6 @@ class Measure:
         self.value = F.col(value) if isinstance(value, str) else value
         self.frame = frame
 
-    def window_expr(self, spec) -> Column:
-        if self.kind == "row_number":
-            return F.row_number().over(spec).cast("bigint")
-        if self.frame == "rows":
-            spec = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return F.sum(self.value).over(spec)
-
 
 def row_number(out: str) -> Measure:
     return Measure(out, "row_number")
@@ -136,174 +69,123 @@ def running_sum(out: str, value, frame: str = "range") -> Measure:
     return Measure(out, "sum", value, frame)
 
 
+def _never_null(c: Column, kind: T.DataType) -> Column:
+    """The value, or any constant of its type: with a null flag beside it, a
+    join key that plain equality matches."""
+    if isinstance(kind, T.BinaryType):
+        blank = F.lit(b"")
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        blank = F.lit("1970-01-01").cast(kind)
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
+        blank = F.lit(0).cast(kind)
+    else:
+        blank = F.lit("").cast(kind)
+    return F.coalesce(c, blank)
+
+
 def ordered_measures(df: DataFrame, order_by: Sequence[str], measures: Sequence[Measure],
-                     partition_by: Sequence[str] = (), strategy: str = "auto",
-                     num_ranges: int | None = None) -> DataFrame:
+                     partition_by: Sequence[str] = ()) -> DataFrame:
     """Add sequence numbers / running totals ordered by ``order_by``.
 
-    Results equal the plain SQL window with the default frame; see the module
-    docstring for the strategies.
+    Results equal the plain SQL window with the default frame (or a ROWS
+    frame for ``frame="rows"``). With a total order the numbers of equal rows
+    don't depend on the layout.
     """
-    order_by = list(order_by)
-    partition_by = list(partition_by)
-    if strategy == "auto":
-        conf = df.sparkSession.conf
-        size = input_bytes(df)
-        if fits_one_task(df):
-            strategy = "window"
-        elif size is not None and size > int(conf.get(COUNT_MAX_CONF, str(COUNT_MAX_DEFAULT))):
-            # Too big to be worth materialising just to count: range
-            # sampling re-reads the (pruned, filtered) input instead.
-            strategy = "ranged"
-        else:
-            df = cut_lineage(df)
-            limit = int(conf.get(SINGLE_TASK_ROWS_CONF, str(SINGLE_TASK_ROWS_DEFAULT)))
-            strategy = "window" if df.count() <= limit else "ranged"
-    if strategy == "window":
-        spec = Window.partitionBy(*partition_by).orderBy(*_sort_keys(order_by))
-        return df.select("*", *[m.window_expr(spec).alias(m.out) for m in measures])
-    if strategy != "ranged":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return _ranged(df, order_by, measures, partition_by, num_ranges)
-
-
-def _ranged(df: DataFrame, order_by: list[str], measures: Sequence[Measure],
-            partition_by: list[str], num_ranges: int | None) -> DataFrame:
-    if measures and all(m.kind == "sum" and m.frame == "range" for m in measures):
-        return _ranged_peer_sums(df, order_by, measures, partition_by, num_ranges)
-    return _ranged_rows(df, order_by, measures, partition_by, num_ranges)
-
-
-def _ranged_peer_sums(df: DataFrame, order_by: list[str], measures: Sequence[Measure],
-                      partition_by: list[str], num_ranges: int | None) -> DataFrame:
-    """RANGE-frame running sums when peer groups may be huge.
-
-    Rows with equal (partition, order) keys share one total, so the range
-    partitioner would have to keep a peer group in one task. Instead the
-    peers are pre-aggregated first (partial aggregation splits a hot group
-    across tasks), the running total runs over the distinct keys (unique,
-    so the ranges split evenly; ROWS frame equals RANGE there), and the
-    totals are joined back on the keys (a shuffle join that AQE can split
-    when one key is hot, or a broadcast when the key table is small).
-    """
-    keys = partition_by + order_by
-    sums = [F.sum(m.value).alias(f"__ft_peer{i}") for i, m in enumerate(measures)]
-    peers = df.groupBy(*keys).agg(*sums)
-    running = _ranged_rows(peers, order_by,
-                           [running_sum(f"__ft_cum{i}", f"__ft_peer{i}", frame="rows")
-                            for i in range(len(measures))],
-                           partition_by, num_ranges)
-    plain = df.select("*", *[m.window_expr(Window.partitionBy(*partition_by)
-                                           .orderBy(*_sort_keys(order_by))).alias(m.out)
-                             for m in measures]).schema
-    right = running.select(*[F.col(k).alias(f"__ft_k{j}") for j, k in enumerate(keys)],
-                           *[F.col(f"__ft_cum{i}") for i in range(len(measures))])
-    cond = None
-    for j, k in enumerate(keys):
-        c = df[k].eqNullSafe(right[f"__ft_k{j}"])
-        cond = c if cond is None else cond & c
-    joined = df.join(right, cond, "left")
-    return joined.select(*[df[c] for c in df.columns], *[
-        F.col(f"__ft_cum{i}").cast(plain[m.out].dataType).alias(m.out)
-        for i, m in enumerate(measures)])
-
-
-def _ranged_rows(df: DataFrame, order_by: list[str], measures: Sequence[Measure],
-                 partition_by: list[str], num_ranges: int | None) -> DataFrame:
-    spark = df.sparkSession
-    n = num_ranges or shuffle_partitions(spark)
-    source_cols = df.columns
-    # Rows with equal keys are in arbitrary order for ROW_NUMBER and a ROWS
-    # frame, so a unique row id as the last key changes no result but lets
-    # the range partitioner split any group of equal keys, however hot.
-    # (Not when a RANGE-frame sum is among the measures: its peers must
-    # stay equal.)
-    if not any(m.kind == "sum" and m.frame == "range" for m in measures):
-        df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
-        order_by = order_by + [ROW_ID]
-    keys = partition_by + order_by
-
-    ranged = (df.repartitionByRange(n, *_sort_keys(keys))
-                .withColumn(RANGE_ID, F.spark_partition_id()))
-    local_spec = Window.partitionBy(RANGE_ID, *partition_by).orderBy(*_sort_keys(order_by))
-
-    local_cols = [m.window_expr(local_spec).alias(f"__ft_local{i}")
-                  for i, m in enumerate(measures)]
-    plain_types = {}
-    local_df = ranged.select("*", *local_cols)
+    order_by, partition_by = list(order_by), list(partition_by)
+    first = df.schema[order_by[0]].dataType
+    levels = [F.col(c) for c in order_by[:-1]]
+    if isinstance(first, (T.TimestampType, T.TimestampNTZType)):
+        levels.insert(0, F.to_date(order_by[0]))
+    elif isinstance(first, T.DateType):
+        levels.insert(0, F.trunc(order_by[0], "year"))
+    local = [order_by[-1]]
+    if not levels:
+        levels, local = [F.col(order_by[0])], []
+
+    # Two columns per key: is it null (nulls come last), and the value.
+    parts, groups = [], []
+    work = df
+    for i, c in enumerate([*map(F.col, partition_by), *levels]):
+        kind = df.select(c).schema[0].dataType
+        work = work.withColumn(f"__ft_null{i}", c.isNull()).withColumn(
+            f"__ft_key{i}", _never_null(c, kind))
+        (parts if i < len(partition_by) else groups).append([f"__ft_null{i}", f"__ft_key{i}"])
+    value_types = {}
     for i, m in enumerate(measures):
-        plain_types[i] = local_df.schema[f"__ft_local{i}"].dataType
-    # Totals need the measure values; keep them as columns so the checkpoint
-    # holds everything the offsets branch reads.
-    value_cols = [m.value.alias(f"__ft_value{i}") for i, m in enumerate(measures)
-                  if m.kind == "sum"]
-    local_df = cut_lineage(local_df.select("*", *value_cols))
-
-    totals = local_df.groupBy(RANGE_ID, *partition_by).agg(*[
-        (F.count(F.lit(1)) if m.kind == "row_number" else F.sum(f"__ft_value{i}"))
-        .alias(f"__ft_total{i}") for i, m in enumerate(measures)])
-    off_spec = (Window.partitionBy(*partition_by).orderBy(RANGE_ID)
-                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(RANGE_ID, *partition_by, *[
-        F.sum(f"__ft_total{i}").over(off_spec).alias(f"__ft_offset{i}")
-        for i in range(len(measures))])
-
-    if partition_by:
-        off = offsets.alias("__ft_off")
-        cond = local_df[RANGE_ID] == off[RANGE_ID]
-        for p in partition_by:
-            cond = cond & local_df[p].eqNullSafe(off[p])
-        joined = local_df.join(off, cond, "left").drop(off[RANGE_ID])
-        for p in partition_by:
-            joined = joined.drop(off[p])
-    else:
-        # At most num_ranges rows: a proven bound, so broadcast.
-        joined = local_df.join(F.broadcast(offsets), RANGE_ID, "left")
+        if m.kind == "sum":
+            kind = df.select(m.value).schema[0].dataType
+            value_types[i] = kind
+            exact = isinstance(kind, (T.DoubleType, T.FloatType))
+            work = work.withColumn(f"__ft_value{i}", m.value.cast(EXACT_SUM) if exact else m.value)
+
+    part_cols = [c for pair in parts for c in pair]
+    keys = part_cols + [c for pair in groups for c in pair]
+    inside = Window.partitionBy(*keys)
+    ordered = inside.orderBy(*_sort_keys(local)) if local else inside
+    rows_frame = (ordered if local else inside.orderBy(F.lit(0))).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+
+    def local_value(i, m):
+        if m.kind == "row_number":
+            return F.row_number().over(ordered if local else inside.orderBy(F.lit(0))).cast("bigint")
+        return F.sum(f"__ft_value{i}").over(rows_frame if m.frame == "rows" else ordered)
+
+    rows = work.select("*", *[local_value(i, m).alias(f"__ft_local{i}") for i, m in enumerate(measures)])
+    totals = work.groupBy(*keys).agg(*[
+        (F.count(F.lit(1)) if m.kind == "row_number" else F.sum(f"__ft_value{i}")).alias(f"__ft_total{i}")
+        for i, m in enumerate(measures)])
+    offsets = _offsets(totals, part_cols, groups, len(measures))
+    joined = rows.join(offsets, keys)
 
-    out_cols = []
+    out = []
     for i, m in enumerate(measures):
-        local, offset = F.col(f"__ft_local{i}"), F.col(f"__ft_offset{i}")
+        own, before = F.col(f"__ft_local{i}"), F.col(f"__ft_before{i}")
         if m.kind == "row_number":
-            value = local + F.coalesce(offset, F.lit(0))
+            value = own + F.coalesce(before, F.lit(0))
         else:
             # SUM over a frame of only NULLs is NULL; otherwise add what the
-            # earlier ranges contributed.
-            value = F.when(local.isNull() & offset.isNull(), F.lit(None)).otherwise(
-                F.coalesce(local, F.lit(0)) + F.coalesce(offset, F.lit(0)))
-        out_cols.append(value.cast(plain_types[i]).alias(m.out))
-    return joined.select(*[F.col(c) for c in source_cols], *out_cols)
+            # earlier groups contributed.
+            value = F.when(own.isNull() & before.isNull(), F.lit(None)).otherwise(
+                F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0)))
+            value = value.cast("double" if isinstance(value_types[i], (T.DoubleType, T.FloatType))
+                               else rows.schema[f"__ft_local{i}"].dataType)
+        out.append(value.alias(m.out))
+    return joined.select(*[F.col(c) for c in df.columns], *out)
+
+
+def _offsets(totals: DataFrame, parts: list[str], groups: list[list[str]], n: int) -> DataFrame:
+    """(keys, __ft_before…): what all groups before each one add up to."""
+    upper = [c for pair in groups[:-1] for c in pair]
+    before = Window.partitionBy(*parts, *upper).orderBy(*_sort_keys(groups[-1])).rowsBetween(
+        Window.unboundedPreceding, -1)
+    keys = parts + upper + groups[-1]
+    near = totals.select(*keys, *[
+        F.sum(f"__ft_total{i}").over(before).alias(f"__ft_before{i}") for i in range(n)])
+    if not upper:
+        return near
+    coarser = totals.groupBy(*parts, *upper).agg(*[
+        F.sum(f"__ft_total{i}").alias(f"__ft_total{i}") for i in range(n)])
+    far = _offsets(coarser, parts, groups[:-1], n)
+    far = far.select(*parts, *upper, *[F.col(f"__ft_before{i}").alias(f"__ft_far{i}") for i in range(n)])
+    return near.join(far, parts + upper).select(*keys, *[
+        F.when(F.col(f"__ft_before{i}").isNull(), F.col(f"__ft_far{i}"))
+        .otherwise(F.col(f"__ft_before{i}") + F.coalesce(f"__ft_far{i}", F.lit(0))).alias(f"__ft_before{i}")
+        for i in range(n)])
 
 
 def running_total(df: DataFrame, value, out: str, order_by: Sequence[str],
-                  partition_by: Sequence[str] = (), frame: str = "range",
-                  strategy: str = "auto", num_ranges: int | None = None) -> DataFrame:
+                  partition_by: Sequence[str] = (), frame: str = "range") -> DataFrame:
     """OP-13: cumulative series, optionally per partition key."""
     return ordered_measures(df, order_by, [running_sum(out, value, frame)],
-                            partition_by=partition_by, strategy=strategy,
-                            num_ranges=num_ranges)
+                            partition_by=partition_by)
 
 
 def sequence_rows(df: DataFrame, out: str, order_by: Sequence[str],
-                  partition_by: Sequence[str] = (), strategy: str = "auto",
-                  num_ranges: int | None = None) -> DataFrame:
+                  partition_by: Sequence[str] = ()) -> DataFrame:
     """WIN-1: 1-based position in ``order_by`` order (bigint)."""
-    return ordered_measures(df, order_by, [row_number(out)], partition_by=partition_by,
-                            strategy=strategy, num_ranges=num_ranges)
+    return ordered_measures(df, order_by, [row_number(out)], partition_by=partition_by)
 
 
-def sorted_result(df: DataFrame, *cols: str, max_rows: int | None = None) -> DataFrame:
-    """SRT-1/2: final ascending sort, NULLS LAST as in the dashboards' engine.
-
-    A result with a caller-proven row bound (``max_rows``, e.g. days in the
-    recipe's window) within ``singleTaskMaxRows``, or whose size estimate
-    fits one task (see ``fits_one_task``), is sorted in one partition, which skips the range-sampling job of a global
-    sort; anything larger gets the distributed ``orderBy`` with a unique
-    trailing key, so equal keys never pin one task.
-    """
-    keys = _sort_keys(cols)
-    limit = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(SINGLE_TASK_ROWS_DEFAULT)))
-    if (max_rows is not None and max_rows <= limit) or fits_one_task(df):
-        return df.coalesce(1).sortWithinPartitions(*keys)
-    # Rows with equal sort keys may come in any order, so a unique trailing
-    # key changes nothing but lets the range partitioner split a hot key.
-    return df.orderBy(*keys, F.monotonically_increasing_id())
+def sorted_result(df: DataFrame, *cols: str) -> DataFrame:
+    """SRT-1/2: final ascending sort, NULLS LAST as in the dashboards' engine."""
+    return df.orderBy(*_sort_keys(cols))

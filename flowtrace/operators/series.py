@@ -2,22 +2,19 @@
 
 Bucketing is a partial/final hash aggregate: each task pre-aggregates its
 rows per bucket before the shuffle, so a hot hour costs one partial row per
-task, not one shuffled row per event. The resulting series has one row per
-bucket of a bounded time range; :func:`running_total` takes that bound
-(:func:`buckets_in`) and uses the plain window only within it.
+task, not one shuffled row per event. Running totals over the buckets are
+:func:`flowtrace.operators.ordered.running_total`.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import truncate_time
-from .ordered import SINGLE_TASK_ROWS_CONF, SINGLE_TASK_ROWS_DEFAULT
-from .ordered import running_total as _running_total
+from .ordered import running_total  # noqa: F401  (part of this module's interface)
 
 
 def bucket_column(df: DataFrame, time_col: str, unit: str, out: str) -> Column:
@@ -138,35 +135,6 @@ def bucket_legs(legs: Sequence[tuple[DataFrame, str, dict[str, tuple[str, Column
         for c in names])
 
 
-def buckets_in(start, end, unit: str) -> int | None:
-    """Upper bound on the number of ``unit`` buckets in ``[start, end]``
-    (None when a bound is open)."""
-    if start is None or end is None:
-        return None
-    if isinstance(start, dt.date) and not isinstance(start, dt.datetime):
-        start = dt.datetime.combine(start, dt.time())
-    if isinstance(end, dt.date) and not isinstance(end, dt.datetime):
-        end = dt.datetime.combine(end, dt.time())
-    step = {"hour": dt.timedelta(hours=1), "day": dt.timedelta(days=1),
-            "date": dt.timedelta(days=1)}[unit]
-    return int((end - start) / step) + 2
-
-
-def running_total(df: DataFrame, value, out: str, order_by: Sequence[str],
-                  partition_by: Sequence[str] = (), max_rows: int | None = None,
-                  frame: str = "range") -> DataFrame:
-    """OP-13 on a bucket series.
-
-    ``max_rows`` is a bound the caller can prove from its parameters (e.g.
-    hours in a fixed window times the number of flow types). Within
-    ``spark.flowtrace.window.singleTaskMaxRows`` the plain window is used
-    without any check; otherwise the ``auto`` strategy checks the size."""
-    limit = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(SINGLE_TASK_ROWS_DEFAULT)))
-    strategy = "window" if max_rows is not None and max_rows <= limit else "auto"
-    return _running_total(df, value, out, order_by, partition_by=partition_by,
-                          frame=frame, strategy=strategy)
-
-
 def period_flag(df: DataFrame, day_col: str, pivot, labels: Sequence[str],
                 out: str = "period_flag") -> DataFrame:
     """OP-14: label 0 on the pivot day, label 1 after it, label 2 before it

@@ -15,6 +15,7 @@ from decimal import ROUND_FLOOR, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.predicates import window_predicate
 from ..functions.scalars import lit_number, scale_units
@@ -30,7 +31,9 @@ def normalize_transfers(df: DataFrame, *, tx_hash: str, block_time: str, sender:
     """OP-1: rename a raw transfer/transaction table to the canonical schema.
 
     ``amount`` is ``value / 10^decimals`` (double like the dashboards, or an
-    exact decimal); ``usd`` is ``amount * price`` when a price is given.
+    exact decimal); ``usd`` is ``amount * price`` when a price is given. With
+    ``decimals=0`` an exact amount is the raw integer itself: filters, sums
+    and windows over it lose nothing, and reports scale once at the end.
     ``safe=True`` turns raw values that cannot be read as a number of the
     target type into a NULL amount (see :func:`quarantined`) instead of an
     error.
@@ -108,20 +111,18 @@ def raw_floor(raw: str, minimum, decimals: int, exact: bool = False) -> Column:
 
 def hop_log(df: DataFrame, min_amount, *, amount: str = "amount",
             order_by: Sequence[str] = ("block_time", "tx_hash"),
-            seq_out: str = "hop_sequence", cum_out: str = "cumulative_amount",
-            strategy: str = "auto", num_ranges: int | None = None) -> DataFrame:
+            seq_out: str = "hop_sequence", cum_out: str = "cumulative_amount") -> DataFrame:
     """OP-3: keep transfers above ``min_amount``, number them in time order
     and keep a running total of the amount.
 
-    The dashboards order hops by time only; rows of one block share a time,
-    so ``order_by`` carries a tie-breaker to make the numbering stable. With
-    a total order the running total by hop number equals the running total by
+    The dashboards order hops by time only; rows of one block share a time
+    and rows of one transaction its hash, so ``order_by`` ends with a key that
+    is unique (the log index) to make the numbering stable. With a total order the running total by hop number equals the running total by
     ``order_by`` with a ROWS frame, so both come from one ordered pass.
     """
     kept = above(df, amount, min_amount)
     return ordered_measures(kept, order_by,
-                            [row_number(seq_out), running_sum(cum_out, amount, frame="rows")],
-                            strategy=strategy, num_ranges=num_ranges)
+                            [row_number(seq_out), running_sum(cum_out, amount, frame="rows")])
 
 
 def in_window(df: DataFrame, time_col: str, start=None, end=None,
@@ -188,16 +189,14 @@ def watchlist_roles(df: DataFrame, origin, suspect, labels: Sequence[str], *,
 
 def drain_progress(df: DataFrame, role_col: str, exploit_label: str, *,
                    amount: str = "amount", order_by: Sequence[str] = ("block_time", "tx_hash"),
-                   out: str = "cumulative_drained", strategy: str = "auto",
-                   num_ranges: int | None = None) -> DataFrame:
+                   out: str = "cumulative_drained") -> DataFrame:
     """OP-6: running total of exploit rows only, shown on every row.
 
     RANGE frame: rows with equal ``order_by`` keys (one transaction's
     transfers in one block) share one total, like the SQL default frame.
     """
     value = F.when(F.col(role_col) == F.lit(exploit_label), F.col(amount)).otherwise(F.lit(0))
-    return ordered_measures(df, order_by, [running_sum(out, value, frame="range")],
-                            strategy=strategy, num_ranges=num_ranges)
+    return ordered_measures(df, order_by, [running_sum(out, value, frame="range")])
 
 
 def flow_direction(df: DataFrame, watched, labels: Sequence[str], *,
@@ -231,22 +230,21 @@ def not_in(left: DataFrame, right: DataFrame, key: str, right_key: str | None =
 
     SQL semantics with ``null_aware=True``: an empty right side keeps every
     left row; a NULL anywhere on the right removes every left row; a NULL
-    left key is removed otherwise. The NULL check is one small aggregate
-    (two counts); the exclusion itself is a plain left-anti join, which Spark
-    broadcasts when the right side is small and shuffles otherwise, unlike a
-    null-aware anti join that must broadcast or fall back to a nested loop.
+    left key is removed otherwise. The NULL check is a one-row aggregate in
+    the plan (a scalar subquery); the exclusion is a plain left-anti join,
+    which Spark broadcasts when the right side is small and shuffles
+    otherwise, unlike a null-aware anti join that must broadcast or fall back
+    to a nested loop.
     """
     right_key = right_key or key
     keys = right.select(F.col(right_key).alias("__ft_nk"))
-    if null_aware:
-        stats = keys.agg(F.count(F.lit(1)).alias("n"), F.count("__ft_nk").alias("nn")).first()
-        if stats["n"] == 0:
-            return left
-        if stats["nn"] < stats["n"]:
-            return left.where(F.lit(False))
-    keys = keys.where(F.col("__ft_nk").isNotNull()).dropDuplicates(["__ft_nk"])
-    kept = left.where(F.col(key).isNotNull())
-    return kept.join(keys, kept[key] == keys["__ft_nk"], "left_anti")
+    rest = left.join(keys.where(F.col("__ft_nk").isNotNull()).dropDuplicates(["__ft_nk"]),
+                     left[key] == F.col("__ft_nk"), "left_anti")
+    if not null_aware:
+        return rest.where(F.col(key).isNotNull())
+    rows = keys.agg(F.count(F.lit(1))).scalar()
+    nulls = keys.agg(F.count(F.lit(1)) - F.count("__ft_nk")).scalar()
+    return rest.where((rows == 0) | ((nulls == 0) & F.col(key).isNotNull()))
 
 
 def merge_without_duplicates(first: DataFrame, second: DataFrame, key: str,
@@ -257,10 +255,16 @@ def merge_without_duplicates(first: DataFrame, second: DataFrame, key: str,
     return first.unionByName(rest.select(*first.columns))
 
 
-def to_display(df: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
-    """PRJ-6: final projection to display labels, ``[(source, label), …]``."""
-    return df.select(*[F.col(src).alias(label) for src, label in columns])
-
-
-def with_columns(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
-    return df.withColumns(cols)
+def merge_tagged(df: DataFrame, in_first: str, in_second: str, key: str) -> DataFrame:
+    """OP-9 over one frame whose rows are tagged with their legs: rows of the
+    first leg, and rows of the second whose key no first-leg row has (NOT IN
+    semantics, see :func:`not_in`). One window over the key instead of two
+    scans and a join; the NULL rule is a scalar subquery."""
+    first, second = F.coalesce(in_first, F.lit(False)), F.coalesce(in_second, F.lit(False))
+    firsts = df.where(first)
+    rows = firsts.agg(F.count(F.lit(1))).scalar()
+    nulls = firsts.agg(F.count(F.lit(1)) - F.count(key)).scalar()
+    hit = F.max(first).over(Window.partitionBy(key))
+    return df.withColumn("__ft_hit", hit).where(
+        first | (second & ~F.col("__ft_hit")
+                 & ((rows == 0) | ((nulls == 0) & F.col(key).isNotNull())))).drop("__ft_hit")

@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hex_0x, hex_upper, shorten
+from ..functions.scalars import hex_0x, hex_upper, round_scaled, shorten
 from ..operators import findings, graph, series, transfers
 from ..sources import bindings as B
 from . import constants as K
@@ -30,7 +31,8 @@ TS = dt.datetime
 
 PARAMS = {
     "hop_log": dict(dates=(D(2024, 1, 3), D(2024, 1, 27)), min_amount=10,
-                    bounds=(200, 100, 50), price=2506.0),
+                    bounds=(200, 100, 50), price=2506.0,
+                    labels=("over 200", "100 to 200", "50 to 100", "under 50")),
     "bridge_drain": dict(window=(TS(1996, 1, 1), TS(2000, 1, 1)), price=2506.5,
                          origin_nation=7, suspect_nation=3, token="F"),
     "contagion": dict(window=(TS(2024, 1, 5), TS(2024, 1, 25))),
@@ -43,7 +45,7 @@ PARAMS = {
                   to_pattern="%#1%", min_usd=2000),
     "tron": dict(dates=(D(1996, 1, 1), D(2000, 1, 1)), token="F", min_transfer=50000,
                  min_units=50000, price=0.12),
-    "recovered_nodes": ("GERMANY", "FRANCE"),
+    "recovered_nodes": ("NATION_13", "NATION_21"),
 }
 
 
@@ -59,25 +61,26 @@ def hop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = PARAMS["hop_log"]
     return R.inception_hop_log(B.rseth_evt_transfer(spark, sf_dir), dates=p["dates"],
                                min_amount=p["min_amount"], bounds=p["bounds"],
-                               price=p["price"], exact=True)
+                               labels=p["labels"], price=p["price"], exact=True)
 
 
 def primary_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RD-5: the largest hop of the hop log."""
     p = PARAMS["hop_log"]
     hops = R.inception_hop_log(B.rseth_evt_transfer(spark, sf_dir), dates=p["dates"],
-                               min_amount=p["min_amount"], bounds=p["bounds"],
+                               min_amount=p["min_amount"], bounds=p["bounds"], labels=p["labels"],
                                price=p["price"], exact=True, sort=False)
     return findings.primary_drain(hops, "rseth_amount", "hop_sequence")
 
 
 def dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RD-6: hop count, first and last hop time, and the span in seconds."""
+    """RD-6: hop count, first and last hop time, and the span in seconds.
+    Counts and times need no hop numbers, so the log is filtered only."""
     p = PARAMS["hop_log"]
-    scoped = B.rseth_evt_transfer(spark, sf_dir)
-    hops = R.inception_hop_log(scoped, dates=p["dates"], min_amount=p["min_amount"],
-                               bounds=p["bounds"], price=p["price"], exact=True, sort=False)
-    return findings.dispersion(hops, "block_time")
+    src = transfers.in_window(B.rseth_evt_transfer(spark, sf_dir), "evt_block_date", *p["dates"],
+                              closed=True)
+    hops = src.where(transfers.raw_floor("value", p["min_amount"], 18, exact=True))
+    return findings.dispersion(hops, "evt_block_time")
 
 
 def severity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +91,14 @@ def severity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     canon = transfers.normalize_transfers(
         transfers.in_window(src, "evt_block_date", *p["dates"], closed=True),
         tx_hash="evt_tx_hash", block_time="evt_block_time", sender="from", receiver="to",
-        value="value", decimals=18, exact=True)
-    tiered = transfers.severity_tier(canon, "amount", p["bounds"], K.SEVERITY_LABELS)
-    out = tiered.groupBy("transfer_type").agg(
-        F.count(F.lit(1)).alias("transfers"), F.round(F.sum("amount"), 2).alias("volume"),
-        F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"))
-    return _doubles(out, {"volume", "min_amount", "max_amount"})
+        value="value", decimals=0, exact=True)
+    tiered = transfers.severity_tier(
+        canon, "amount", [Decimal(b).scaleb(18) for b in p["bounds"]], p["labels"])
+    return tiered.groupBy("transfer_type").agg(
+        F.count(F.lit(1)).alias("transfers"),
+        *(round_scaled(f("amount"), 18, digits, exact=True).cast("double").alias(name)
+          for f, digits, name in ((F.sum, 2, "volume"), (F.min, 6, "min_amount"),
+                                  (F.max, 6, "max_amount"))))
 
 
 def address_display(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +219,14 @@ def swap_daily_rounded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(_swaps(spark, sf_dir, True), SWAP_COLS)
 
 
+def swap_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4 leg A, row by row: large swaps with their route label."""
+    p = PARAMS["swaps"]
+    return R.swap_log(B.thorchain_swaps(spark, sf_dir), window=p["window"],
+                      from_pattern=p["from_pattern"], to_pattern=p["to_pattern"],
+                      min_usd=p["min_usd"], exact=True)
+
+
 def _tron_contract() -> bytes:
     return b"\x41" + PARAMS["tron"]["token"].encode().rjust(B.ADDRESS_BYTES, b"\x00")
 
@@ -292,6 +305,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hourly_legs": hourly_legs,
     "daily_net_flow": daily_net_flow,
     "intervention_hourly": intervention_hourly,
+    "swap_log": swap_log,
     "swap_daily": swap_daily,
     "swap_daily_rounded_rows": swap_daily_rounded_rows,
     "log_decode_daily": log_decode_daily,

@@ -6,9 +6,9 @@ snake_case result; :func:`display` maps it to the dashboard labels. Every
 address, threshold, price and window is a parameter whose default is the
 dashboards' fixed value (:mod:`flowtrace.plans.constants`).
 
-``exact=True`` keeps amounts as decimals end to end (raw integer values
-scaled by ``10^-decimals``, sums and rounding on decimals, doubles only at
-the very end), so results are bit-for-bit reproducible across engines.
+``exact=True`` keeps raw integer amounts end to end: thresholds, sums and
+running totals are taken on the ``decimal(38,0)`` integers, and reports round
+and scale once (doubles only at the very end).
 ``exact=False`` follows the dashboards' double arithmetic.
 """
 
@@ -26,7 +26,6 @@ from ..functions.scalars import hex_0x, hex_upper, lit_number, round_scaled, sho
 from ..operators import channels, graph, series, transfers
 from ..operators.membership import member_condition
 from ..operators.ordered import sorted_result
-from ..session import cut_lineage
 from . import constants as K
 
 
@@ -35,6 +34,19 @@ def _final(c: Column, exact: bool) -> Column:
     return c.cast("double") if exact else c
 
 
+def _bound(value, exact: bool, decimals: int):
+    """A threshold in the unit of ``amount``: raw integers in exact mode."""
+    return Decimal(str(value)).scaleb(decimals) if exact else value
+
+
+def _shown(c, digits: int, exact: bool, decimals: int, power: int = 0) -> Column:
+    """ROUND(c / 10^power, digits) of an amount; exact amounts are raw
+    integers, rounded and scaled here in one step."""
+    if exact:
+        return round_scaled(c, decimals + power, digits, True)
+    return round_scaled(c, power, digits) if power else F.round(c, digits)
+
+
 def display(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     """PRJ-6: rename snake_case columns to dashboard labels (in order)."""
     return df.select(*[F.col(c).alias(labels.get(c, c)) for c in df.columns])
@@ -47,30 +59,33 @@ def display(df: DataFrame, labels: dict[str, str]) -> DataFrame:
 def inception_hop_log(rseth_transfers: DataFrame, *, dates=K.HOP_LOG_DATES,
                       min_amount=K.HOP_MIN_RSETH, price=K.RSETH_PRICE_HOP_LOG,
                       bounds=K.SEVERITY_BOUNDS, labels=K.SEVERITY_LABELS,
-                      decimals: int = 18, exact: bool = False, strategy: str = "auto",
-                      sort: bool = True) -> DataFrame:
+                      decimals: int = 18, exact: bool = False, sort: bool = True) -> DataFrame:
     """Transfers above ``min_amount`` in a closed date window, numbered in
     time order with a severity tier and a running total.
 
-    Source columns: ``evt_tx_hash, evt_block_time, evt_block_number, from,
-    to, value, evt_block_date`` (partitioned by ``evt_block_date``)."""
+    Source columns: ``evt_tx_hash, evt_index, evt_block_time,
+    evt_block_number, from, to, value, evt_block_date`` (partitioned by
+    ``evt_block_date``). The log index makes the order total."""
     scoped = rseth_transfers.where(between_closed("evt_block_date", *dates)
                                    & transfers.raw_floor("value", min_amount, decimals, exact))
     canon = transfers.normalize_transfers(
         scoped, tx_hash="evt_tx_hash", block_time="evt_block_time",
         block_number="evt_block_number", sender="from", receiver="to", value="value",
-        block_date="evt_block_date", decimals=decimals, price=price, exact=exact)
-    tiered = transfers.severity_tier(canon, "amount", bounds, labels)
-    hops = transfers.hop_log(tiered, min_amount, order_by=("block_time", "tx_hash"),
-                             seq_out="hop_sequence", cum_out="_cum", strategy=strategy)
+        block_date="evt_block_date", decimals=0 if exact else decimals, price=price, exact=exact,
+        extra=["evt_index"])
+    tiered = transfers.severity_tier(
+        canon, "amount", [_bound(b, exact, decimals) for b in bounds], labels)
+    hops = transfers.hop_log(tiered, _bound(min_amount, exact, decimals),
+                             order_by=("block_time", "tx_hash", "evt_index"),
+                             seq_out="hop_sequence", cum_out="_cum")
     out = hops.select(
         "hop_sequence", "block_time", "block_number",
         hex_upper("tx_hash").alias("tx_hash"),
         hex_0x("sender").alias("from_address"),
         hex_0x("receiver").alias("to_address"),
-        _final(F.round("amount", 4), exact).alias("rseth_amount"),
-        _final(round_scaled("usd", 6, 3, exact), exact).alias("usd_value_m"),
-        _final(F.round("_cum", 2), exact).alias("cumulative_rseth_drained"),
+        _final(_shown("amount", 4, exact, decimals), exact).alias("rseth_amount"),
+        _final(_shown("usd", 3, exact, decimals, 6), exact).alias("usd_value_m"),
+        _final(_shown("_cum", 2, exact, decimals), exact).alias("cumulative_rseth_drained"),
         F.col("transfer_type").alias("classification"))
     return sorted_result(out, "hop_sequence") if sort else out
 
@@ -86,33 +101,33 @@ def bridge_drain(erc20_transfers: DataFrame, *, contract=K.RSETH_ERC20,
                  origin=K.BRIDGE_ORIGIN, suspect=K.ATTACKER_WALLET,
                  window=K.BRIDGE_DRAIN_WINDOW, price=K.RSETH_PRICE_BRIDGE_DRAIN,
                  labels=K.ROLE_LABELS, decimals: int = 18, exact: bool = False,
-                 strategy: str = "auto", sort: bool = True) -> DataFrame:
+                 sort: bool = True) -> DataFrame:
     """Transfers of one token touching the bridge or the attacker in a
     half-open time window, with a role and the running total drained by
     exploit rows (peers on ``(block_time, tx_hash)`` share a total).
 
     Source columns: ``block_time, tx_hash, from, to, value,
-    contract_address``. ``origin``/``suspect`` are addresses, lists or
+    contract_address, block_date`` (its partition key). ``origin``/``suspect`` are addresses, lists or
     one-column watchlist tables."""
-    scoped = transfers.in_window(erc20_transfers, "block_time", window[0], window[1])
+    scoped = erc20_transfers.where(partition_bound("block_date", window[0], "date"))
+    scoped = transfers.in_window(scoped, "block_time", window[0], window[1])
     scoped = scoped.where(F.col("contract_address") == F.lit(contract))
     canon = transfers.normalize_transfers(
         scoped, tx_hash="tx_hash", block_time="block_time", sender="from", receiver="to",
-        value="value", decimals=decimals, price=price, exact=exact)
+        value="value", decimals=0 if exact else decimals, price=price, exact=exact)
     roled = transfers.watchlist_roles(canon, origin, suspect, labels)
     prog = transfers.drain_progress(roled, "transfer_type", labels[0],
-                                    order_by=("block_time", "tx_hash"), out="_cum",
-                                    strategy=strategy)
+                                    order_by=("block_time", "tx_hash"), out="_cum")
     out = prog.select(
         "block_time",
         shorten(hex_0x("tx_hash"), 18).alias("tx_hash_short"),
         hex_0x("tx_hash").alias("tx_hash_full"),
         shorten(hex_0x("sender"), 10).alias("from_addr"),
         shorten(hex_0x("receiver"), 10).alias("to_addr"),
-        _final(F.round("amount", 2), exact).alias("amount_rseth"),
-        _final(F.round("usd", 0), exact).alias("amount_usd"),
+        _final(_shown("amount", 2, exact, decimals), exact).alias("amount_rseth"),
+        _final(_shown("usd", 0, exact, decimals), exact).alias("amount_usd"),
         "transfer_type",
-        _final(F.round("_cum", 2), exact).alias("cumulative_drained_rseth"))
+        _final(_shown("_cum", 2, exact, decimals), exact).alias("cumulative_drained_rseth"))
     # Sorted by the running total's own order (the dashboard sorts by time
     # only, which leaves rows of one block in arbitrary order).
     return sorted_result(out, "block_time", "tx_hash_full") if sort else out
@@ -157,9 +172,7 @@ def aave_contagion(supply: DataFrame, borrow: DataFrame, *, window=K.CONTAGION_W
         (b, "block_time", {"eth_borrowed": ("sum", "amount"),
                            "eth_borrowed_usd": ("sum", "amount_usd"),
                            "borrow_tx_count": ("count", None)})], "hour", "hour_bucket")
-    # One row per hour of the window at most: a bound from the parameters.
-    cum = series.running_total(aligned, "eth_borrowed", "_cum", ["hour_bucket"],
-                               max_rows=series.buckets_in(window[0], window[1], "hour"))
+    cum = series.running_total(aligned, "eth_borrowed", "_cum", ["hour_bucket"])
     out = cum.select(
         "hour_bucket",
         _final(F.round("rseth_supplied", 2), exact).alias("rseth_supplied"),
@@ -169,8 +182,7 @@ def aave_contagion(supply: DataFrame, borrow: DataFrame, *, window=K.CONTAGION_W
         _final(round_scaled("eth_borrowed_usd", 6, 3, exact), exact)
         .alias("eth_borrow_usd_m"),
         _final(F.round("_cum", 2), exact).alias("cumul_eth_borrowed"))
-    return sorted_result(out, "hour_bucket", max_rows=series.buckets_in(
-        window[0], window[1], "hour")) if sort else out
+    return sorted_result(out, "hour_bucket") if sort else out
 
 
 # --------------------------------------------------------------------------
@@ -191,8 +203,7 @@ def aave_tvl_drop(supply: DataFrame, borrow: DataFrame, *, window=K.TVL_WINDOW,
             "transaction_type", "amount_usd", "deposit", "withdraw"))}),
         (b, "block_time", {"net_borrow_usd": ("sum", series.signed_amount(
             "transaction_type", "amount_usd", "borrow", "repay"))})], "day", "day_bucket")
-    cum = series.running_total(aligned, "net_supply_usd", "_cum", ["day_bucket"],
-                               max_rows=series.buckets_in(window[0], window[1], "day"))
+    cum = series.running_total(aligned, "net_supply_usd", "_cum", ["day_bucket"])
     flagged = series.period_flag(cum, "day_bucket", pivot, labels)
     out = flagged.select(
         "day_bucket",
@@ -202,8 +213,7 @@ def aave_tvl_drop(supply: DataFrame, borrow: DataFrame, *, window=K.TVL_WINDOW,
         .alias("net_borrow_change_b"),
         _final(round_scaled("_cum", 9, 3, exact), exact).alias("cumulative_net_supply_b"),
         "period_flag")
-    return sorted_result(out, "day_bucket", max_rows=series.buckets_in(
-        window[0], window[1], "day")) if sort else out
+    return sorted_result(out, "day_bucket") if sort else out
 
 
 # --------------------------------------------------------------------------
@@ -225,55 +235,47 @@ def arbitrum_intervention(txs: DataFrame, *, council=K.ARBITRUM_SECURITY_COUNCIL
     Source columns: ``block_time, block_number, hash, from, to, value,
     block_date, success`` (partitioned by ``block_date``)."""
     # One pass over the table for both legs (the dashboard scans it twice):
-    # rows of either leg are selected together, tagged, and checkpointed, so
-    # the two legs and the NOT IN check read a small materialised subset
-    # instead of re-scanning (and, on a partitioned table, re-pruning).
+    # rows of either leg are selected together and tagged; a window over the
+    # transaction hash then drops route rows of watched transactions.
+    units = 0 if exact else decimals
     c_win = between_closed("block_date", *council_dates)
     r_win = between_closed("block_date", *route_dates)
     watch = [council, executor]
-    scoped = txs.where((F.col("success") == F.lit(True)) & (c_win | r_win)
-                       & transfers.raw_floor("value", min(council_min, route_min), decimals,
-                                             exact))
+    scoped = txs.where((c_win | r_win) & transfers.raw_floor(
+        "value", min(council_min, route_min), decimals, exact))
     scoped, watched_from = member_condition(scoped, "from", watch)
     scoped, watched_to = member_condition(scoped, "to", watch)
-    scoped = scoped.withColumn("__in_council", c_win & (watched_from | watched_to)) \
-                   .withColumn("__in_route", r_win)
+    scoped = scoped.withColumn("_watched", c_win & (watched_from | watched_to)) \
+                   .withColumn("_routed", r_win)
     canon = transfers.normalize_transfers(
         scoped, tx_hash="hash", block_time="block_time", block_number="block_number",
         sender="from", receiver="to", value="value", block_date="block_date",
-        decimals=decimals, exact=exact, extra=["__in_council", "__in_route"])
-    canon = canon.withColumn("__in_council", F.col("__in_council")
-                             & (F.col("amount") > F.lit(council_min))) \
-                 .withColumn("__in_route", F.col("__in_route")
-                             & (F.col("amount") > F.lit(route_min)))
-    legs = cut_lineage(canon.where(F.col("__in_council") | F.col("__in_route")))
-    council_rows = transfers.flow_direction(legs.where(F.col("__in_council")), council, labels)
-    route_rows = legs.where(F.col("__in_route")).withColumn("flow_direction", F.lit(route_label))
-    cols = ["block_time", "block_number", "tx_hash", "sender", "receiver", "amount",
-            "flow_direction"]
-    moves = transfers.merge_without_duplicates(council_rows.select(*cols),
-                                               route_rows.select(*cols), "tx_hash")
+        decimals=units, exact=exact, extra=["success", "_watched", "_routed"])
+    legs = transfers.large_moves(canon, _bound(min(council_min, route_min), exact, decimals))
+    legs = legs.withColumn("_watched", F.col("_watched") & (
+        F.col("amount") > F.lit(_bound(council_min, exact, decimals)))) \
+        .withColumn("_routed", F.col("_routed") & (
+            F.col("amount") > F.lit(_bound(route_min, exact, decimals))))
+    moves = transfers.merge_tagged(legs.where("_watched or _routed"), "_watched", "_routed", "tx_hash")
+    moves = transfers.flow_direction(moves, council, labels)
+    moves = moves.withColumn("flow_direction", F.when(F.col("_watched"), F.col("flow_direction"))
+                             .otherwise(F.lit(route_label)))
     hourly = series.bucket_flow(moves, "block_time", unit, {
         "tx_count": F.count(F.lit(1)), "_sum": F.sum("amount")},
         keys=["flow_direction"], bucket="hour_bucket")
     hourly = hourly.select(
         "hour_bucket", "flow_direction", "tx_count",
-        F.round("_sum", 4).alias("eth_volume"),
-        round_scaled(F.col("_sum") * lit_number(price, exact), 6, 3, exact)
+        _shown("_sum", 4, exact, decimals).alias("eth_volume"),
+        _shown(F.col("_sum") * lit_number(price, exact), 3, exact, decimals, 6)
         .alias("usd_volume_m"))
-    # Bounded: one row per (bucket, flow type) of the two fixed windows.
-    span = series.buckets_in(min(council_dates[0], route_dates[0]),
-                             max(council_dates[1], route_dates[1]), unit)
     cum = series.running_total(hourly, "eth_volume", "_cum", ["hour_bucket"],
-                               partition_by=["flow_direction"],
-                               max_rows=None if span is None else span * (len(labels) + 1))
+                               partition_by=["flow_direction"])
     out = cum.select(
         "hour_bucket", F.col("flow_direction").alias("flow_type"), "tx_count",
         _final(F.col("eth_volume"), exact).alias("eth_volume"),
         _final(F.col("usd_volume_m"), exact).alias("usd_volume_m"),
         _final(F.round("_cum", 4), exact).alias("cumulative_eth"))
-    return sorted_result(out, "hour_bucket", "flow_type", max_rows=None if span is None
-                         else span * (len(labels) + 1)) if sort else out
+    return sorted_result(out, "hour_bucket", "flow_type") if sort else out
 
 
 # --------------------------------------------------------------------------
@@ -286,12 +288,28 @@ def thorchain_daily(swaps: DataFrame, *, window=K.LAUNDERING_WINDOW,
                     exact: bool = False) -> DataFrame:
     """Large ETH->BTC swaps per day (v2 sums then rounds; v1,
     ``round_rows=True``, rounds every swap first)."""
-    big = channels.large_swaps(swaps, from_pattern=from_pattern, to_pattern=to_pattern,
+    big = channels.large_swaps(swaps.where(partition_bound("block_date", window[0], "date")), from_pattern=from_pattern, to_pattern=to_pattern,
                                min_usd=min_usd, time_col="block_timestamp",
                                start=window[0], end=window[1])
     return channels.swap_daily(big, round_rows=round_rows, exact=exact)
 
 
+def swap_log(swaps: DataFrame, *, window=K.LAUNDERING_WINDOW, from_pattern: str = "%ETH%",
+             to_pattern: str = "%BTC%", min_usd=K.SWAP_MIN_USD, label=K.SWAP_ROUTE_LABEL,
+             exact: bool = False) -> DataFrame:
+    """Rows behind :func:`thorchain_daily` of v1: every large swap with its
+    route label and its rounded amounts."""
+    big = channels.large_swaps(swaps.where(partition_bound("block_date", window[0], "date")),
+                               from_pattern=from_pattern, to_pattern=to_pattern,
+                               min_usd=min_usd, time_col="block_timestamp",
+                               start=window[0], end=window[1])
+    return big.select(
+        "block_timestamp", "tx_id", "from_address", "from_asset", "to_asset",
+        F.lit(label).alias("route"), _final(F.round("from_amount", 4), exact).alias("amount_sent"),
+        _final(F.round("to_amount", 4), exact).alias("amount_received"),
+        _final(F.round("from_amount_usd", 2), exact).alias("swap_usd"))
+
+
 def tron_usdt_daily(logs: DataFrame, *, dates=K.LAUNDERING_DATES,
                     contract=K.TRON_USDT_CONTRACT, topic0=K.ERC20_TRANSFER_TOPIC,
                     min_amount=K.USDT_MIN_TRANSFER, decimals: int = 6,
@@ -312,13 +330,6 @@ def tron_native_daily(txs: DataFrame, *, dates=K.LAUNDERING_DATES,
                                        start=dates[0], end=dates[1])
 
 
-def _laundering_days(window, dates) -> int | None:
-    """Days on the combined axis: at most the days of both windows."""
-    a = series.buckets_in(window[0], window[1], "day")
-    b = series.buckets_in(dates[0], dates[1], "day")
-    return None if a is None or b is None else a + b
-
-
 def laundering_path(swaps: DataFrame, tron_logs: DataFrame, *,
                     window=K.LAUNDERING_WINDOW, dates=K.LAUNDERING_DATES,
                     from_pattern: str = "%ETH%", to_pattern: str = "%BTC%",
@@ -346,8 +357,7 @@ def laundering_path(swaps: DataFrame, tron_logs: DataFrame, *,
         F.col("transfer_count").alias("tron_usdt_transfers"),
         _final(F.col("total_volume_m"), exact).alias("tron_usdt_volume_m"),
         _final(F.col("_tot"), exact).alias("total_laundered_m"))
-    return sorted_result(out, "day_bucket", max_rows=_laundering_days(window, dates)) \
-        if sort else out
+    return sorted_result(out, "day_bucket") if sort else out
 
 
 def laundering_path_v2(swaps: DataFrame, tron_txs: DataFrame, *,
@@ -373,8 +383,7 @@ def laundering_path_v2(swaps: DataFrame, tron_txs: DataFrame, *,
         F.col("tx_count").alias("tron_large_tx_count"),
         _final(F.col("value_usd_m"), exact).alias("tron_value_usd_m"),
         _final(F.col("_tot"), exact).alias("total_laundering_flow_m"))
-    return sorted_result(out, "day_bucket", max_rows=_laundering_days(window, dates)) \
-        if sort else out
+    return sorted_result(out, "day_bucket") if sort else out
 
 
 # --------------------------------------------------------------------------

@@ -7,7 +7,6 @@ is a convenience for tests, ``bench.py`` and local runs.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +27,6 @@ SESSION_DEFAULTS = {
 }
 
 
-MAX_SHUFFLE_PARTITIONS = 32768
-
-
 def scale_settings(input_bytes: int, total_cores: int,
                    target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Partition sizing for a run over ``input_bytes`` of Parquet on
@@ -39,14 +35,11 @@ def scale_settings(input_bytes: int, total_cores: int,
     Shuffle partitions start at enough ~256 MiB partitions for the whole
     input (and at least three waves of tasks); AQE coalesces them to the
     advisory size after each stage and splits skewed ones, so the number is
-    an upper bound rather than a guess. Scan splits use the same size. The
-    count is capped at 32,768: beyond that map-status and shuffle-block
-    bookkeeping dominates, and the shuffles here mostly carry pre-aggregated
-    rows, far less than the input. For 100 TB on 8,000 cores this gives the
-    cap; for the 37 MB test scale three waves of 8 tasks.
+    an upper bound rather than a guess, and a task's share stays bounded at
+    any size. Scan splits use the same size. Where map-status bookkeeping
+    matters more, pass a larger ``target_partition_bytes``.
     """
     parts = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
-    parts = min(parts, max(MAX_SHUFFLE_PARTITIONS, 3 * total_cores))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
@@ -115,10 +108,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

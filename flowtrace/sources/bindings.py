@@ -9,12 +9,15 @@ exact, engine-independent results possible. ``ORACLE_VIEWS`` in
 
 Mapping (B1…B6 in SURVEY §7.3):
 
-* ``rseth_evt_transfer`` from ``events``: hash and block = ``event_id``,
-  time = ``ts``, sender = address of ``user_id``, receiver = address of
-  ``event_type``, raw 18-decimal value = ``value`` · 10^18.
+* ``rseth_evt_transfer`` from ``events``: block = hour of ``ts``, hash =
+  ``user_id`` (one transaction per user and block, with many transfers), log
+  index = ``event_id``, sender = address of ``user_id``, receiver = address of
+  ``event_type``, raw 18-decimal value = ``value`` · 10^18 + ``event_id``, so
+  that the last decimals matter.
 * ``erc20_evt_transfer`` / ``arbitrum_transactions`` from ``lineitem`` ⋈
-  ``orders``: hash = ``l_orderkey``, time = ``l_shipdate``, sender = address
-  of ``l_suppkey``, receiver = address of ``o_custkey``, raw value =
+  ``orders``: hash = ``l_suppkey`` (transfers) or ``l_orderkey``
+  (transactions), time = ``l_shipdate`` (transactions: plus ``l_orderkey`` mod
+  24 hours), sender = address of ``l_suppkey``, receiver = address of ``o_custkey``, raw value =
   ``l_extendedprice`` · 10^18, token contract = address of
   ``l_linestatus``, success = ``l_returnflag <> 'R'``.
 * ``lending_supply`` / ``lending_borrow`` from ``events``: purchase =
@@ -35,7 +38,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import int_to_bytes, text_to_bytes
+from ..functions.scalars import int_to_bytes, text_to_bytes, truncate_time
 from ..plans import constants as K
 
 ADDRESS_BYTES = 20
@@ -45,37 +48,26 @@ APPROVAL_TOPIC = bytes.fromhex(
     "8c5be1e5ebec7d5bd14f71427d1e84f3dd0314c0f7b2291e5b200ac8c7c3b925")
 
 
-_RELATIONS: dict[tuple, DataFrame] = {}
-# Fact tables and the key their rows are spread on when the files give
-# fewer scan splits than the session has cores.
-FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A driver table, resolved once per session: the relation keeps its
-    file listing and Parquet footer schema, so later queries over the same
-    table skip both (as a catalog table would).
-
-    With ``spread=True`` (bindings that join or do heavy per-row work), a
-    fact table stored in fewer splits than the session has cores (the test
-    files are one Parquet row group each, so one scan task) is
-    hash-partitioned on its key once. That spreads the joins, address
-    encoding and decimal arithmetic over all cores and co-partitions
-    ``lineitem`` and ``orders`` on the order key; filters and column pruning
-    still reach the scan below the exchange. A plain scan-and-aggregate
-    binding does not spread (partial aggregation in the scan task is cheaper
-    than a shuffle), and on a cluster table with thousands of splits it is a
-    no-op either way.
-    """
-    key = (spark.sparkContext.applicationId, id(spark), f"{sf_dir}/{name}.parquet", spread)
-    df = _RELATIONS.get(key)
-    if df is None:
-        df = spark.read.parquet(key[2])
-        cores = spark.sparkContext.defaultParallelism
-        if spread and name in FACT_KEYS and df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, FACT_KEYS[name])
-        _RELATIONS[key] = df
-    return df
+#: The driver tables' columns, given so that no job has to read the footers.
+TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cents(col: str):
@@ -97,22 +89,24 @@ def token_address(col: str):
 
 
 def rseth_evt_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _table(spark, sf_dir, "events", spread=True)
+    ev = _table(spark, sf_dir, "events")
+    hour = truncate_time("ts", "hour", like=ev.schema["ts"].dataType)
     return ev.select(
-        int_to_bytes(F.col("event_id"), HASH_BYTES).alias("evt_tx_hash"),
-        F.col("ts").alias("evt_block_time"),
-        F.col("event_id").alias("evt_block_number"),
+        int_to_bytes(F.col("user_id"), HASH_BYTES).alias("evt_tx_hash"),
+        F.col("event_id").alias("evt_index"),
+        hour.alias("evt_block_time"),
+        F.floor(F.unix_micros(hour.cast("timestamp")) / F.lit(3_600_000_000)).alias("evt_block_number"),
         address("user_id").alias("from"),
         token_address("event_type").alias("to"),
-        raw18("value").alias("value"),
+        (raw18("value") + F.col("event_id")).cast("decimal(38,0)").alias("value"),
         F.to_date("ts").alias("evt_block_date"))
 
 
 def _lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _table(spark, sf_dir, "lineitem", spread=True).select(
+    li = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_extendedprice", "l_linestatus", "l_returnflag",
         "l_shipdate")
-    orders = _table(spark, sf_dir, "orders", spread=True).select("o_orderkey", "o_custkey")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
 
 
@@ -120,17 +114,18 @@ def erc20_evt_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo = _lines_with_orders(spark, sf_dir)
     return lo.select(
         F.col("l_shipdate").alias("block_time"),
-        int_to_bytes(F.col("l_orderkey"), HASH_BYTES).alias("tx_hash"),
+        int_to_bytes(F.col("l_suppkey"), HASH_BYTES).alias("tx_hash"),
         address("l_suppkey").alias("from"),
         address("o_custkey").alias("to"),
         raw18("l_extendedprice").alias("value"),
-        token_address("l_linestatus").alias("contract_address"))
+        token_address("l_linestatus").alias("contract_address"),
+        F.to_date("l_shipdate").alias("block_date"))
 
 
 def arbitrum_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo = _lines_with_orders(spark, sf_dir)
     return lo.select(
-        F.col("l_shipdate").alias("block_time"),
+        (F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_orderkey") % 24)).alias("block_time"),
         F.col("l_orderkey").alias("block_number"),
         int_to_bytes(F.col("l_orderkey"), HASH_BYTES).alias("hash"),
         address("l_suppkey").alias("from"),
@@ -179,7 +174,7 @@ def lending_borrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def thorchain_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _table(spark, sf_dir, "lineitem", spread=True).select(
+    li = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_shipdate")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
@@ -196,7 +191,8 @@ def thorchain_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("to_asset"),
         (qty * disc * tax).alias("from_amount"),
         (price * tax * disc).alias("to_amount"),
-        (price * disc).alias("from_amount_usd"))
+        (price * disc).alias("from_amount_usd"),
+        F.to_date("l_shipdate").alias("block_date"))
 
 
 def tron_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,17 +224,18 @@ def tron_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nation_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B6: money flowing from supplier nations to customer nations, one
     weighted edge per (supplier nation, customer nation), in USD millions."""
-    lo = _lines_with_orders(spark, sf_dir)
     supp = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     cust = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     sn, cn = nation.alias("sn"), nation.alias("cn")
-    # Joined one dimension at a time onto the fact rows: each dimension scan
-    # is small enough to broadcast on its own, while a pre-joined dimension
-    # pair would be estimated (size product) above the broadcast threshold.
-    # Both nation lookups use the same projection, so one broadcast serves both.
-    flows = (lo.join(supp, lo.l_suppkey == supp.s_suppkey, "inner")
-               .join(cust, lo.o_custkey == cust.c_custkey, "inner")
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # Customers join the orders (a quarter of the lines) first, then the lines
+    # once; nations join last, both lookups over one projection, so that one
+    # broadcast serves both.
+    buyers = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "c_nationkey")
+    flows = (li.join(buyers, li.l_orderkey == buyers.o_orderkey)
+               .join(supp, F.col("l_suppkey") == supp.s_suppkey)
                .join(sn, F.col("s_nationkey") == F.col("sn.n_nationkey"), "inner")
                .join(cn, F.col("c_nationkey") == F.col("cn.n_nationkey"), "inner")
                .select(F.col("sn.n_name").alias("source_node"),

@@ -21,14 +21,15 @@ RAW = T.DecimalType(38, 0)
 
 SCHEMAS: dict[str, T.StructType] = {
     "rseth_evt_transfer": T.StructType([
-        T.StructField("evt_tx_hash", BIN), T.StructField("evt_block_time", TS),
+        T.StructField("evt_tx_hash", BIN), T.StructField("evt_index", T.LongType()),
+        T.StructField("evt_block_time", TS),
         T.StructField("evt_block_number", T.LongType()), T.StructField("from", BIN),
         T.StructField("to", BIN), T.StructField("value", RAW),
         T.StructField("evt_block_date", T.DateType())]),
     "erc20_evt_transfer": T.StructType([
         T.StructField("block_time", TS), T.StructField("tx_hash", BIN),
         T.StructField("from", BIN), T.StructField("to", BIN), T.StructField("value", RAW),
-        T.StructField("contract_address", BIN)]),
+        T.StructField("contract_address", BIN), T.StructField("block_date", T.DateType())]),
     "lending_supply": T.StructType([
         T.StructField("block_time", TS), T.StructField("block_month", T.DateType()),
         T.StructField("blockchain", T.StringType()), T.StructField("project", T.StringType()),
@@ -45,7 +46,8 @@ SCHEMAS: dict[str, T.StructType] = {
         T.StructField("from_address", T.StringType()),
         T.StructField("from_asset", T.StringType()), T.StructField("to_asset", T.StringType()),
         T.StructField("from_amount", T.DoubleType()), T.StructField("to_amount", T.DoubleType()),
-        T.StructField("from_amount_usd", T.DoubleType())]),
+        T.StructField("from_amount_usd", T.DoubleType()),
+        T.StructField("block_date", T.DateType())]),
     "tron_logs": T.StructType([
         T.StructField("block_time", TS), T.StructField("block_date", T.DateType()),
         T.StructField("tx_hash", BIN), T.StructField("tx_from", BIN),
@@ -59,6 +61,8 @@ SCHEMAS["lending_borrow"] = SCHEMAS["lending_supply"]
 
 PARTITION_KEYS = {
     "rseth_evt_transfer": ("evt_block_date",),
+    "erc20_evt_transfer": ("block_date",),
+    "thorchain_swaps": ("block_date",),
     "lending_supply": ("block_month",),
     "lending_borrow": ("block_month",),
     "arbitrum_transactions": ("block_date",),

@@ -56,3 +56,20 @@ def test_native_proxy_and_channel_total(spark):
     assert out.tx_count == 1 and out.value_usd_m == Decimal("0.240")
     both = spark.createDataFrame([(d, Decimal("1.5"), None)], "d date, a decimal(10,3), b decimal(10,3)")
     assert combine_channels(both, ["a", "b"], "t").first().t == Decimal("1.500")
+
+
+def test_unreadable_payload_is_reported_and_the_rest_summed(spark):
+    from flowtrace.operators.channels import (decode_token_transfers, large_transfer_daily,
+                                              unreadable_logs)
+    day = dt.datetime(2026, 4, 20, 5)
+    rows = [(day, day.date(), bytes([i]), b"a", b"b", w.to_bytes(32, "big"), b"c", b"t")
+            for i, w in enumerate((2 ** 200, 2 ** 70, 7 * 10 ** 12))]
+    logs = spark.createDataFrame(
+        rows, "block_time timestamp, block_date date, tx_hash binary, tx_from binary, tx_to binary, "
+              "data binary, contract_address binary, topic0 binary")
+    decoded = decode_token_transfers(logs, contract=b"c", topic0=b"t", exact=True)
+    assert {"tx_from", "tx_to"} <= set(decoded.columns)
+    out = large_transfer_daily(decoded, 10, exact=True).collect()
+    assert [(r.transfer_count, r.total_volume_m) for r in out] == [
+        (2, round(Decimal(2 ** 70 + 7 * 10 ** 12).scaleb(-12), 3))]
+    assert [bytes(r.tx_hash) for r in unreadable_logs(logs).collect()] == [b"\x00"]

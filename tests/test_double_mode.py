@@ -7,7 +7,7 @@ import math
 
 from flowtrace.plans import recipes as R
 from flowtrace.plans.bound import PARAMS
-from flowtrace.plans.compare import duckdb_connection
+from .compare import duckdb_connection
 from flowtrace.sources import bindings as B
 
 from .conftest import SF_SMALL
@@ -27,14 +27,14 @@ def test_hop_log_double_mode(spark):
     con = duckdb_connection(SF_SMALL)
     want = con.execute(f"""
       WITH raw AS (
-        SELECT event_id AS block_number, ts AS block_time,
+        SELECT user_id, event_id, date_trunc('hour', ts) AS block_time,
                CAST(CAST(CAST(value AS DECIMAL(18,2)) * 1000000000000000000 AS DECIMAL(38,0))
-                    AS DOUBLE) / 1e18 AS amount
+                    + event_id AS DOUBLE) / 1e18 AS amount
         FROM events
         WHERE CAST(ts AS DATE) BETWEEN DATE '{p['dates'][0]}' AND DATE '{p['dates'][1]}'),
       hops AS (
         SELECT *, amount * {p['price']} AS usd,
-               ROW_NUMBER() OVER (ORDER BY block_time, block_number) AS hop_sequence
+               ROW_NUMBER() OVER (ORDER BY block_time, user_id, event_id) AS hop_sequence
         FROM raw WHERE amount > {p['min_amount']})
       SELECT hop_sequence, ROUND(amount, 4), ROUND(usd / 1e6, 3),
              ROUND(SUM(amount) OVER (ORDER BY hop_sequence), 2)

@@ -1,18 +1,17 @@
 """Every registered query against its DuckDB oracle (row count, column
 names and values, order-insensitive)."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
-from flowtrace.plans.compare import compare, duckdb_connection
+from flowtrace.plans.bound import QUERIES as OWN
+from flowtrace.plans.oracle import oracle_sql
 
+from .compare import compare, duckdb_connection
 from .conftest import SF_ORACLE, SF_SMALL
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
-FULL = os.environ.get("FT_FULL_ORACLE") == "1"
+QUERIES = {name: query for name, query in entry.queries().items() if name in OWN}
+ORACLES = oracle_sql()
 
 
 def test_every_query_has_an_oracle():
@@ -31,11 +30,14 @@ def test_query_matches_oracle_small(spark, con_small, name):
     assert result["spark_rows"] > 0
 
 
-@pytest.mark.skipif(not FULL, reason="set FT_FULL_ORACLE=1 for the sf0.01 pass")
+@pytest.fixture(scope="module")
+def con_oracle():
+    return duckdb_connection(SF_ORACLE)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_oracle_sf001(spark, name):
-    con = duckdb_connection(SF_ORACLE)
-    result = compare(QUERIES[name](spark, SF_ORACLE), con, ORACLES[name])
+def test_query_matches_oracle_sf001(spark, con_oracle, name):
+    result = compare(QUERIES[name](spark, SF_ORACLE), con_oracle, ORACLES[name])
     assert result["match"], result
 
 
@@ -45,26 +47,6 @@ def test_entry_smoke(spark):
     assert df.columns[0] == "hop_sequence"
 
 
-@pytest.fixture()
-def force_distributed(spark):
-    """Thresholds at 0: every ordered measure runs the ranged plan and every
-    final sort is a range-partitioned one, as on cluster-sized inputs."""
-    keys = ["spark.flowtrace.window.singleTaskMaxBytes",
-            "spark.flowtrace.window.singleTaskMaxRows",
-            "spark.flowtrace.window.countMaxBytes"]
-    for k in keys:
-        spark.conf.set(k, "0")
-    yield
-    for k in keys:
-        spark.conf.unset(k)
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_oracle_with_distributed_plans(spark, con_small, force_distributed, name):
-    result = compare(QUERIES[name](spark, SF_SMALL), con_small, ORACLES[name])
-    assert result["match"], result
-
-
 @pytest.mark.parametrize("name", ["hop_log", "bridge_drain", "intervention_hourly",
                                   "log_decode_daily", "laundering_v1"])
 def test_results_do_not_depend_on_ansi_mode(spark, con_small, name):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from flowtrace.plans.bound import QUERIES
 from flowtrace.plans import recipes as R
 from flowtrace.sources import bindings as B
 from flowtrace.sources.tables import read_chain_table, write_chain_table
@@ -21,7 +22,7 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_nested_loops_or_python(spark, name):
     df = entry.queries()[name](spark, SF_SMALL)
     text = plan_text(df)
@@ -66,3 +67,30 @@ def test_partitioned_write_rebalances_by_date(spark, scratch):
     df = B.tron_transactions(spark, SF_SMALL).hint("rebalance", "block_date")
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "REBALANCE_PARTITIONS_BY_COL" in text
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_building_a_query_runs_no_job(spark, name):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    entry.queries()[name](spark, SF_SMALL)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
+@pytest.mark.parametrize("name", ["hop_log", "bridge_drain"])
+def test_ordered_rows_are_exchanged_once(spark, name):
+    """Rows go through one exchange by (time, …); the others carry totals."""
+    text = plan_text(QUERIES[name](spark, SF_SMALL).select("*"))
+    assert "SinglePartition" in text  # one row per day, for the last level
+    assert "Checkpoint" not in text and "CartesianProduct" not in text
+
+
+def test_time_windows_prune_partitions_of_transfers_and_swaps(spark, scratch):
+    for name, build in (("erc20_evt_transfer", B.erc20_evt_transfer), ("thorchain_swaps", B.thorchain_swaps)):
+        path = f"{scratch}/pruned_{name}"
+        write_chain_table(build(spark, SF_SMALL), path, name)
+        src = read_chain_table(spark, name, path)
+        window = (dt.datetime(1996, 1, 1), dt.datetime(1996, 3, 1))
+        out = R.bridge_drain(src, window=window) if name.startswith("erc20") else \
+            R.thorchain_daily(src, window=window)
+        assert "PartitionFilters: [isnotnull(block_date" in plan_text(out)

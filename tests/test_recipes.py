@@ -25,7 +25,8 @@ def test_inception_hop_log_defaults(spark):
             (H[4], ts(18, 17, 45), 24908320, X, K.ATTACKER_WALLET, 5000 * E18),
             (H[5], ts(19, 1, 0), 24910000, X, X, 500 * E18),
             (H[6], ts(20, 1, 0), 24920000, X, X, 300 * E18)]
-    df = spark.createDataFrame([r + (r[1].date(),) for r in rows], SCHEMAS["rseth_evt_transfer"])
+    df = spark.createDataFrame([(r[0], i) + r[1:] + (r[1].date(),) for i, r in enumerate(rows)],
+                               SCHEMAS["rseth_evt_transfer"])
     out = R.inception_hop_log(df).collect()
     assert [(r.hop_sequence, r.rseth_amount, r.cumulative_rseth_drained) for r in out] == [
         (1, 116500.0, 116500.0), (2, 20000.0, 136500.0), (3, 5000.0, 141500.0),
@@ -46,7 +47,8 @@ def test_bridge_drain_defaults(spark):
             (ts(18, 19), H[4], X, X, 7 * E18, K.RSETH_ERC20),            # not watched
             (ts(18, 20), H[5], K.BRIDGE_ORIGIN, K.ATTACKER_WALLET, E18, X),  # other token
             (ts(19, 6), H[6], K.BRIDGE_ORIGIN, K.ATTACKER_WALLET, E18, K.RSETH_ERC20)]
-    df = spark.createDataFrame(rows, SCHEMAS["erc20_evt_transfer"])
+    df = spark.createDataFrame([r + (r[0].date(),) for r in rows],
+                               SCHEMAS["erc20_evt_transfer"])
     out = R.bridge_drain(df).collect()
     assert [(r.transfer_type, r.cumulative_drained_rseth) for r in out] == [
         (K.ROLE_LABELS[0], 116500.0), (K.ROLE_LABELS[0], 116500.0),
@@ -99,9 +101,10 @@ def test_arbitrum_intervention_defaults(spark):
 
 def test_laundering_paths_defaults(spark):
     swaps = spark.createDataFrame(
-        [(ts(19, 1), "a", "x", "ETH.ETH", "BTC.BTC", 100.00004, 3.00004, 1000000.004),
-         (ts(19, 2), "b", "x", "ETH.ETH", "BTC.BTC", 50.0, 1.5, 499999.0),
-         (ts(20, 2), "c", "x", "ETH.USDC", "BTC.BTC", 10.0, 0.5, 600000.0)],
+        [r + (r[0].date(),) for r in (
+            (ts(19, 1), "a", "x", "ETH.ETH", "BTC.BTC", 100.00004, 3.00004, 1000000.004),
+            (ts(19, 2), "b", "x", "ETH.ETH", "BTC.BTC", 50.0, 1.5, 499999.0),
+            (ts(20, 2), "c", "x", "ETH.USDC", "BTC.BTC", 10.0, 0.5, 600000.0))],
         SCHEMAS["thorchain_swaps"])
     d19 = dt.date(2026, 4, 19)
     word = (3_000_000 * 10 ** 6).to_bytes(32, "big")

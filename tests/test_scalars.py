@@ -35,10 +35,13 @@ def test_payload_decode_32_byte_word(spark):
     assert row.usdt == 1_000_000.0
 
 
-def test_payload_beyond_bigint_raises(spark):
-    word = bytes.fromhex("00" * 23 + "01" + "00" * 8)  # 9 significant bytes
-    with pytest.raises(Exception):
-        one(spark, bytes_to_bigint(F.lit(word)).alias("v"))
+def test_wide_payloads_decode_or_become_null(spark):
+    from flowtrace.functions import bytes_to_decimal
+    words = [2 ** 63, 2 ** 70, 2 ** 120 - 1, 2 ** 120, 2 ** 200, 0]
+    df = spark.createDataFrame([(w.to_bytes(32, "big"),) for w in words], "w binary")
+    got = [r.v for r in df.select(bytes_to_decimal("w").alias("v")).collect()]
+    assert got == [2 ** 63, 2 ** 70, 2 ** 120 - 1, None, None, 0]
+    assert [r.v for r in df.select(bytes_to_bigint("w").alias("v")).collect()] == [None] * 5 + [0]
 
 
 def test_address_encodings(spark):
@@ -54,7 +57,10 @@ def test_scale_units_double_and_exact(spark):
     row = one(spark, scale_units(F.lit(raw), 18).alias("d"),
               scale_units(F.lit(raw), 18, exact=True).alias("e"))
     assert row.d == pytest.approx(12.3456)
-    assert row.e == Decimal("12.345600")
+    assert row.e == Decimal("12.3456")
+    one_more = one(spark, scale_units(F.lit(raw + 1), 18, exact=True).alias("e"),
+                   scale_units(F.lit(-raw - 1), 18, exact=True).alias("m"))
+    assert one_more.e == Decimal("12.345600000000000001") == -one_more.m
 
 
 def test_round_scaled_rounds_once(spark):
