@@ -7,8 +7,8 @@ a position of one level into that of the next, so any token is read without
 decoding its neighbours. A file row is one block: consecutive documents in
 ascending doc_id order, their offsets and the levels.
 
-Tokenising encodes every distinct white-space word of a task's documents
-once; the tokenizer drops white space, so words are independent.
+Tokenising encodes every distinct word of a task's documents once; the
+tokenizer drops white space, so words are independent.
 
 Defined results: a null or empty text holds the end id alone; rows that
 repeat a doc_id stand next to each other, rows without one come first; other
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowtrace.llm.arrays import distinct_slices, ranges, text_buffers, word_spans
+from flowtrace.llm.arrays import distinct_slices, lower_ascii, ranges, text_buffers, word_spans
 from flowtrace.llm.tables import shared_folder, table
 
 #: Ids in a block (beyond one document), bits between rank directory entries,
@@ -84,29 +84,79 @@ class Codes:
         return out
 
 
+#: Words of these letters alone are one pre-token and stay as they are under
+#: normalisation, but for case; the merges can be applied to them directly.
+PLAIN_LETTERS = "[a-zß-öø-ÿÀ-ÖØ-Þ]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The sign by which byte-level vocabularies write each byte: itself
+    where it prints in Latin-1, else the next unused code point from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray):
+    """(data, start, end, pieces before each text): words, cut where ASCII
+    punctuation follows a letter, as no pre-token spans that. Case and cuts
+    stay as they are where a special token may stand in the text."""
+    starts, ends, before = word_spans(data, offsets)
+    if b"<|" in data.tobytes():
+        return data, starts, ends, before
+    data = lower_ascii(data)
+    punctuation, letter = np.zeros(256, bool), np.zeros(256, bool)
+    punctuation[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+    letter[97:123] = True
+    after = np.zeros(len(data), bool)
+    after[1:] = letter[data[:-1]]
+    # Latin-1 letters: lead byte C3, all but the signs for times and divided by.
+    after[2:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+    cuts = np.flatnonzero(punctuation[data] & after)
+    cuts = cuts[~np.isin(cuts, starts)]
+    starts, ends = np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts))
+    return data, starts, ends, np.searchsorted(starts, offsets, "left")
+
+
 def _tokenise(tokenizer_file: str, end_id: int):
     """Batches of (doc_id, text) to (doc_ids, ids, offsets) arrays."""
 
     def run(batches):
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
+        model, plain = tokenizer.model, re.compile(PLAIN_LETTERS).fullmatch
+        shown = "".join(byte_letters()[b] for b in range(256))
         known: dict[bytes, np.ndarray] = {}
+
+        def learn(fresh: list[bytes]):
+            rest = []
+            for word in fresh:
+                text = word.decode()
+                if not plain(text):
+                    rest.append((word, text))
+                    continue
+                text = text.lower()
+                if not text.isascii():
+                    text = text.encode().decode("latin-1").translate(shown)
+                known[word] = np.array([t.id for t in model.tokenize(text)], np.uint32)
+            for a in range(0, len(rest), 10_000):
+                part = rest[a:a + 10_000]
+                coded = tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+                known.update((w, np.array(e.ids, np.uint32)) for (w, _), e in zip(part, coded))
+
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            starts, ends, before = word_spans(data, offsets)
+            data, starts, ends, before = _pieces(data, offsets)
             codes, words = distinct_slices(data, starts, ends)
             words = words.to_pylist()
             if len(known) > KNOWN_WORDS:
-                known = {}
-            fresh = [w for w in words if w not in known]
-            for a in range(0, len(fresh), 10_000):
-                part = fresh[a:a + 10_000]
-                coded = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(part, coded))
+                known.clear()
+            learn([w for w in words if w not in known])
             found = [known[w] for w in words]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.concatenate([*found, np.zeros(0, np.uint32)])
