@@ -232,7 +232,7 @@ def _encoder(rank_file: str, pattern: str):
     return run
 
 
-def _reassemble(key, positions: pa.Table, words: pa.Table) -> pa.Table:
+def _reassemble(key, positions, words):
     """Documents of one chunk from its positions and its words' ids."""
     if positions.num_rows != 1:
         raise RuntimeError("the documents were read in another order meanwhile")

@@ -64,7 +64,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-OP9 = f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+OP9 = f"""WITH d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
 s AS (
   SELECT doc_id, i, row_number() OVER (
            PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS occurrence
