@@ -32,6 +32,8 @@ END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PAGE_URN = "<urn:page:"
+#: Revisits that are broadcast at most; beyond, pages and revisits shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -60,8 +62,11 @@ def records(pages: DataFrame, date: str, min_bytes: int = 0) -> DataFrame:
                            F.octet_length("html").alias("n"))
     keys = digests.where(F.col("n") >= min_bytes)
     first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
-    revisits = keys.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to")
-    rows = pages.join(revisits, "page_id", "left")
+    revisits = stored(keys.join(first, "digest").where("page_id <> refers_to")
+                      .select("page_id", "refers_to"), "revisits")
+    # Two numbers a revisit: while they are few, the pages stay where they are.
+    small = revisits.count() <= BROADCAST_ROWS
+    rows = pages.join(F.broadcast(revisits) if small else revisits, "page_id", "left")
     revisit = F.col("refers_to").isNotNull()
     block = F.concat(F.lit(HTTP), F.when(revisit, F.lit("")).otherwise(F.col("html")))
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
