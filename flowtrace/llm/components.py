@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtrace.llm.tables import stored
+from flowtrace.llm.tables import release, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lowest, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lowest.select("u", F.col("m").alias("v"))).distinct()
-        links = stored(small.where("u <> v"), "links")
+        earlier, links = links, stored(small.where("u <> v"), "links")
+        release(earlier)
     stars = links.groupBy("u").agg(F.min("v").alias("component"))
     roots = links.select("v").distinct()
     return stars.select(F.col("u").alias("node"), "component").unionByName(

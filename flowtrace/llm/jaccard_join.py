@@ -3,21 +3,21 @@
 Texts become sets of word shingles, equal sets one class. Two sets with
 Jaccard similarity t share one of the first ``n - ceil(t n) + 1`` tokens of
 each (any order that all sets use; here heavy tokens come last, by a counting
-sketch of fixed size). Classes that share such a token meet in the token's
-signature tree: leaves are sets with a token bitmap, inner nodes hold the OR
-of their bitmaps, the range of set sizes, and the smallest number of tokens
-that a bitmap may hide. The dual traversal compares a tree with itself and
+sketch of fixed size). Each shared token has a hub, the class that shares most
+tokens with most others; classes that share tokens of one hub meet in the
+hub's signature tree: leaves are sets with a token bitmap, inner nodes hold
+the OR of their bitmaps, the range of set sizes, and the largest number of tokens
+that one of the bitmaps hides. The dual traversal compares a tree with itself and
 drops node pairs whose largest possible overlap is too small for their sizes.
 What remains is verified on the texts.
 
 Similarity links within a class, and between classes that are connected
-already, need not be found again: a first round links every class to one hub
-per token (no tree, one row per class and token), a second round traverses
-the trees of tokens that still hold several components and skips node pairs
-that lie in one component. Large trees are cut into blocks; pairs of blocks
-are traversed in separate tasks, except those that lie in the hub's component
-altogether. So a group of near copies that holds a third
-of all rows costs one link each, not one per pair, and no link between
+already, need not be found again: a first round links every class to its
+hubs, a second round traverses the trees that still hold several components
+and skips node pairs that lie in one component. Large trees are cut into
+blocks; pairs of blocks are traversed in separate tasks, except those that lie
+in the hub's component altogether. So a group of near copies that holds a
+third of all rows costs one link each, not one per pair, and no link between
 unconnected texts is lost. (Token hashes have 64 bits; links are decided on
 words.)
 
@@ -27,7 +27,7 @@ without doc_id take no part, of rows that repeat one the smallest text stays;
 other columns are ignored; an empty table gives an empty table.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,11 @@ from flowtrace.llm.arrays import (gram_hashes, lower_ascii, mix, ranges, text_bu
                                   word_spans)
 from flowtrace.llm.components import components
 from flowtrace.llm.repeats import prepared
-from flowtrace.llm.tables import stored, table
+from flowtrace.llm.tables import release, stored, table
 
-#: Counters of the sketch, 64-bit words of a bitmap, sets in a leaf, children
-#: of an inner node, sets in a block.
-SKETCH, BITMAP, LEAF, FANOUT, BLOCK = 1 << 16, 16, 16, 8, 1024
+#: Counters of the sketch and slices they travel in, bits of a bitmap per
+#: token, sets in a leaf, children of an inner node, sets in a block.
+SKETCH, SLICES, BITS, LEAF, FANOUT, BLOCK = 1 << 20, 64, 4, 16, 8, 1024
 
 
 def shingle_sets(column, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,27 +73,71 @@ def shingle_sets(column, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(words: int):
-    """A task's share of the counting sketch."""
+    """A task's share of the counting sketch, in slices."""
 
     def run(batches):
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             grams, _ = shingle_sets(batch.column("text"), words)
             total += np.bincount((grams % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+        packed = [pa.compress(part.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+                  for part in total.reshape(SLICES, -1)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(packed, pa.binary())], ["slice", "counts"])
 
     return run
 
 
+def _summed(key, batches):
+    """A slice of the sketch, summed over tasks."""
+    total = np.zeros(SKETCH // SLICES, np.int64)
+    for batch in batches:
+        for packed in batch.column("counts").to_pylist():
+            total += np.frombuffer(pa.decompress(packed, 8 * len(total), codec="zstd", asbytes=True), "<i8")
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())],
+        ["slice", "counts"])
+
+
 def token_levels(docs: DataFrame, words: int) -> bytes:
-    """How heavy each slot of the sketch is, as one byte per slot: the power
-    of two by which it exceeds the mean. At most SKETCH rows are collected."""
-    rows = docs.mapInArrow(_counts(words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(SKETCH)
-    counts[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    level = np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1.0), 1.0)))
-    return np.minimum(level, 63).astype(np.uint8).tobytes()
+    """How heavy each slot of the sketch is, as one byte per slot: how many
+    eighths of a (Poisson) deviation its count stands above the mean. So even
+    a token that is only a few times as frequent as that deviation moves
+    behind most others. SKETCH counters are collected."""
+    def summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _summed(key, batches)
+
+    rows = docs.mapInArrow(_counts(words), "slice int, counts binary").groupBy("slice") \
+        .applyInArrow(summed, "slice int, counts binary").collect()
+    counts = np.zeros((SLICES, SKETCH // SLICES))
+    for r in rows:
+        counts[r["slice"]] = np.frombuffer(r["counts"], "<i8")
+    counts = counts.ravel()
+    mean = max(counts.mean(), 1.0)
+    return np.clip(32 + 8 * (counts - mean) / np.sqrt(mean), 0, 255).astype(np.uint8).tobytes()
+
+
+def bitmaps(grams: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A bitmap per set, of a power of two of bits, at least BITS per token
+    and 64: bit ``hash mod width``, so a wider one folds into a narrower."""
+    sizes = np.diff(offsets)
+    width = 64 << np.ceil(np.log2(np.maximum(sizes * BITS / 64, 1))).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(width) - width
+    bits = np.zeros(int(width.sum()), bool)
+    place = (mix(grams) >> np.uint64(20)) & (width[owner] - 1).astype(np.uint64)
+    bits[first[owner] + place.astype(np.int64)] = True
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((first // 8).tolist(), ((first + width) // 8).tolist())]
+
+
+def _rows_of(maps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bitmaps as rows of 64-bit words, bits set in each as it is): narrow
+    ones are repeated up to the widest, which keeps every bit that folds."""
+    words = max(map(len, maps)) // 8
+    arrays = [np.frombuffer(m, "<u8") for m in maps]
+    return (np.stack([np.tile(a, words // len(a)) for a in arrays]),
+            np.array([int(np.bitwise_count(a).sum()) for a in arrays]))
 
 
 def _describe(words: int, percent: int, levels: bytes):
@@ -110,17 +154,15 @@ def _describe(words: int, percent: int, levels: bytes):
             view = memoryview(np.ascontiguousarray(grams)).cast("B")
             digest = [xxhash.xxh3_128_digest(view[8 * a:8 * b]) for a, b in
                       zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            bits = np.zeros((len(sizes), 64 * BITMAP), bool)
-            bits[owner, (mix(grams) >> np.uint64(20)) % np.uint64(64 * BITMAP)] = True
             heavy = level[(grams % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64)
-            token = (heavy << np.uint64(57)) | (mix(grams) >> np.uint64(7))
+            token = (heavy << np.uint64(56)) | (mix(grams) >> np.uint64(8))
             token = token[np.lexsort((token, owner))]
             prefix = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
             chosen = token[ranges(offsets[:-1], prefix)].view(np.int64)
             cuts = np.append(0, np.cumsum(prefix)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()),
-                 pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary()),
+                 pa.array(bitmaps(grams, offsets), pa.binary()),
                  pa.ListArray.from_arrays(pa.array(cuts), pa.array(chosen))],
                 ["doc_id", "n", "digest", "bitmap", "tokens"])
 
@@ -149,9 +191,8 @@ def _shared(batches):
 class Tree:
     """A signature tree over sets, level by level from the leaves up."""
 
-    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, label: np.ndarray):
-        hidden = sizes - np.bitwise_count(bitmaps).sum(axis=1)
-        self.levels = [(bitmaps, sizes, sizes, hidden, label, label)]
+    def __init__(self, rows: np.ndarray, hidden: np.ndarray, sizes: np.ndarray, label: np.ndarray):
+        self.levels = [(rows, sizes, sizes, hidden, label, label)]
         width = LEAF
         while len(self.levels[-1][0]) > 1:
             bits, low, high, hid, first, last = self.levels[-1]
@@ -167,17 +208,16 @@ def _may_link(a, b, i, j, percent) -> np.ndarray:
     """Can sets below nodes i of a and j of b reach the similarity?"""
     bits_a, low_a, high_a, hid_a, first_a, last_a = a
     bits_b, low_b, high_b, hid_b, first_b, last_b = b
-    out = np.zeros(len(i), bool)
-    for s in range(0, len(i), 1 << 16):
-        x, y = i[s:s + (1 << 16)], j[s:s + (1 << 16)]
+    ok = (100 * high_a[i] >= percent * low_b[j]) & (100 * high_b[j] >= percent * low_a[i])
+    ok &= ~((first_a[i] == last_a[i]) & (first_b[j] == last_b[j]) & (first_a[i] == first_b[j]))
+    at, step = np.flatnonzero(ok), max(1, (1 << 21) // bits_a.shape[1])
+    for s in range(0, len(at), step):
+        x, y = i[at[s:s + step]], j[at[s:s + step]]
         most = np.bitwise_count(bits_a[x] & bits_b[y]).sum(axis=1) + np.minimum(hid_a[x], hid_b[y])
         most = np.minimum(most, np.minimum(high_a[x], high_b[y]))
         # 100 * overlap >= percent * union, with the smallest union.
-        ok = (100 + percent) * most >= percent * (low_a[x] + low_b[y])
-        ok &= (100 * high_a[x] >= percent * low_b[y]) & (100 * high_b[y] >= percent * low_a[x])
-        ok &= ~((first_a[x] == last_a[x]) & (first_b[y] == last_b[y]) & (first_a[x] == first_b[y]))
-        out[s:s + (1 << 16)] = ok
-    return out
+        ok[at[s:s + step]] = (100 + percent) * most >= percent * (low_a[x] + low_b[y])
+    return ok
 
 
 def traverse(a: Tree, b: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,13 +258,13 @@ def _traversed(percent: int):
         rows = rows.combine_chunks()
         ids, sizes = rows.column("cid").to_numpy(), rows.column("n").to_numpy()
         side, label = rows.column("side").to_numpy(), rows.column("label").to_numpy()
-        bits = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(len(ids), BITMAP)
+        bits, count = _rows_of(rows.column("bitmap").to_pylist())
         trees, members = [], []
         for k in (0, 1):
             mine = np.flatnonzero(side == k)
             mine = mine[np.lexsort((ids[mine], label[mine], sizes[mine]))]
             if len(mine):
-                trees.append(Tree(bits[mine], sizes[mine], label[mine]))
+                trees.append(Tree(bits[mine], sizes[mine] - count[mine], sizes[mine], label[mine]))
                 members.append(ids[mine])
         i, j = traverse(trees[0], trees[-1], percent)
         x, y = members[0][i], members[-1][j]
@@ -234,11 +274,11 @@ def _traversed(percent: int):
 
 
 def _meetings():
-    """The block pairs that a row takes part in. Blocks of a token's main
+    """The block pairs that a row takes part in. Blocks of the hub's
     component meet the other blocks only; these meet each other as well, and
     a block itself, once each."""
     def of(blocks):
-        return F.pmod(F.xxhash64("cid", "token"), F.greatest(blocks, F.lit(1))).cast("int")
+        return F.pmod(F.xxhash64("cid", "hub"), F.greatest(blocks, F.lit(1))).cast("int")
 
     def upto(n):
         return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -255,6 +295,25 @@ def _meetings():
                 False, F.least(other, o), F.greatest(other, o), other > o))))
 
 
+def _plausible(percent: int):
+    """Of pairs with both bitmaps, those whose largest possible overlap is
+    enough."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            good = []
+            for r in rows:
+                (x, y), (p, q) = _rows_of([r["bitmap_a"], r["bitmap_b"]])
+                most = int(np.bitwise_count(x & y).sum()) + min(r["n_a"] - p, r["n_b"] - q)
+                most = min(most, r["n_a"], r["n_b"])
+                good.append((100 + percent) * most >= percent * (r["n_a"] + r["n_b"]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _verified(words: int, percent: int):
     """Of pairs with both texts, those that are similar."""
 
@@ -288,52 +347,74 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # Tokens that several classes have; one token of those with equal lists.
     owners = members.where("doc_id = cid and n > 0").select("cid")
     postings = sets.join(owners, sets.doc_id == owners.cid, "left_semi") \
-        .select(F.col("doc_id").alias("cid"), "n", F.explode("tokens").alias("token"))
+        .select(F.col("doc_id").alias("cid"), F.explode("tokens").alias("token"))
     shared = stored(postings.repartition(parts, "token").sortWithinPartitions("token")
-                    .mapInArrow(_shared, "cid long, n long, token long"), "postings")
-    lists = shared.groupBy("token").agg(
-        F.count("*").alias("many"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("list"),
-        F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n")).alias("hub"))
-    tokens = lists.groupBy("many", "list").agg(F.min(F.struct("token", "hub")).alias("t")) \
-        .select("t.token", "t.hub", "many")
-    shared = stored(shared.join(tokens, "token"), "shared")
-
-    # Texts of the classes in question, for verification.
-    active = shared.select(F.col("cid").alias("doc_id")).distinct()
-    texts = stored(docs.join(active, "doc_id", "left_semi"), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+                    .mapInArrow(_shared, "cid long, token long"), "postings")
+    lists = stored(shared.groupBy("token").agg(
+        F.count("*").alias("many"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("list")), "lists")
+    tokens = lists.groupBy("many", "list").agg(F.min("token").alias("token")).select("token", "many")
+    # The class that shares most tokens with most others is the best hub: in
+    # a group of edited copies that is the text they were made from.
+    degree = shared.join(lists.select("token", "many"), "token").groupBy("cid").agg(
+        F.sum("many").alias("degree"))
+    sizes = sets.select(F.col("doc_id").alias("cid"), "n")
+    found, shared = shared, stored(
+        shared.join(tokens, "token").join(degree, "cid").join(sizes, "cid"), "shared")
+    release(found, lists)
+    hub_of = shared.groupBy("token").agg(F.max(F.struct("degree", (-F.col("cid")).alias("c"))).alias("h")) \
+        .select("token", (-F.col("h.c")).alias("hub"))
+    # Tokens with one hub are one group: who shares a token shares its hub.
+    groups = stored(shared.join(hub_of, "token").select("hub", "cid", "n").distinct(), "groups")
+    release(shared)
+
+    def verified(pairs: DataFrame, checked: bool) -> DataFrame:
+        """Similar pairs: by the bitmaps what may be, by the texts what is."""
+        if not checked:
+            for side in ("a", "b"):
+                pairs = pairs.join(sets.select(
+                    F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"),
+                    F.col("bitmap").alias(f"bitmap_{side}")), side)
+            pairs = pairs.mapInArrow(_plausible(percent), "a long, b long")
+        pairs = stored(pairs, "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = stored(docs.join(ids, "doc_id", "left_semi"), "texts")
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return stored(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-                      .mapInArrow(_verified(words, percent), "a long, b long"), "edges")
-
-    # First round: every class against its tokens' hubs.
-    hubs = shared.where((F.col("hub.cid") != F.col("cid")) & (
-        100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
-    hubs = hubs.select(F.least("hub.cid", "cid").alias("a"), F.greatest("hub.cid", "cid").alias("b")).distinct()
-    edges = verified(hubs)
+        links = stored(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+                       .mapInArrow(_verified(words, percent), "a long, b long"), "edges")
+        release(pairs, texts)
+        return links
+
+    # First round: every class against its hubs.
+    edges = verified(groups.where("hub <> cid").select(
+        F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct(), checked=False)
     joined = components(edges)
 
-    # Second round: trees of tokens whose classes are not all connected yet.
-    rows = shared.join(joined, shared.cid == joined.node, "left").select(
-        "token", "many", "cid", "n", F.coalesce("component", "cid").alias("label"))
-    rows = stored(rows, "labelled")
-    mixed = rows.groupBy("token").agg(
+    # Second round: trees of groups whose classes are not all connected yet.
+    rows = stored(groups.join(joined, groups.cid == joined.node, "left").select(
+        "hub", "cid", "n", F.coalesce("component", "cid").alias("label")), "labelled")
+    release(groups)
+    mixed = rows.groupBy("hub").agg(
         F.min("label").alias("x"), F.max("label").alias("y"),
-        F.min_by("label", F.xxhash64("cid")).alias("main")).where("x <> y").select("token", "main")
-    rows = stored(rows.join(mixed, "token").withColumn("is_main", F.col("label") == F.col("main")), "mixed")
-    counts = rows.groupBy("token").agg(
+        F.max(F.when(F.col("cid") == F.col("hub"), F.col("label"))).alias("main")) \
+        .where("x <> y").select("hub", "main")
+    labelled, rows = rows, stored(rows.join(mixed, "hub").withColumn(
+        "is_main", F.col("label") == F.col("main")), "mixed")
+    release(labelled)
+    several = rows
+    counts = rows.groupBy("hub").agg(
         F.ceil(F.count_if("is_main") / BLOCK).cast("int").alias("mains"),
         F.ceil(F.count_if(~F.col("is_main")) / BLOCK).cast("int").alias("others"))
-    rows = rows.join(counts, "token").join(sets.select(F.col("doc_id").alias("cid"), "bitmap"), "cid")
-    pairs = rows.select("token", "cid", "n", "label", "bitmap", F.explode(_meetings()).alias("at")) \
-        .select("token", "cid", "n", "label", "bitmap", "at.*") \
-        .groupBy("token", "main", "low", "high").applyInArrow(_traversed(percent), "a long, b long").distinct()
-    edges = edges.unionByName(verified(pairs))
+    rows = rows.join(counts, "hub").join(sets.select(F.col("doc_id").alias("cid"), "bitmap"), "cid")
+    pairs = rows.select("hub", "cid", "n", "label", "bitmap", F.explode(_meetings()).alias("at")) \
+        .select("hub", "cid", "n", "label", "bitmap", "at.*") \
+        .groupBy("hub", "main", "low", "high").applyInArrow(_traversed(percent), "a long, b long").distinct()
+    edges = edges.unionByName(verified(pairs, checked=True))
     joined = components(edges)
-    return members.join(joined, members.cid == joined.node, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("component_id"))
+    result = stored(members.join(joined, members.cid == joined.node, "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("component_id")), "linked")
+    release(sets, members, several)
+    return result
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

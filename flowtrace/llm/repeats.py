@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtrace.llm.arrays import covered, ranges, sliding_min, text_buffers
-from flowtrace.llm.tables import one_row_per_id, stored
+from flowtrace.llm.tables import one_row_per_id, release, stored
 
 #: Starts in a segment at most (a low-entropy text could have one anchor all
 #: through), units compared in one piece.
@@ -217,8 +217,10 @@ def repeated_spans(docs: DataFrame, unit: Unit, length: int, compare: Callable,
         spans = F.when(is_first, marked).otherwise(whole)
     else:
         spans = F.when(F.col("copies") > 1, whole).otherwise(marked)
-    return members.select("doc_id", spans.alias("spans")).where("spans is not null") \
-        .groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    result = stored(members.select("doc_id", spans.alias("spans")).where("spans is not null")
+                    .groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    release(shared, kinds)
+    return result
 
 
 def cut_out(docs: DataFrame, spans: DataFrame, cutter: Callable, schema: str) -> DataFrame:

@@ -35,7 +35,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Empties the folders of stored frames that nothing reads any more, so
+    that a long chain of stages does not pile up its intermediate tables."""
+    for df in frames:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(df.stored_path)
 
 
 def one_row_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
