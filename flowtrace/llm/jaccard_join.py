@@ -3,7 +3,7 @@
 Texts become sets of word shingles, equal sets one class. Two sets with
 Jaccard similarity t share one of the first ``n - ceil(t n) + 1`` tokens of
 each (any order that all sets use; here heavy tokens come last, by a counting
-sketch of fixed size). Each shared token has a hub, the class that shares most
+sketch of bounded size). Each shared token has a hub, the class that shares most
 tokens with most others; classes that share tokens of one hub meet in the
 hub's signature tree: leaves are sets with a token bitmap, inner nodes hold
 the OR of their bitmaps, the range of set sizes, and the largest number of tokens
@@ -40,9 +40,12 @@ from flowtrace.llm.components import components
 from flowtrace.llm.repeats import prepared
 from flowtrace.llm.tables import release, stored, table
 
-#: Counters of the sketch and slices they travel in, bits of a bitmap per
-#: token, sets in a leaf, children of an inner node, sets in a block.
-SKETCH, SLICES, BITS, LEAF, FANOUT, BLOCK = 1 << 20, 64, 4, 16, 8, 1024
+#: Counters of the sketch at least and at most, bytes of text per counter,
+#: slices they travel in.
+SKETCH_MIN, SKETCH_MAX, SKETCH_BYTES, SLICES = 1 << 20, 1 << 23, 192, 64
+#: Bits of a bitmap per token, sets in a leaf, children of an inner node, sets
+#: in a block.
+BITS, LEAF, FANOUT, BLOCK = 4, 16, 8, 1024
 
 
 def shingle_sets(column, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,15 +75,21 @@ def shingle_sets(column, words: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(owners, np.arange(len(per) + 1))
 
 
-def _counts(words: int):
+def _counts(words: int, slots: int):
     """A task's share of the counting sketch, in slices."""
 
     def run(batches):
-        total = np.zeros(SKETCH, np.int64)
+        total, held, size = np.zeros(slots, np.uint32), [], 0
         for batch in batches:
             grams, _ = shingle_sets(batch.column("text"), words)
-            total += np.bincount((grams % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        packed = [pa.compress(part.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+            held.append((grams % np.uint64(slots)).astype(np.int64))
+            size += len(grams)
+            if size > slots // 4:
+                total += np.bincount(np.concatenate(held), minlength=slots).astype(np.uint32)
+                held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=slots).astype(np.uint32)
+        packed = [pa.compress(part.astype("<u4").tobytes(), codec="zstd", asbytes=True)
                   for part in total.reshape(SLICES, -1)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(packed, pa.binary())], ["slice", "counts"])
@@ -88,33 +97,35 @@ def _counts(words: int):
     return run
 
 
-def _summed(key, batches):
-    """A slice of the sketch, summed over tasks."""
-    total = np.zeros(SKETCH // SLICES, np.int64)
-    for batch in batches:
-        for packed in batch.column("counts").to_pylist():
-            total += np.frombuffer(pa.decompress(packed, 8 * len(total), codec="zstd", asbytes=True), "<i8")
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())],
-        ["slice", "counts"])
+def _levels(counts: np.ndarray, mean: float) -> np.ndarray:
+    return np.clip(32 + 8 * (counts - mean) / np.sqrt(mean), 0, 255).astype(np.uint8)
 
 
-def token_levels(docs: DataFrame, words: int) -> bytes:
+def token_levels(docs: DataFrame, words: int) -> np.ndarray:
     """How heavy each slot of the sketch is, as one byte per slot: how many
     eighths of a (Poisson) deviation its count stands above the mean. So even
     a token that is only a few times as frequent as that deviation moves
-    behind most others. SKETCH counters are collected."""
+    behind most others. The sketch grows with the texts up to SKETCH_MAX
+    counters, which are collected; beyond, the order only gets coarser."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slots = SKETCH_MIN
+    while slots < min(size / SKETCH_BYTES, SKETCH_MAX):
+        slots *= 2
+
     def summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _summed(key, batches)
+        total = np.zeros(slots // SLICES, np.int64)
+        for batch in batches:
+            for packed in batch.column("counts").to_pylist():
+                total += np.frombuffer(pa.decompress(packed, 4 * len(total), codec="zstd", asbytes=True), "<u4")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], pa.int32()),
+             pa.array([np.minimum(total, 2 ** 32 - 1).astype("<u4").tobytes()], pa.binary())], ["slice", "counts"])
 
-    rows = docs.mapInArrow(_counts(words), "slice int, counts binary").groupBy("slice") \
+    rows = docs.mapInArrow(_counts(words, slots), "slice int, counts binary").groupBy("slice") \
         .applyInArrow(summed, "slice int, counts binary").collect()
-    counts = np.zeros((SLICES, SKETCH // SLICES))
-    for r in rows:
-        counts[r["slice"]] = np.frombuffer(r["counts"], "<i8")
-    counts = counts.ravel()
-    mean = max(counts.mean(), 1.0)
-    return np.clip(32 + 8 * (counts - mean) / np.sqrt(mean), 0, 255).astype(np.uint8).tobytes()
+    parts = {r["slice"]: np.frombuffer(r["counts"], "<u4") for r in rows}
+    counts = np.concatenate([parts.get(k, np.zeros(slots // SLICES, np.uint32)) for k in range(SLICES)])
+    return _levels(counts, max(float(counts.mean()), 1.0))
 
 
 def bitmaps(grams: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -140,13 +151,12 @@ def _rows_of(maps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             np.array([int(np.bitwise_count(a).sum()) for a in arrays]))
 
 
-def _describe(words: int, percent: int, levels: bytes):
+def _describe(words: int, percent: int, level: np.ndarray):
     """Size, digest, bitmap and prefix tokens of every text's set."""
 
     def run(batches):
         import xxhash
 
-        level = np.frombuffer(levels, np.uint8)
         for batch in batches:
             grams, offsets = shingle_sets(batch.column("text"), words)
             sizes = np.diff(offsets)
@@ -154,7 +164,7 @@ def _describe(words: int, percent: int, levels: bytes):
             view = memoryview(np.ascontiguousarray(grams)).cast("B")
             digest = [xxhash.xxh3_128_digest(view[8 * a:8 * b]) for a, b in
                       zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            heavy = level[(grams % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64)
+            heavy = level[(grams % np.uint64(len(level))).astype(np.int64)].astype(np.uint64)
             token = (heavy << np.uint64(56)) | (mix(grams) >> np.uint64(8))
             token = token[np.lexsort((token, owner))]
             prefix = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
