@@ -9,7 +9,11 @@ Equal windows have equal anchors, so
   can't hold a repeated window,
 * segments that are equal as a whole are counted, not compared,
 * only different segments under one anchor are compared, window by window
-  (``compare``, the operator's own method).
+  (``compare``, the operator's own method),
+* an anchor with more than ``BATCH_UNITS`` units in different segments (a
+  passage in very many documents, each with other text around it) never
+  meets as a whole: its segments are cut into single windows, which are
+  counted by their 128-bit digest as equal segments are.
 
 Segments move as keys, never as text; text is fetched for the few that are
 compared, one copy of each. A passage that a third of all documents hold
@@ -30,7 +34,7 @@ from flowtrace.llm.arrays import covered, ranges, sliding_min, text_buffers
 from flowtrace.llm.tables import one_row_per_id, release, stored
 
 #: Starts in a segment at most (a low-entropy text could have one anchor all
-#: through), units compared in one piece.
+#: through), units compared in one piece and of one anchor at most.
 SEGMENT_STARTS, BATCH_UNITS = 1024, 4_000_000
 
 
@@ -111,17 +115,69 @@ def _fetch(unit: Unit, length: int):
                 for w in wanted:
                     a = before[row] + w["at"]
                     b = a + w["run"] + length - 2
-                    out.append((w["anchor"], w["digest"], w["copies"], doc, w["at"], w["run"],
+                    out.append((w["anchor"], w["digest"], w["copies"], doc, w["at"], w["run"], w["large"],
                                 raw[starts[a]:ends[b]]))
-            cols = list(zip(*out)) if out else [[]] * 7
+            cols = list(zip(*out)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int64(),
-                                                       pa.int32(), pa.int32(), pa.binary()])],
-                ["anchor", "digest", "copies", "doc_id", "at", "run", "units"])
+                                                       pa.int32(), pa.int32(), pa.bool_(), pa.binary()])],
+                ["anchor", "digest", "copies", "doc_id", "at", "run", "large", "units"])
 
     return run
 
 
+def _windows(unit: Unit, length: int):
+    """The windows of fetched segments: one row per start."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("units"))
+            hashes, before, _, _ = unit.hashes(data, offsets)
+            view = memoryview(np.ascontiguousarray(hashes)).cast("B")
+            width = hashes.itemsize
+            runs = batch.column("run").to_numpy()
+            for row, n in enumerate(runs.tolist()):
+                a = int(before[row])
+                digests = b"".join([xxhash.xxh3_128_digest(view[s * width:(s + length) * width])
+                                    for s in range(a, a + n)])
+                high, low = np.frombuffer(digests, np.int64).reshape(n, 2).T
+                same = pa.array(np.full(n, row))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(same) for c in ("anchor", "digest", "doc_id", "at")),
+                     pa.array(np.arange(n, dtype=np.int32)),
+                     pa.array(np.ascontiguousarray(high)), pa.array(np.ascontiguousarray(low))],
+                    ["anchor", "digest", "doc_id", "at", "offset", "high", "low"])
+
+    return run
+
+
+def _counted(fetched: DataFrame, unit: Unit, length: int, keep_first: bool
+             ) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``_compare_batches`` returns, for segments of any number: windows
+    are counted by digest, no group is held. Also the tables it reads."""
+    windows = stored(fetched.mapInArrow(
+        _windows(unit, length), "anchor long, digest long, doc_id long, at int, offset int, "
+                                "high long, low long"), "windows")
+    start = F.col("at") + F.col("offset")
+    # Only who keeps the first needs to know it.
+    first = [F.min(F.struct("doc_id", start.alias("start"))).alias("first")] if keep_first else []
+    # Stored, so that a window with very many starts is a skewed join only.
+    again = stored(windows.groupBy("high", "low").agg(F.count("*").alias("n"), *first)
+                   .where("n > 1").drop("n"), "again")
+    marked = windows.join(again, ["high", "low"])
+    if keep_first:
+        marked = marked.where((F.col("doc_id") != F.col("first.doc_id")) | (start != F.col("first.start")))
+    # At most SEGMENT_STARTS starts in a segment; consecutive ones become runs.
+    marked = marked.groupBy("anchor", "digest").agg(F.sort_array(F.collect_list("offset")).alias("here"))
+    after = F.transform("here", lambda x: x + 1)
+    marked = marked.select(
+        "anchor", "digest", F.array_except("here", after).alias("froms"),
+        F.array_except(after, "here").alias("tos"))
+    return marked, [windows, again]
+
+
 def _compare_batches(compare: Callable, length: int):
     """Whole anchor groups (sorted by anchor) go to ``compare`` together,
     small groups many at a time. It returns one boolean per start."""
@@ -191,20 +247,30 @@ def repeated_spans(docs: DataFrame, unit: Unit, length: int, compare: Callable,
         F.count("*").alias("copies"), F.max("own").alias("own"),
         F.min(F.struct("doc_id", "at", "run")).alias("first"))
     kinds = stored(kinds, "kinds")
-    contested = kinds.groupBy("anchor").agg(F.count("*").alias("k"), F.max("own").alias("own")) \
-        .where("k > 1 or own").select("anchor")
-    wanted = kinds.join(contested, "anchor").select(
+    contested = kinds.groupBy("anchor").agg(
+        F.count("*").alias("k"), F.max("own").alias("own"),
+        F.sum(F.col("first.run") + (length - 1)).alias("units")) \
+        .where("k > 1 or own").select("anchor", (F.col("units") > BATCH_UNITS).alias("large"))
+    listed = stored(kinds.join(contested, "anchor").select(
         F.col("first.doc_id").alias("doc_id"),
         F.struct("anchor", "digest", "copies", F.col("first.at").alias("at"),
-                 F.col("first.run").alias("run")).alias("w")) \
-        .groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compared = docs.join(wanted, "doc_id").mapInArrow(
+                 F.col("first.run").alias("run"), "large").alias("w")), "listed")
+    wanted = listed.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
+    fetched = docs.join(wanted, "doc_id").mapInArrow(
         _fetch(unit, length), "anchor long, digest long, copies long, doc_id long, at int, run int, "
-                              "units binary") \
+                              "large boolean, units binary")
+    used, large = [shared, kinds, listed], listed.where("w.large").limit(1).count() > 0
+    if large:  # the texts move once, for both ways
+        fetched = stored(fetched, "fetched")
+        counted, tables = _counted(fetched.where("large"), unit, length, keep_first)
+        used += [fetched, *tables]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    compared = fetched.where("not large").drop("large") \
         .repartition(n, "anchor").sortWithinPartitions("anchor") \
         .mapInArrow(_compare_batches(compare, length),
                     "anchor long, digest long, froms array<int>, tos array<int>")
+    if large:
+        compared = compared.unionByName(counted)
     found = kinds.join(compared, ["anchor", "digest"], "left").select(
         "anchor", "digest", "copies", F.col("first.doc_id").alias("first_doc"),
         F.col("first.at").alias("first_at"), "froms", "tos").where("copies > 1 or froms is not null")
@@ -219,7 +285,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, length: int, compare: Callable,
         spans = F.when(F.col("copies") > 1, whole).otherwise(marked)
     result = stored(members.select("doc_id", spans.alias("spans")).where("spans is not null")
                     .groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    release(shared, kinds)
+    release(*used)
     return result
 
 

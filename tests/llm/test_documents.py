@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowtrace.llm import (byte_bpe, decontamination, jaccard_join, phrase_dedup, pii, suffix_dedup,
-                           token_store)
+from flowtrace.llm import (byte_bpe, decontamination, jaccard_join, phrase_dedup, pii, repeats,
+                           suffix_dedup, token_store)
 from flowtrace.llm.tables import bounded_batches
 
 from . import brute
@@ -73,6 +73,33 @@ def test_phrase_dedup_with_small_automata(docs, corpus, monkeypatch):
     assert {d: g[1] for d, g in got.items()} == {d: w[1] for d, w in brute.repeated_words(corpus, 20).items()}
 
 
+def bounded(compare, length, most):
+    """``compare``, which must not see an anchor with more units."""
+    def run(rows, sizes):
+        _, group = np.unique(rows.column("anchor").to_numpy(), return_inverse=True)
+        assert np.bincount(group, sizes + length - 1).max() <= most
+        return compare(rows, sizes)
+
+    return run
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_no_anchor_is_compared_whole(docs, corpus, monkeypatch, most):
+    """One passage with other text around it in every document."""
+    monkeypatch.setattr(repeats, "BATCH_UNITS", most)
+    for module, length in ((suffix_dedup, 50), (phrase_dedup, 20)):
+        compare = module._compare
+        monkeypatch.setattr(module, "_compare", lambda *a, c=compare: bounded(c(*a), a[0], most))
+    want = brute.repeated_bytes(corpus, 50)
+    assert {d: (*g[:3], bytes(g[3])) for d, g in rows(suffix_dedup.deduplicate(docs, 50)).items()} == want
+    want = brute.repeated_words(corpus, 20)
+    got = rows(phrase_dedup.deduplicate(docs))
+    assert {d: (*g[:2], bytes(g[2]).decode()) for d, g in got.items()} == want
+    whole = rows(suffix_dedup.deduplicate(docs, 50, keep_first=True))
+    monkeypatch.undo()
+    assert whole == rows(suffix_dedup.deduplicate(docs, 50, keep_first=True))
+
+
 @pytest.mark.parametrize("block", [1024, 2])
 def test_jaccard_join(docs, corpus, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
