@@ -13,12 +13,14 @@ precision; the best of every table and bucket are merged.
 Equal vectors are indexed and searched once. A distinct vector carries its
 smallest ``k + 1`` ids, more can't be among anyone's best. Buckets are cut
 into salted blocks of about ``BLOCK`` members and a probe visits all blocks
-of its bucket, so no bucket is gathered whole and none is cut short.
+of its bucket, so no bucket is gathered whole and none is cut short. A query
+whose buckets hold fewer than k others is answered exactly: it meets every
+vector, in blocks of about ``BLOCK`` members and as many queries.
 
 Defined results: vectors that are null, empty, zero, of another length than
 most queries need, or hold null or non-finite components take no part; rows
 without an id take no part, of rows that repeat one the smallest vector
-stays; with fewer than k candidates a query may get fewer rows; other columns
+stays; with fewer than k other vectors a query gets all of them; other columns
 are ignored; an empty table gives an empty table.
 """
 
@@ -126,7 +128,7 @@ def _prober(hashing: Hashing):
     return run
 
 
-def _ranked(k: int):
+def _ranked(k: int, ties: bool = True):
     def run(index, queries):
         """A block's exact products with the queries that visit it."""
         empty = pa.table({"query": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()),
@@ -143,6 +145,10 @@ def _ranked(k: int):
             # Equal scores at the border all stay: ties are for the ids.
             border = np.take_along_axis(score, best, axis=1).min(axis=1)
             row, col = np.nonzero(score >= border[:, None])
+            if not ties:  # of equal scores, those with the smallest rep
+                order = np.lexsort((reps[col], -score[row, col], row))
+                place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+                row, col = row[order[place < k]], col[order[place < k]]
             out.append(pa.table({"query": part.column("query").to_numpy()[row], "rep": reps[col],
                                  "score": score[row, col]}))
         return pa.concat_tables(out)
@@ -150,6 +156,25 @@ def _ranked(k: int):
     return run
 
 
+def _exact(queries: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """(query, rep, score): the k best of all members for every query, by
+    score and representative. Members with a higher one of an equal score
+    can't be among the k smallest ids."""
+    parts = [max(1, -(-df.count() // BLOCK)) for df in (reps, queries)]
+
+    def blocks(df: DataFrame, mine: int) -> DataFrame:
+        """Rows in their own block, once for every block of the others."""
+        names, other = [("block", "part"), ("part", "block")][mine], parts[1 - mine]
+        return df.withColumn(names[0], F.pmod(F.xxhash64(df.columns[0]), F.lit(parts[mine])).cast("int")) \
+            .withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+
+    found = blocks(reps.select("rep", "vector"), 0).groupBy("block", "part").cogroup(
+        blocks(queries.select("query", "vector"), 1).groupBy("block", "part")).applyInArrow(
+        _ranked(k, ties=False), "query long, rep long, score double")
+    return found.withColumn("place", F.row_number().over(
+        Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("place") <= k).drop("place")
+
+
 def products(queries: np.ndarray, members: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed in component order, so that
     a pair's value does not depend on what else stands in the block."""
@@ -202,8 +227,15 @@ def search(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
         _ranked(k + 1), "query long, rep long, score double")
     # A pair has one score, whichever table found it.
     found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
-    found = found.withColumn("place", F.rank().over(
-        Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("place") <= k + 1).drop("place")
+    found = stored(found.withColumn("place", F.rank().over(
+        Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("place") <= k + 1).drop("place"), "found")
+    # Queries with too few candidates, itself among them or not, see all.
+    sizes = ids.groupBy("key", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n")
+    enough = found.join(sizes, "rep").groupBy("query").agg(F.sum("n").alias("n")) \
+        .where(F.col("n") >= min(k + 1, rows.count())).select("query")
+    short = stored(distinct.withColumnRenamed("rep", "query").join(enough, "query", "left_anti"), "short")
+    if short.limit(1).count():
+        found = found.join(enough, "query", "left_semi").unionByName(_exact(short, reps, k + 1))
     # Back to ids: of the members, then of the queries, without itself.
     groups = ids.join(reps.withColumnRenamed("vector", "same"), "key").where("vector = same").select("rep", "vec_id")
     found = found.join(groups, "rep").withColumn("place", F.row_number().over(

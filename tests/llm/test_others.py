@@ -92,6 +92,22 @@ def test_neighbours_with_ties_copies_and_bad_vectors(spark, monkeypatch):
     assert neighbours.search(df.where("vec_id >= 1000"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [15, 400])
+def test_neighbours_no_query_misses_what_there_is(spark, monkeypatch, n):
+    """One vector of huge norm sends all others to other cells than the
+    queries'; with few vectors every other one is a neighbour."""
+    bounded_batches(spark)
+    monkeypatch.setattr(neighbours, "BLOCK", 7 if n < 20 else 150)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(64).tolist()) for i in range(n)] + [(n, [1e4] * 64)]
+    rows += [(1000 + i, rows[3][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found(neighbours.search(df, F.col("vec_id") % 20 == 0)), exact(rows, 20)
+    assert set(got) == set(want) and all(len(got[q]) == len(want[q]) for q in want)
+    # Queries whose buckets held too little are exact: here, most.
+    assert sum(got[q] == want[q] for q in want) >= len(want) * 0.5
+
+
 def test_neighbours_recall(spark):
     df = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     rows = [tuple(r) for r in df.select("vec_id", "embedding").collect()]
