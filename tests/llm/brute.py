@@ -116,3 +116,115 @@ def base_spans(text):
                     or kind == "phone" and 9 <= len(digits) <= 15:
                 out.append(f"{kind}:{m.start()}:{m.end()}")
     return out
+
+
+def maximal_runs(words, repeats=4, shortest=6):
+    """[(start, length, period)] by start and period, from all periods."""
+    n, best = len(words), {}
+    for q in range(1, n // repeats + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(shortest, repeats * q):
+                best.setdefault((i, j + q - i), q)  # smaller periods come first
+            i = j
+    return sorted((s, k, q) for (s, k), q in best.items())
+
+
+def with_repeated_tail(doc_id, words):
+    import zlib
+
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def packed_ids(text):
+    """ids with the end id, by the library alone."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def binary_pieces(n, longest=2048):
+    """[(start, length)]"""
+    out, start = [], 0
+    while n - start:
+        size = longest
+        while size > n - start:
+            size //= 2
+        out.append((start, size))
+        start += size
+    return out
+
+
+def aligned(docs):
+    """{row: (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, digest)}"""
+    import json
+
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    one = Tokenizer.from_file(path)
+    one.encode_special_tokens = True
+    two = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    back = {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(hidden)}}
+    vocab = {i: bytes(back[c] for c in w) for w, i in json.load(open(path))["model"]["vocab"].items()}
+
+    def piece(i):
+        p = two.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if two.is_byte(i) else p.replace("▁", " ").encode()
+
+    out, links = {}, {}
+    for row, (doc_id, text) in enumerate(docs):
+        out[row], links[row] = (doc_id, 0, 0, 0, 0, 0, 0, ""), {}
+        if not text:
+            continue
+        a, b = one.encode(" " + text, add_special_tokens=False).ids, two.encode(text)
+        spelt = [[vocab[i] for i in a], [piece(i) for i in b]]
+        if any(b"".join(s) != (" " + text).encode() for s in spelt):
+            continue
+        ends = []
+        for s in spelt:
+            at, mine = 0, []
+            for t in s:
+                at += len(t)
+                mine.append(at)
+            ends.append(mine)
+        groups, i, j = [], 0, 0
+        for cut in sorted(set(ends[0]) & set(ends[1])):
+            x, y = ends[0].index(cut, i) + 1, ends[1].index(cut, j) + 1
+            groups.append((a[i:x], b[j:y]))
+            i, j = x, y
+        for x, y in groups:
+            for p in x:
+                for q in y:
+                    links[row][p, q] = links[row].get((p, q), 0) + 1
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out[row] = (doc_id, len(a), len(b), len(groups), sum(links[row].values()), 0, 0, sha(text))
+    count, highest = {}, {}
+    for mine in links.values():
+        for pair in mine:
+            count[pair] = count.get(pair, 0) + 1
+    for (p, _), n in count.items():
+        highest[p] = max(n, highest.get(p, 0))
+    for row, mine in links.items():
+        best = sum(n for pair, n in mine.items() if count[pair] == highest[pair[0]])
+        total = sum(n * count[pair] for pair, n in mine.items())
+        out[row] = (*out[row][:5], best, total, out[row][7])
+    return out
