@@ -29,16 +29,21 @@ from flowtrace.llm.tables import one_row_per_id, stored, table
 #: Words in a window and in a k-gram; fingerprints broadcast at most.
 WINDOW, K, BROADCAST_ROWS = 10, 5, 200_000
 
+CAPITAL_SIGMA, SMALL_SIGMA = "\u03a3", "\u03c3"
+
 #: Signs between words, A-Z included as texts are lower-cased first.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column, exact: bool = True) -> Column:
     """Words of a text. ``exact`` lower-cases A-Z only; otherwise all letters
-    are lower-cased, which is faster, keeps the words' places, and can only
-    make more words equal (good enough to propose)."""
+    are lower-cased, which is faster and keeps the words' places. The capital
+    sigma, whose lower case alone depends on its neighbours, is replaced
+    first, so letters are mapped one by one and equal words stay equal (more
+    may become equal: good enough to propose)."""
     text = F.coalesce(text, F.lit(""))
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase) if exact else F.lower(text)
+    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase) if exact else \
+        F.lower(F.replace(text, F.lit(CAPITAL_SIGMA), F.lit(SMALL_SIGMA)))
     return F.array_remove(F.split(lower, _BETWEEN, -1), "")
 
 
