@@ -30,21 +30,19 @@ from flowtrace.llm.tables import shared_folder, stored, table
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: The signs of base32 in order, and those that conv() writes for them.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 PAGE_URN = "<urn:page:"
 #: Revisits that are broadcast at most; beyond, pages and revisits shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def base32_sha1(payload: Column) -> Column:
-    """SHA-1 as upper-case base32: 160 bits are 32 signs of five bits."""
+    """SHA-1 as upper-case base32: four times 40 bits, each eight signs."""
     hexed = F.sha1(payload)
-    signs = []
-    for k in range(8):
-        bits = F.conv(F.substring(hexed, 5 * k + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            signs.append(F.substr(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(31) + 1, F.lit(1)))
-    return F.concat(*signs)
+    digits = F.concat(*(F.lpad(F.conv(F.substring(hexed, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)))
+    return F.translate(digits, DIGITS32, BASE32)
 
 
 def one_row_per_page(pages: DataFrame) -> DataFrame:
