@@ -6,7 +6,7 @@ all documents) and a truncated singular value decomposition of the labelled
 sample turn it into a short unit vector. The labelled vectors are broadcast:
 at most ``SAMPLE`` rows, the documented bound of the fit. Every document gets
 exact cosine products with all of them, in blocks, and its nearest neighbours
-vote with their similarity.
+vote with their similarity; of neighbours tied for the last place all vote.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1.
 Ids, languages, sources and labels of a document never enter its score.
@@ -32,6 +32,8 @@ from flowtrace.llm.tables import table
 SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS = 4096, 2048, 64, 25
 #: A similarity counts by this power; the prior weighs as one of this size.
 SHARPNESS, PRIOR = 8, 1e-3
+#: Bytes of text whose terms are counted at a time.
+PIECE = 1 << 19
 
 
 def counts(column) -> np.ndarray:
@@ -39,24 +41,43 @@ def counts(column) -> np.ndarray:
     data, offsets = text_buffers(column)
     n = len(offsets) - 1
     out = np.zeros((n, TERMS + 1), np.float32)
-    if len(data) >= 3:
-        a, b, c = data[:-2].astype(np.int64), data[1:-1].astype(np.int64), data[2:].astype(np.int64)
-        term = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D >> 7) % TERMS
-        doc = np.repeat(np.arange(n), np.diff(offsets))
-        inside = doc[:-2] == doc[2:]
-        flat = doc[:-2][inside] * (TERMS + 1) + term[inside]
-        out += np.bincount(flat, minlength=n * (TERMS + 1)).reshape(n, TERMS + 1).astype(np.float32)
-    starts, ends, before = word_spans(data, offsets)
-    if len(starts) > 1:
-        hashes = word_hashes(data, starts, ends)
-        again = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
-        doc = np.searchsorted(before, again, "right") - 1
-        doc = doc[again > before[doc]]
+    a = 0
+    while a < n:  # texts in pieces of about PIECE bytes
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE, "right")) - 1)
+        text, cuts = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+        for low in range(0, len(text) - 2, PIECE):
+            _count_trigrams(out[a:b], text[low:low + PIECE + 2], cuts - low)
         # As heavy as the trigrams of a word.
-        out[:, TERMS] = 5 * np.bincount(doc, minlength=n)
+        out[a:b, TERMS] = 5 * _repeated_words(text, cuts)
+        a = b
     return out
 
 
+def _count_trigrams(out: np.ndarray, text: np.ndarray, cuts: np.ndarray) -> None:
+    """Adds the trigrams of a stretch of bytes; ``cuts`` are where texts start
+    and end, counted from the stretch's first byte."""
+    a, b, c = text[:-2].astype(np.int64), text[1:-1].astype(np.int64), text[2:].astype(np.int64)
+    term = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D >> 7) % TERMS
+    inside = np.diff(np.clip(cuts, 0, len(text)))
+    doc = np.repeat(np.arange(len(out), dtype=np.int32), inside)
+    same = doc[:-2] == doc[2:]
+    first = int(doc[0])
+    flat = (doc[:-2][same] - first) * np.int64(TERMS + 1) + term[same]
+    rows = int(doc[-1]) - first + 1
+    out[first:first + rows] += np.bincount(flat, minlength=rows * (TERMS + 1)).reshape(rows, TERMS + 1)
+
+
+def _repeated_words(text: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Words of every text that repeat the one before."""
+    starts, ends, before = word_spans(text, cuts)
+    if len(starts) < 2:
+        return np.zeros(len(cuts) - 1, np.int64)
+    hashes = word_hashes(text, starts, ends)
+    again = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+    doc = np.searchsorted(before, again, "right") - 1
+    return np.bincount(doc[again > before[doc]], minlength=len(cuts) - 1)
+
+
 def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     total = np.maximum(c.sum(axis=1, keepdims=True), 1)
     x = np.sqrt(c / total) * idf
@@ -106,29 +127,41 @@ def right_vectors(x: np.ndarray, k: int) -> np.ndarray:
 class Model:
     """Term weights, projection, and the labelled vectors."""
 
-    def __init__(self, idf, c, labels):
-        self.idf, self.labels = idf, labels.astype(np.float32)
-        self.prior = float(labels.mean()) if len(labels) else 0.5
+    def __init__(self, idf, labels, prior, projection, vectors):
+        self.idf, self.labels, self.prior = idf, labels, prior
+        self.projection, self.vectors = projection, vectors
+
+    @staticmethod
+    def learn(idf, c, labels) -> Model:
+        labels = labels.astype(np.float32)
         x = weighted(c, idf)
-        self.projection = right_vectors(x, DIMENSIONS)
-        self.vectors = self._unit(x)
+        projection = right_vectors(x, DIMENSIONS)
+        return Model(idf, labels, float(labels.mean()) if len(labels) else 0.5, projection, unit(x, projection))
 
-    def _unit(self, x):
-        y = x @ self.projection
-        return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+    def arrays(self) -> tuple:
+        """The constructor's arguments: what workers get, as plain arrays."""
+        return self.idf, self.labels, self.prior, self.projection, self.vectors
 
     def score(self, c: np.ndarray) -> np.ndarray:
         if not len(self.labels) or not len(c):
             return np.full(len(c), self.prior)
-        cosine = self._unit(weighted(c, self.idf)) @ self.vectors.T
+        # Rounded, as equal vectors may differ in the last bits of a product.
+        cosine = np.round(unit(weighted(c, self.idf), self.projection) @ self.vectors.T, 5)
         k = min(NEIGHBOURS, cosine.shape[1])
-        best = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        near = np.maximum(np.take_along_axis(cosine, best, axis=1), 0).astype(np.float64) ** SHARPNESS
-        votes = (near * self.labels[best]).sum(axis=1) + PRIOR * self.prior
-        score = votes / (near.sum(axis=1) + PRIOR)
+        least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
+        # As near as the last neighbour: all of those vote.
+        row, best = np.nonzero(cosine >= least[:, None])
+        near = np.maximum(cosine[row, best], 0).astype(np.float64) ** SHARPNESS
+        votes = np.bincount(row, near * self.labels[best], len(c)) + PRIOR * self.prior
+        score = votes / (np.bincount(row, near, len(c)) + PRIOR)
         return np.where(c.sum(axis=1) > 0, score, self.prior)
 
 
+def unit(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    y = x @ projection
+    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of the labelled rows with the smallest id hashes."""
     chosen = labels.select("doc_id", "quality").where(
@@ -137,17 +170,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text") \
         .mapInArrow(_featurise, "quality int, counts binary").limit(sample).toArrow()
-    c = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.float32).reshape(-1, TERMS + 1)
-    return Model(inverse_frequencies(docs), c, rows.column("quality").to_numpy().astype(np.float32))
+    # In an order of their own, whatever order they arrived in.
+    rows = sorted(zip(rows.column("counts").to_pylist(), rows.column("quality").to_pylist()))
+    c = np.frombuffer(b"".join(r for r, _ in rows), np.float32).reshape(-1, TERMS + 1)
+    return Model.learn(inverse_frequencies(docs), c, np.array([q for _, q in rows], np.float32))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted, text) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.arrays())
 
     def run(batches):
+        model = Model(*shared.value)
         for batch in batches:
-            values = shared.value.score(counts(batch.column("text")))
+            values = model.score(counts(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.clip(values, 0, 1))], [*batch.schema.names, "score"])
 
@@ -159,11 +195,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs``, all columns, that the model doesn't reject."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.arrays())
 
     def run(batches):
+        model = Model(*shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(counts(batch.column("text"))) >= 0.5))
+            yield batch.filter(pa.array(model.score(counts(batch.column("text"))) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
