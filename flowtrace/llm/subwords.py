@@ -10,17 +10,17 @@ encoded whole.
 from __future__ import annotations
 
 import json
-from array import array
 
 import numpy as np
 import pyarrow as pa
 
-from flowtrace.llm.arrays import binary_array, ranges
+from flowtrace.llm.arrays import binary_array
 from flowtrace.llm.byte_bpe import Classes, pre_tokens
+from flowtrace.llm.lexicon import Lexicon
 from flowtrace.llm.token_store import byte_letters
 
-#: Bytes worked through at once (beyond one word), words a task remembers.
-PART_BYTES, KNOWN_WORDS = 1 << 20, 400_000
+#: Bytes worked through at once (beyond one word).
+PART_BYTES = 1 << 20
 
 
 def parts(data: np.ndarray, offsets: np.ndarray, limit: int | None = None):
@@ -45,36 +45,9 @@ def parts(data: np.ndarray, offsets: np.ndarray, limit: int | None = None):
         a = b
 
 
-class Lexicon:
-    """Ids of words, each encoded on first sight."""
-
-    def __init__(self, encode, most: int = KNOWN_WORDS):
-        self.encode, self.most = encode, most
-        self._clear()
-
-    def _clear(self):
-        self.place: dict[bytes, int] = {}
-        self.flat, self.first, self.size = array("I"), array("q"), array("q")
-
-    def ids(self, words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in order, number of ids of each)."""
-        distinct = words.dictionary.to_pylist()
-        if len(self.place) > self.most:
-            self._clear()
-        fresh = [w for w in distinct if w not in self.place]
-        for word, ids in zip(fresh, self.encode(fresh)):
-            self.place[word] = len(self.first)
-            self.first.append(len(self.flat))
-            self.size.append(len(ids))
-            self.flat.extend(ids)
-        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
-        codes = words.indices.to_numpy(zero_copy_only=False)
-        sizes = np.array(self.size, np.int64)[at][codes]
-        return np.array(self.flat, np.uint32)[ranges(np.array(self.first, np.int64)[at][codes], sizes)], sizes
-
-
-def _words(data: np.ndarray, starts: np.ndarray) -> pa.DictionaryArray:
-    return binary_array(data, np.append(starts, len(data))).dictionary_encode()
+def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    coded = binary_array(data, np.append(starts, len(data))).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
 def _replace(ids, counts, texts, encoded):
@@ -167,7 +140,7 @@ class ByteLevelBpe:
             ids, counts = np.zeros(0, np.uint32), np.zeros(n, np.int64)
         else:
             starts, before = pre_tokens(data, offsets, self.classes)
-            ids, sizes = self.lexicon.ids(_words(data, starts))
+            ids, sizes = self.lexicon.ids(*_words(data, starts))
             counts = np.diff(np.append(0, np.cumsum(sizes))[before])
         if odd.any():
             texts = np.flatnonzero(odd).tolist()
@@ -217,5 +190,5 @@ class PieceModel:
         starts[1:] &= ~blank[:-1]
         starts[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(starts)
-        ids, sizes = self.lexicon.ids(_words(data, starts))
+        ids, sizes = self.lexicon.ids(*_words(data, starts))
         return ids, np.diff(np.append(0, np.cumsum(sizes))[np.searchsorted(starts, offsets, "left")])

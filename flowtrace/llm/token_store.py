@@ -11,7 +11,7 @@ Tokenising encodes every distinct word of a task's documents once; the
 tokenizer drops white space, so words are independent.
 
 Defined results: a null or empty text holds the end id alone; rows that
-repeat a doc_id stand next to each other, rows without one come first; other
+repeat a doc_id stand in the order of their texts, rows without one come first; other
 columns are ignored; an empty table gives an empty table.
 """
 
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowtrace.llm.arrays import distinct_slices, lower_ascii, ranges, text_buffers, word_spans
+from flowtrace.llm.arrays import distinct_slices, lower_ascii, text_buffers, word_spans
+from flowtrace.llm.lexicon import Lexicon
 from flowtrace.llm.tables import shared_folder, table
 
-#: Ids in a block (beyond one document), bits between rank directory entries,
-#: words a task remembers before it starts afresh.
-BLOCK_IDS, RANK_BITS, KNOWN_WORDS = 1_000_000, 512, 400_000
+#: Ids in a block (beyond one document), bits between rank directory entries.
+BLOCK_IDS, RANK_BITS = 1_000_000, 512
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -129,41 +129,37 @@ def _tokenise(tokenizer_file: str, end_id: int):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
-        model, plain = tokenizer.model, re.compile(PLAIN_LETTERS).fullmatch
-        shown = "".join(byte_letters()[b] for b in range(256))
-        known: dict[bytes, np.ndarray] = {}
+        tokenize, plain = tokenizer.model.tokenize, re.compile(PLAIN_LETTERS).fullmatch
+        letters = byte_letters()
+        shown = "".join(letters[b] for b in range(256))
 
-        def learn(fresh: list[bytes]):
-            rest = []
-            for word in fresh:
+        def learn(words: list[bytes]):
+            out, rest = [], []
+            for word in words:
                 text = word.decode()
-                if not plain(text):
-                    rest.append((word, text))
-                    continue
-                text = text.lower()
-                if not text.isascii():
-                    text = text.encode().decode("latin-1").translate(shown)
-                known[word] = np.array([t.id for t in model.tokenize(text)], np.uint32)
+                if word.isalpha() and word.islower():  # ASCII letters
+                    out.append([t.id for t in tokenize(text)])
+                elif plain(text):
+                    text = text.lower()
+                    if not text.isascii():
+                        text = text.encode().decode("latin-1").translate(shown)
+                    out.append([t.id for t in tokenize(text)])
+                else:
+                    rest.append((len(out), text))
+                    out.append(())
             for a in range(0, len(rest), 10_000):
                 part = rest[a:a + 10_000]
                 coded = tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, np.uint32)) for (w, _), e in zip(part, coded))
+                for (k, _), e in zip(part, coded):
+                    out[k] = e.ids
+            return out
 
+        lexicon = Lexicon(learn)
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             data, starts, ends, before = _pieces(data, offsets)
-            codes, words = distinct_slices(data, starts, ends)
-            words = words.to_pylist()
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-            learn([w for w in words if w not in known])
-            found = [known[w] for w in words]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.concatenate([*found, np.zeros(0, np.uint32)])
-            lengths = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-            first = np.cumsum(sizes) - sizes
+            ids, lengths = lexicon.ids(*distinct_slices(data, starts, ends))
             sums = np.append(0, np.cumsum(lengths))
-            ids = flat[ranges(first[codes], lengths)] if len(codes) else flat
             # The end id goes behind every document.
             cuts = sums[before]
             ids = np.insert(ids, cuts[1:], end_id).astype(np.uint32)
@@ -210,7 +206,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                           F.col("text").cast("string").alias("text")) \
-        .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+        .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_writer(_tokenise(tokenizer_file, end_id)), _BLOCK) \
         .write.option("compression", "none").parquet(path)
 
