@@ -1,4 +1,5 @@
-"""Benchmark: run every registered query on one scale factor.
+"""Benchmark: run every query of the dashboards on one scale factor (the
+lazy ones of plans/bound.py; the document operators have a check of their own).
 
 Environment:
   BENCH_SF_DIR   parquet folder (default /root/testdata/sf0.1)

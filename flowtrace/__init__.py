@@ -14,7 +14,7 @@ Layers:
 * :mod:`flowtrace.streaming` – the bucket series on an append-only stream.
 """
 
-from .session import cut_lineage, ensure_checkpoint_dir, get_session
+from .session import ensure_checkpoint_dir, get_session
 
-__all__ = ["cut_lineage", "ensure_checkpoint_dir", "get_session"]
+__all__ = ["ensure_checkpoint_dir", "get_session"]
 __version__ = "0.1.0"

@@ -45,22 +45,34 @@ def month_start(value) -> _dt.date:
     return value.replace(day=1)
 
 
-def partition_bound(part_col: str, start, unit: str = "month") -> Column:
-    """Coarse partition-key lower bound implied by a time bound.
+#: Partition keys that follow a time column: how a time becomes a key.
+KEY_OF_TIME = {
+    "date": lambda t: t.date() if isinstance(t, _dt.datetime) else t,
+    "month": month_start,
+}
+
+
+def partition_bound(part_col: str, start=None, unit: str = "month", end=None,
+                    closed: bool = False) -> Column:
+    """The interval of partition keys implied by a time window.
 
     Spark cannot derive a ``block_month``/``block_date`` predicate from a
-    ``block_time`` predicate on plain Parquet, so the dashboards state both;
-    this builds the redundant one so the scan prunes partitions.
+    ``block_time`` predicate on plain Parquet; this states the redundant one
+    at both ends, so the scan opens the window's partitions only. A half-open
+    window that ends on the first instant of a partition leaves it out;
+    ``closed`` windows include their end.
     """
-    if start is None:
-        return F.lit(True)
-    if unit == "month":
-        bound = month_start(start)
-    elif unit == "date":
-        bound = start.date() if isinstance(start, _dt.datetime) else start
-    else:
+    if unit not in KEY_OF_TIME:
         raise ValueError(f"unknown partition unit {unit!r}")
-    return F.col(part_col) >= F.lit(bound)
+    key = KEY_OF_TIME[unit]
+    out = F.lit(True) if start is None else F.col(part_col) >= F.lit(key(start))
+    if end is None:
+        return out
+    last = key(end)
+    first_instant = last if not isinstance(end, _dt.datetime) else _dt.datetime.combine(last, _dt.time(), end.tzinfo)
+    if not closed and end == first_instant:
+        return out & (F.col(part_col) < F.lit(last))
+    return out & (F.col(part_col) <= F.lit(last))
 
 
 def like(c, pattern: str) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, TimestampNTZType, TimestampType
 
+from . import wide
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -76,16 +78,13 @@ def bytes_to_bigint(c) -> Column:
 
 
 def bytes_to_decimal(c) -> Column:
-    """Big-endian varbinary -> decimal(38,0).
+    """Big-endian varbinary -> decimal(38,0); leading zero bytes are allowed.
 
-    Leading zero bytes are allowed (32-byte ABI words). A value of more than
-    15 bytes doesn't fit and becomes NULL, so that one bad payload does not
-    end the job; callers report such rows.
+    A value of 2^126 or more doesn't fit and becomes NULL, so that one payload
+    does not end the job; :mod:`flowtrace.functions.wide` holds all values of
+    32 bytes.
     """
-    digits = F.ltrim(F.hex(_col(c)), F.lit("0"))
-    wide = F.lpad(digits, 30, "0")
-    high, low = (F.conv(F.substring(wide, at, 15), 16, 10).cast("decimal(19,0)") for at in (1, 16))
-    return F.when(F.length(digits) <= 30, (high * F.lit(Decimal(2 ** 60)) + low).cast("decimal(38,0)"))
+    return wide.to_decimal(wide.limbs(c))
 
 
 def int_to_bytes(c, width: int) -> Column:

@@ -4,12 +4,16 @@ token logs, native-value proxies and their per-day combination."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import ROUND_FLOOR, Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import wide
+from ..functions.double_sum import double_sum, sum_of
 from ..functions.predicates import window_predicate
-from ..functions.scalars import bytes_to_decimal, lit_number, round_scaled, scale_units
+from ..functions.scalars import lit_number, round_scaled, scale_units
+from .series import bucket_flow
 from .transfers import raw_floor
 
 
@@ -54,8 +58,7 @@ def finish_swaps(daily: DataFrame, exact: bool = False) -> DataFrame:
 
 def _daily(values: DataFrame, time_col: str, aggs: dict, unit: str, bucket: str) -> DataFrame:
     """One leg on its own: a plain GROUP BY (a NULL bucket keeps its sums)."""
-    from .series import bucket_flow
-    measures = {name: F.count(F.lit(1)) if func == "count" else F.sum(value)
+    measures = {name: F.count(F.lit(1)) if func == "count" else sum_of(values, value)
                 for name, (func, value) in aggs.items()}
     return bucket_flow(values, time_col, unit, measures, bucket=bucket)
 
@@ -76,78 +79,72 @@ def swap_daily(swaps: DataFrame, *, time_col: str = "block_timestamp",
 
 
 def decode_token_transfers(logs: DataFrame, *, contract: bytes, topic0: bytes,
-                           decimals: int = 6, exact: bool = False,
+                           decimals: int = 6, exact: bool = False, min_amount=None,
                            date_col: str = "block_date", start=None, end=None,
                            time_col: str = "block_time", data: str = "data",
                            contract_col: str = "contract_address",
                            topic_col: str = "topic0",
                            keep: Sequence[str] | None = None) -> DataFrame:
     """OP-16: token Transfer logs of one contract -> ``(block_time, …keep,
-    amount)``. The amount is the big-endian payload word, scaled by
-    ``10^decimals``; NULL where the word has more than 15 bytes (see
-    :func:`unreadable_logs`). ``keep`` defaults to the hash, sender and
-    receiver of the transaction, as far as the logs have them. Date bounds are half-open and hit the
-    partition column; contract and topic are binary equalities pushed into
-    the scan."""
+    raw, amount)``. ``raw`` is the big-endian payload word with all its 256
+    bits (:mod:`..functions.wide`); ``amount`` is scaled by ``10^decimals``:
+    a double, or with ``exact`` a decimal that is NULL from 2^126 on (sum and
+    compare ``raw`` instead). Payloads that are no such word have neither
+    (:func:`unreadable_logs`). ``min_amount`` keeps amounts strictly above it,
+    compared as bytes before anything is decoded. ``keep`` defaults to the
+    hash, sender and receiver of the transaction, as far as the logs have
+    them. Date bounds are half-open and hit the partition column; contract and
+    topic are binary equalities pushed into the scan."""
     kept = logs.where(window_predicate(date_col, start, end)
                       & (F.col(contract_col) == F.lit(contract))
                       & (F.col(topic_col) == F.lit(topic0)))
+    if min_amount is not None:
+        kept = kept.where(wide.above_word(data, raw_bound(min_amount, decimals)))
     if keep is None:
         keep = [c for c in ("tx_hash", "tx_from", "tx_to") if c in logs.columns]
-    return kept.select(F.col(time_col), *keep,
-                       scale_units(bytes_to_decimal(data), decimals, exact=exact).alias("amount"))
+    raw = kept.select(F.col(time_col), *keep, wide.limbs(data).alias("raw"))
+    amount = scale_units(wide.to_decimal("raw"), decimals, exact=True) if exact else \
+        wide.to_double("raw") / F.lit(float(10 ** decimals))
+    return raw.withColumn("amount", amount)
 
 
-def unreadable_logs(logs: DataFrame, data: str = "data") -> DataFrame:
-    """Logs whose payload is present but too wide for an amount: kept aside
-    for inspection, as their transfers are not in any sum."""
-    return logs.where(F.col(data).isNotNull() & bytes_to_decimal(data).isNull())
-
-
-def large_transfer_values(transfers: DataFrame, min_amount, *,
-                          time_col: str = "block_time") -> DataFrame:
-    """Row-level part of :func:`large_transfer_daily`: decoded transfers
-    strictly above ``min_amount``."""
-    kept = transfers.where(F.col("amount") > F.lit(min_amount))
-    return kept.select(F.col(time_col), F.col("amount").alias("_vol"))
-
-
-LARGE_TRANSFER_AGGS = {"transfer_count": ("count", None), "_vol": ("sum", "_vol")}
-
-
-def finish_large_transfers(daily: DataFrame, exact: bool = False) -> DataFrame:
-    return daily.withColumn("total_volume_m", round_scaled("_vol", 6, 3, exact)).drop("_vol")
-
-
-def large_transfer_daily(transfers: DataFrame, min_amount, *, exact: bool = False,
-                         time_col: str = "block_time", unit: str = "date",
-                         bucket: str = "day_bucket") -> DataFrame:
-    """Per-day count and volume (millions, 3 places) of decoded transfers
-    strictly above ``min_amount``."""
-    values = large_transfer_values(transfers, min_amount, time_col=time_col)
-    return finish_large_transfers(_daily(values, time_col, LARGE_TRANSFER_AGGS, unit, bucket),
-                                  exact)
+def raw_bound(minimum, decimals: int) -> int:
+    """The integer b with ``raw / 10^decimals > minimum`` for raw > b only."""
+    return int(Decimal(str(minimum)).scaleb(decimals).to_integral_value(rounding=ROUND_FLOOR))
 
 
-def native_values(txs: DataFrame, *, min_units, price, decimals: int = 6,
-                  exact: bool = False, date_col: str = "block_date", start=None, end=None,
-                  value: str = "value", success: str = "success") -> DataFrame:
-    """Row-level part of :func:`native_value_proxy`: successful transfers
-    above ``min_units`` whole coins in ``[start, end)``, valued at ``price``.
-    The raw-unit threshold reaches the scan (:func:`raw_floor`)."""
-    units = scale_units(value, decimals, exact=exact)
-    kept = txs.where(window_predicate(date_col, start, end)
-                     & (F.col(success) == F.lit(True))
-                     & raw_floor(value, min_units, decimals, exact)
-                     & (units > F.lit(min_units)))
-    return kept.select(F.col(date_col), (units * lit_number(price, exact)).alias("_nusd"))
-
+def unreadable_logs(logs: DataFrame, data: str = "data") -> DataFrame:
+    """Logs whose payload is present but no integer of 256 bits: kept aside
+    for inspection, as their transfers are not in any sum."""
+    return logs.where(F.col(data).isNotNull() & wide.word(data).isNull())
 
-NATIVE_AGGS = {"tx_count": ("count", None), "_nusd": ("sum", "_nusd")}
 
+def large_transfer_daily(transfers: DataFrame, min_amount=None, *, exact: bool = False,
+                         decimals: int = 6, time_col: str = "block_time",
+                         unit: str = "date", bucket: str = "day_bucket") -> DataFrame:
+    """Per-day count and volume (millions, 3 places) of decoded transfers,
+    strictly above ``min_amount`` if given.
 
-def finish_native(daily: DataFrame, exact: bool = False) -> DataFrame:
-    return daily.withColumn("value_usd_m", round_scaled("_nusd", 6, 3, exact)).drop("_nusd")
+    In exact mode the integers are compared and summed as limbs and scaled
+    once per day: exactly up to 2^126 raw units a day, beyond that to a
+    double's precision. Without ``exact``, doubles are summed.
+    """
+    if not exact:
+        kept = transfers if min_amount is None else transfers.where(F.col("amount") > F.lit(min_amount))
+        daily = bucket_flow(kept, time_col, unit, {
+            "transfer_count": F.count(F.lit(1)), "_vol": sum_of(kept, "amount")}, bucket=bucket)
+        return daily.withColumn("total_volume_m", round_scaled("_vol", 6, 3)).drop("_vol")
+    kept = transfers
+    if min_amount is not None:
+        bound = raw_bound(min_amount, decimals)
+        kept = transfers.where(F.col("raw") > wide.literal(bound) if bound >= 0 else F.col("raw.l0").isNotNull())
+    daily = bucket_flow(kept, time_col, unit, {
+        "transfer_count": F.count(F.lit(1)), "_vol": wide.sum_limbs("raw")}, bucket=bucket)
+    daily = wide.carry(daily, "_vol")
+    volume = F.coalesce(
+        round_scaled(wide.to_decimal("_vol", carried=True), decimals + 6, 3, True).cast("double"),
+        F.round(wide.to_double("_vol", carried=True) / F.lit(float(10 ** (decimals + 6))), 3))
+    return daily.withColumn("total_volume_m", volume).drop("_vol")
 
 
 def native_value_proxy(txs: DataFrame, *, min_units, price, decimals: int = 6,
@@ -156,11 +153,22 @@ def native_value_proxy(txs: DataFrame, *, min_units, price, decimals: int = 6,
                        bucket: str = "day_bucket") -> DataFrame:
     """OP-17: per-day count and estimated USD (millions, 3 places) of
     successful native transfers above ``min_units`` whole coins, priced at a
-    constant ``price``. Half-open date bounds on the partition column."""
-    values = native_values(txs, min_units=min_units, price=price, decimals=decimals,
-                           exact=exact, date_col=date_col, start=start, end=end, value=value,
-                           success=success)
-    return finish_native(_daily(values, date_col, NATIVE_AGGS, "date", bucket), exact)
+    constant ``price``. Half-open date bounds on the partition column.
+
+    Exact mode compares and sums raw integers; the scan gets the threshold
+    (:func:`raw_floor`), and scaling and price are applied once per day."""
+    kept = txs.where(window_predicate(date_col, start, end)
+                     & (F.col(success) == F.lit(True))
+                     & raw_floor(value, min_units, decimals, exact))
+    if exact:
+        daily = bucket_flow(kept, date_col, "date", {
+            "tx_count": F.count(F.lit(1)), "_raw": F.sum(F.col(value).cast("decimal(38,0)"))}, bucket=bucket)
+        usd = round_scaled(F.col("_raw") * lit_number(price, True), decimals + 6, 3, True)
+        return daily.withColumn("value_usd_m", usd).drop("_raw")
+    units = scale_units(value, decimals)
+    daily = bucket_flow(kept.where(units > F.lit(min_units)), date_col, "date", {
+        "tx_count": F.count(F.lit(1)), "_usd": double_sum(units * lit_number(price, False))}, bucket=bucket)
+    return daily.withColumn("value_usd_m", round_scaled("_usd", 6, 3)).drop("_usd")
 
 
 def combine_channels(aligned: DataFrame, parts: Sequence[str], out: str,

@@ -6,6 +6,8 @@ aggregation in every task, one tiny final merge.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,23 @@ def primary_drain(hops: DataFrame, amount: str, order_by: str = "hop_sequence")
             .select(*[F.col(f"_best.{c}").alias(c) for c in cols]))
 
 
+def largest_with_place(rows: DataFrame, amount: str, order_by: Sequence[str], place: str,
+                       total: str) -> DataFrame:
+    """The row with the greatest amount (first in ``order_by`` of equals) with
+    its place in that order and the running total up to it; no row without
+    amounts. Nothing is sorted or numbered: one aggregate finds the row's
+    keys, a second counts and sums the rows up to them. ``order_by`` must be
+    a total order; NULL keys come last."""
+    known = rows.where(F.col(amount).isNotNull())
+    key = F.struct(*(x for c in order_by for x in (F.col(c).isNull(), F.col(c))))
+    first = F.struct((-F.col(amount)).alias("neg"), key.alias("key"))
+    best = known.agg(F.min(first).getField("key")).scalar()
+    found = rows.where(key <= best).agg(
+        F.count(F.lit(1)).alias(place), F.sum(amount).alias(total),
+        F.min_by(F.struct(*rows.columns), F.when(F.col(amount).isNotNull(), first)).alias("_row"))
+    return found.where(F.col("_row").isNotNull()).select("_row.*", place, total)
+
+
 def dispersion(hops: DataFrame, time_col: str = "block_time") -> DataFrame:
     """RD-6: hop count, first and last hop time and the span in seconds."""
     agg = hops.agg(F.count(F.lit(1)).alias("hop_count"),

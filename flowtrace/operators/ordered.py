@@ -92,31 +92,30 @@ def ordered_measures(df: DataFrame, order_by: Sequence[str], measures: Sequence[
     don't depend on the layout.
     """
     order_by, partition_by = list(order_by), list(partition_by)
-    first = df.schema[order_by[0]].dataType
-    levels = [F.col(c) for c in order_by[:-1]]
+    types = {f.name: f.dataType for f in df.schema}
+    first = types[order_by[0]]
+    levels = [(F.col(c), types[c]) for c in order_by[:-1]]
     if isinstance(first, (T.TimestampType, T.TimestampNTZType)):
-        levels.insert(0, F.to_date(order_by[0]))
+        levels.insert(0, (F.to_date(order_by[0]), T.DateType()))
     elif isinstance(first, T.DateType):
-        levels.insert(0, F.trunc(order_by[0], "year"))
+        levels.insert(0, (F.trunc(order_by[0], "year"), first))
     local = [order_by[-1]]
     if not levels:
-        levels, local = [F.col(order_by[0])], []
+        levels, local = [(F.col(order_by[0]), first)], []
 
     # Two columns per key: is it null (nulls come last), and the value.
-    parts, groups = [], []
-    work = df
-    for i, c in enumerate([*map(F.col, partition_by), *levels]):
-        kind = df.select(c).schema[0].dataType
-        work = work.withColumn(f"__ft_null{i}", c.isNull()).withColumn(
-            f"__ft_key{i}", _never_null(c, kind))
-        (parts if i < len(partition_by) else groups).append([f"__ft_null{i}", f"__ft_key{i}"])
-    value_types = {}
-    for i, m in enumerate(measures):
-        if m.kind == "sum":
-            kind = df.select(m.value).schema[0].dataType
-            value_types[i] = kind
-            exact = isinstance(kind, (T.DoubleType, T.FloatType))
-            work = work.withColumn(f"__ft_value{i}", m.value.cast(EXACT_SUM) if exact else m.value)
+    parts, groups, added = [], [], []
+    for i, (c, kind) in enumerate([*((F.col(c), types[c]) for c in partition_by), *levels]):
+        pair = [f"__ft_null{i}", f"__ft_key{i}"]
+        added += [c.isNull().alias(pair[0]), _never_null(c, kind).alias(pair[1])]
+        (parts if i < len(partition_by) else groups).append(pair)
+    sums = {i: m for i, m in enumerate(measures) if m.kind == "sum"}
+    kinds = df.select(*[m.value.alias(f"v{i}") for i, m in sums.items()]).schema if sums else []
+    value_types = {i: f.dataType for i, f in zip(sums, kinds)}
+    for i, m in sums.items():
+        exact = isinstance(value_types[i], (T.DoubleType, T.FloatType))
+        added.append((m.value.cast(EXACT_SUM) if exact else m.value).alias(f"__ft_value{i}"))
+    work = df.select("*", *added)
 
     part_cols = [c for pair in parts for c in pair]
     keys = part_cols + [c for pair in groups for c in pair]
@@ -136,6 +135,7 @@ def ordered_measures(df: DataFrame, order_by: Sequence[str], measures: Sequence[
         for i, m in enumerate(measures)])
     offsets = _offsets(totals, part_cols, groups, len(measures))
     joined = rows.join(offsets, keys)
+    local_types = {f.name: f.dataType for f in rows.schema}
 
     out = []
     for i, m in enumerate(measures):
@@ -148,7 +148,7 @@ def ordered_measures(df: DataFrame, order_by: Sequence[str], measures: Sequence[
             value = F.when(own.isNull() & before.isNull(), F.lit(None)).otherwise(
                 F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0)))
             value = value.cast("double" if isinstance(value_types[i], (T.DoubleType, T.FloatType))
-                               else rows.schema[f"__ft_local{i}"].dataType)
+                               else local_types[f"__ft_local{i}"])
         out.append(value.alias(m.out))
     return joined.select(*[F.col(c) for c in df.columns], *out)
 
@@ -189,3 +189,11 @@ def sequence_rows(df: DataFrame, out: str, order_by: Sequence[str],
 def sorted_result(df: DataFrame, *cols: str) -> DataFrame:
     """SRT-1/2: final ascending sort, NULLS LAST as in the dashboards' engine."""
     return df.orderBy(*_sort_keys(cols))
+
+
+def with_position(df: DataFrame, out: str = "position") -> DataFrame:
+    """1-based place of every row of a sorted report (one row per bucket, so
+    few), as the sort left them."""
+    seen = df.withColumn("__ft_at", F.monotonically_increasing_id())
+    return seen.select(F.row_number().over(Window.orderBy("__ft_at")).cast("bigint").alias(out),
+                       *[F.col(f"`{c}`") for c in df.columns])

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.double_sum import stable_sum, sum_of
 from ..functions.scalars import truncate_time
 from .ordered import running_total  # noqa: F401  (part of this module's interface)
 
@@ -45,9 +46,8 @@ def signed_amount(type_col: str, amount: str, plus: str, minus: str) -> Column:
 def net_flow(df: DataFrame, time_col: str, unit: str, type_col: str, amount: str,
              plus: str, minus: str, out: str, bucket: str = "bucket") -> DataFrame:
     """OP-11: signed inflow minus outflow per bucket."""
-    return bucket_flow(df, time_col, unit,
-                       {out: F.sum(signed_amount(type_col, amount, plus, minus))},
-                       bucket=bucket)
+    signed = signed_amount(type_col, amount, plus, minus)
+    return bucket_flow(df, time_col, unit, {out: stable_sum(signed, df.schema[amount].dataType)}, bucket=bucket)
 
 
 def align_legs(legs: Sequence[DataFrame], key: str, fill=0) -> DataFrame:
@@ -111,17 +111,18 @@ def bucket_legs(legs: Sequence[tuple[DataFrame, str, dict[str, tuple[str, Column
     """
     parts, aggs = [], []
     for i, (df, time_col, measures) in enumerate(legs):
-        cols = [bucket_column(df, time_col, unit, bucket)]
+        cols, summed = [bucket_column(df, time_col, unit, bucket)], []
         for name, (func, value) in measures.items():
             if func == "count":
                 cols.append(F.lit(1).alias(name))
                 aggs.append(F.count(name).alias(name))
             elif func == "sum":
                 cols.append((F.col(value) if isinstance(value, str) else value).alias(name))
-                aggs.append(F.sum(name).alias(name))
+                summed.append(name)
             else:
                 raise ValueError(f"unknown aggregate {func!r}")
         parts.append(df.select(*cols))
+        aggs += [sum_of(parts[-1], name).alias(name) for name in summed]
     names = [a for part in parts for a in part.columns if a != bucket]
     if len(set(names)) != len(names):
         raise ValueError("measure names must be unique across legs")

@@ -15,7 +15,6 @@ from decimal import ROUND_FLOOR, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.predicates import window_predicate
 from ..functions.scalars import lit_number, scale_units
@@ -237,16 +236,23 @@ def not_in(left: DataFrame, right: DataFrame, key: str, right_key: str | None =
     to a nested loop.
     """
     right_key = right_key or key
-    keys = right.select(F.col(right_key).alias("__ft_nk"))
-    rest = left.join(keys.where(F.col("__ft_nk").isNotNull()).dropDuplicates(["__ft_nk"]),
-                     left[key] == F.col("__ft_nk"), "left_anti")
+    hits, rows, nulls = _hits(right, right_key)
+    rest = left.join(hits.where(F.col("__ft_hit").isNotNull()), left[key] == F.col("__ft_hit"), "left_anti")
     if not null_aware:
         return rest.where(F.col(key).isNotNull())
-    rows = keys.agg(F.count(F.lit(1))).scalar()
-    nulls = keys.agg(F.count(F.lit(1)) - F.count("__ft_nk")).scalar()
     return rest.where((rows == 0) | ((nulls == 0) & F.col(key).isNotNull()))
 
 
+def _hits(right: DataFrame, key: str) -> tuple[DataFrame, Column, Column]:
+    """(distinct keys with their row counts, all rows, rows without a key).
+    Keys are aggregated before they are shuffled, so a hot key is one row per
+    task; both numbers are sums over that same aggregate."""
+    hits = right.groupBy(F.col(key).alias("__ft_hit")).agg(F.count(F.lit(1)).alias("__ft_rows"))
+    rows = hits.agg(F.coalesce(F.sum("__ft_rows"), F.lit(0))).scalar()
+    nulls = hits.agg(F.coalesce(F.sum(F.when(F.col("__ft_hit").isNull(), F.col("__ft_rows"))), F.lit(0))).scalar()
+    return hits, rows, nulls
+
+
 def merge_without_duplicates(first: DataFrame, second: DataFrame, key: str,
                              null_aware: bool = True) -> DataFrame:
     """OP-9: every row of ``first`` plus the rows of ``second`` whose key is
@@ -258,13 +264,13 @@ def merge_without_duplicates(first: DataFrame, second: DataFrame, key: str,
 def merge_tagged(df: DataFrame, in_first: str, in_second: str, key: str) -> DataFrame:
     """OP-9 over one frame whose rows are tagged with their legs: rows of the
     first leg, and rows of the second whose key no first-leg row has (NOT IN
-    semantics, see :func:`not_in`). One window over the key instead of two
-    scans and a join; the NULL rule is a scalar subquery."""
+    semantics, see :func:`not_in`). Rows stay where they are while the first
+    leg's distinct keys are few enough for Spark to broadcast; otherwise the
+    join shuffles, and AQE splits a hot key's rows. Rows without a key never
+    meet a hit; the NULL rule is a scalar subquery."""
     first, second = F.coalesce(in_first, F.lit(False)), F.coalesce(in_second, F.lit(False))
-    firsts = df.where(first)
-    rows = firsts.agg(F.count(F.lit(1))).scalar()
-    nulls = firsts.agg(F.count(F.lit(1)) - F.count(key)).scalar()
-    hit = F.max(first).over(Window.partitionBy(key))
-    return df.withColumn("__ft_hit", hit).where(
-        first | (second & ~F.col("__ft_hit")
-                 & ((rows == 0) | ((nulls == 0) & F.col(key).isNotNull())))).drop("__ft_hit")
+    hits, rows, nulls = _hits(df.where(first), key)
+    flagged = df.join(hits, F.col(key) == F.col("__ft_hit"), "left")
+    kept = flagged.where(first | (second & F.col("__ft_rows").isNull()
+                                  & ((rows == 0) | ((nulls == 0) & F.col(key).isNotNull()))))
+    return kept.select(*df.columns)

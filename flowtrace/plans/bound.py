@@ -14,15 +14,20 @@ the DuckDB oracle in :mod:`flowtrace.plans.oracle` can match it exactly.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import wide
 from ..functions.scalars import hex_0x, hex_upper, round_scaled, shorten
 from ..operators import findings, graph, series, transfers
+from ..operators.ordered import sorted_result, with_position
+from ..session import ensure_checkpoint_dir
 from ..sources import bindings as B
+from ..sources.tables import write_result
 from . import constants as K
 from . import recipes as R
 
@@ -67,10 +72,8 @@ def hop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def primary_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RD-5: the largest hop of the hop log."""
     p = PARAMS["hop_log"]
-    hops = R.inception_hop_log(B.rseth_evt_transfer(spark, sf_dir), dates=p["dates"],
-                               min_amount=p["min_amount"], bounds=p["bounds"], labels=p["labels"],
-                               price=p["price"], exact=True, sort=False)
-    return findings.primary_drain(hops, "rseth_amount", "hop_sequence")
+    return R.primary_drain(B.rseth_evt_transfer(spark, sf_dir), dates=p["dates"], min_amount=p["min_amount"],
+                           bounds=p["bounds"], labels=p["labels"], price=p["price"], exact=True)
 
 
 def dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,16 +108,16 @@ def address_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-13…16, 18 on every ERC-20 transfer: hashes and addresses as
     upper-case hex, ``0x`` lower-case hex and shortened forms."""
     t = B.erc20_evt_transfer(spark, sf_dir)
-    return t.select(
-        "block_time",
-        hex_upper("tx_hash").alias("tx_hash_hex"),
-        hex_0x("tx_hash").alias("tx_hash_full"),
-        shorten(hex_0x("tx_hash"), 18).alias("tx_hash_short"),
-        hex_0x("from").alias("from_full"),
-        shorten(hex_0x("from"), 10).alias("from_addr"),
-        shorten(hex_0x("to"), 10).alias("to_addr"),
+    # Each value is written in hex once; the display forms are cut from that.
+    t = t.select(
+        "block_time", hex_upper("tx_hash").alias("tx_hash_hex"), hex_0x("tx_hash").alias("tx_hash_full"),
+        hex_0x("from").alias("from_full"), hex_0x("to").alias("to_full"),
         hex_upper("contract_address").alias("contract_hex"),
         (F.col("from") == F.lit((7).to_bytes(B.ADDRESS_BYTES, "big"))).alias("from_watched"))
+    return t.select(
+        "block_time", "tx_hash_hex", "tx_hash_full", shorten("tx_hash_full", 18).alias("tx_hash_short"),
+        "from_full", shorten("from_full", 10).alias("from_addr"), shorten("to_full", 10).alias("to_addr"),
+        "contract_hex", "from_watched")
 
 
 # ---------------------------------------------------------------- Q1b -----
@@ -268,6 +271,86 @@ def laundering_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
         price=t["price"], exact=True)
 
 
+# ------------------------------------------- operators and reports as such -
+
+def watchlist_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-5: transfers of one token in the window that touch the watchlist table on either side."""
+    p = PARAMS["bridge_drain"]
+    origin, suspect = _nation_watchlists(spark, sf_dir)
+    contract = p["token"].encode().rjust(B.ADDRESS_BYTES, b"\x00")
+    kept = transfers.watchlist_transfers(
+        B.erc20_evt_transfer(spark, sf_dir), origin.unionByName(suspect), sender="from", receiver="to",
+        contract_col="contract_address", contract=contract, start=p["window"][0], end=p["window"][1])
+    return kept.select("block_time", hex_0x("tx_hash").alias("tx_hash"), hex_0x("from").alias("from_addr"),
+                       hex_0x("to").alias("to_addr"),
+                       round_scaled("value", 18, 2, exact=True).cast("double").alias("amount"))
+
+
+def net_flow_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-11: deposits minus withdrawals (USD) per day."""
+    p = PARAMS["tvl"]
+    leg = R.lending_leg(B.lending_supply(spark, sf_dir), window=p["window"], chain="ethereum", project="aave")
+    return _doubles(series.net_flow(leg, "block_time", "day", "transaction_type", "amount_usd",
+                                    "deposit", "withdraw", "net_usd", bucket="day_bucket"), {"net_usd"})
+
+
+def merged_moves_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-9: transactions sent by the council, and large ones whose hash is NOT IN those, per day."""
+    p = PARAMS["intervention"]
+    txs = B.arbitrum_transactions(spark, sf_dir).select("hash", "block_date", "from", "value")
+    council = txs.where(F.col("from") == F.lit(p["council_key"].to_bytes(B.ADDRESS_BYTES, "big")))
+    large = txs.where(transfers.raw_floor("value", p["route_min"], 18, exact=True))
+    merged = transfers.merge_without_duplicates(council, large, "hash")
+    return merged.groupBy(F.col("block_date").alias("day_bucket")).agg(
+        F.count(F.lit(1)).alias("tx_count"),
+        round_scaled(F.sum("value"), 18, 2, exact=True).cast("double").alias("volume"))
+
+
+def wide_payload_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-17 at 256 bits: per day, payloads above a bound, their exact sum and the greatest, in hex."""
+    logs = B.wide_logs(spark, sf_dir)
+    kept = logs.where(wide.above_word("data", WIDE_BOUND)).withColumn("raw", wide.limbs("data"))
+    daily = series.bucket_flow(kept, "block_time", "date", {
+        "payloads": F.count(F.lit(1)), "total": wide.sum_limbs("raw"), "greatest": F.max("raw")}, bucket="day_bucket")
+    daily = wide.carry(daily, "total")
+    return daily.select("day_bucket", "payloads", wide.to_hex("total", carried=True).alias("total"),
+                        wide.to_hex("greatest").alias("greatest"))
+
+
+#: About half of the payloads are above it.
+WIDE_BOUND = (2 ** 64 - 1 - 1000) << 192
+
+
+def contagion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2 as the dashboard shows it: its labels, sorted by hour, with each row's place."""
+    p = PARAMS["contagion"]
+    report = R.aave_contagion(B.lending_supply(spark, sf_dir), B.lending_borrow(spark, sf_dir),
+                              window=p["window"], exact=True)
+    return with_position(R.display(report, K.CONTAGION_LABELS))
+
+
+def intervention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3 as the dashboard shows it: labelled, then sorted by two display aliases, with each row's place."""
+    shown = R.display(intervention_hourly(spark, sf_dir), K.INTERVENTION_LABELS)
+    return with_position(sorted_result(
+        shown, K.INTERVENTION_LABELS["hour_bucket"], K.INTERVENTION_LABELS["flow_type"]))
+
+
+def hourly_legs_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2 in the dashboards' double arithmetic, with sums that no layout changes."""
+    p = PARAMS["contagion"]
+    supply, borrow = (_doubles(leg(spark, sf_dir), {"amount", "amount_usd"})
+                      for leg in (B.lending_supply, B.lending_borrow))
+    return R.aave_contagion(supply, borrow, window=p["window"])
+
+
+def written_hop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1: the hop log written as a result table and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/hop-log-{uuid.uuid4().hex}"
+    write_result(hop_log(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
 # ---------------------------------------------------------------- Q5 ------
 
 def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,4 +403,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leverage_ratio": leverage_ratio,
     "primary_drain": primary_drain,
     "dispersion": dispersion,
+    "watchlist_log": watchlist_log,
+    "net_flow_daily": net_flow_daily,
+    "merged_moves_daily": merged_moves_daily,
+    "wide_payload_daily": wide_payload_daily,
+    "contagion_report": contagion_report,
+    "intervention_report": intervention_report,
+    "hourly_legs_double": hourly_legs_double,
+}
+
+#: Queries that write a table when they are built.
+SINKS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "written_hop_log": written_hop_log,
 }

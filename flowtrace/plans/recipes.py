@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.double_sum import sum_of
 from ..functions.predicates import between_closed, partition_bound, window_predicate
 from ..functions.scalars import hex_0x, hex_upper, lit_number, round_scaled, shorten
-from ..operators import channels, graph, series, transfers
+from ..operators import channels, findings, graph, series, transfers
 from ..operators.membership import member_condition
 from ..operators.ordered import sorted_result
 from . import constants as K
@@ -65,7 +66,20 @@ def inception_hop_log(rseth_transfers: DataFrame, *, dates=K.HOP_LOG_DATES,
 
     Source columns: ``evt_tx_hash, evt_index, evt_block_time,
     evt_block_number, from, to, value, evt_block_date`` (partitioned by
-    ``evt_block_date``). The log index makes the order total."""
+    ``evt_block_date``)."""
+    tiered = _hop_rows(rseth_transfers, dates, min_amount, price, bounds, labels, decimals, exact)
+    hops = transfers.hop_log(tiered, _bound(min_amount, exact, decimals), order_by=HOP_ORDER,
+                             seq_out="hop_sequence", cum_out="_cum")
+    out = _hop_report(hops, decimals, exact)
+    return sorted_result(out, "hop_sequence") if sort else out
+
+
+#: The log index makes the order of hops total.
+HOP_ORDER = ("block_time", "tx_hash", "evt_index")
+
+
+def _hop_rows(rseth_transfers, dates, min_amount, price, bounds, labels, decimals, exact) -> DataFrame:
+    """Transfers of the window above the threshold with their tier."""
     scoped = rseth_transfers.where(between_closed("evt_block_date", *dates)
                                    & transfers.raw_floor("value", min_amount, decimals, exact))
     canon = transfers.normalize_transfers(
@@ -73,12 +87,13 @@ def inception_hop_log(rseth_transfers: DataFrame, *, dates=K.HOP_LOG_DATES,
         block_number="evt_block_number", sender="from", receiver="to", value="value",
         block_date="evt_block_date", decimals=0 if exact else decimals, price=price, exact=exact,
         extra=["evt_index"])
-    tiered = transfers.severity_tier(
+    return transfers.severity_tier(
         canon, "amount", [_bound(b, exact, decimals) for b in bounds], labels)
-    hops = transfers.hop_log(tiered, _bound(min_amount, exact, decimals),
-                             order_by=("block_time", "tx_hash", "evt_index"),
-                             seq_out="hop_sequence", cum_out="_cum")
-    out = hops.select(
+
+
+def _hop_report(hops: DataFrame, decimals: int, exact: bool) -> DataFrame:
+    """The dashboard's columns of numbered hops."""
+    return hops.select(
         "hop_sequence", "block_time", "block_number",
         hex_upper("tx_hash").alias("tx_hash"),
         hex_0x("sender").alias("from_address"),
@@ -87,7 +102,18 @@ def inception_hop_log(rseth_transfers: DataFrame, *, dates=K.HOP_LOG_DATES,
         _final(_shown("usd", 3, exact, decimals, 6), exact).alias("usd_value_m"),
         _final(_shown("_cum", 2, exact, decimals), exact).alias("cumulative_rseth_drained"),
         F.col("transfer_type").alias("classification"))
-    return sorted_result(out, "hop_sequence") if sort else out
+
+
+def primary_drain(rseth_transfers: DataFrame, *, dates=K.HOP_LOG_DATES,
+                  min_amount=K.HOP_MIN_RSETH, price=K.RSETH_PRICE_HOP_LOG,
+                  bounds=K.SEVERITY_BOUNDS, labels=K.SEVERITY_LABELS,
+                  decimals: int = 18, exact: bool = False) -> DataFrame:
+    """RD-5: the hop log's row with the greatest amount (the earliest of
+    equals), without numbering the others: two aggregates over raw rows."""
+    tiered = _hop_rows(rseth_transfers, dates, min_amount, price, bounds, labels, decimals, exact)
+    hops = transfers.above(tiered, "amount", _bound(min_amount, exact, decimals))
+    found = findings.largest_with_place(hops, "amount", HOP_ORDER, "hop_sequence", "_cum")
+    return _hop_report(found, decimals, exact)
 
 
 HOP_LOG_LABELS = K.HOP_LOG_LABELS
@@ -109,7 +135,7 @@ def bridge_drain(erc20_transfers: DataFrame, *, contract=K.RSETH_ERC20,
     Source columns: ``block_time, tx_hash, from, to, value,
     contract_address, block_date`` (its partition key). ``origin``/``suspect`` are addresses, lists or
     one-column watchlist tables."""
-    scoped = erc20_transfers.where(partition_bound("block_date", window[0], "date"))
+    scoped = erc20_transfers.where(partition_bound("block_date", window[0], "date", window[1]))
     scoped = transfers.in_window(scoped, "block_time", window[0], window[1])
     scoped = scoped.where(F.col("contract_address") == F.lit(contract))
     canon = transfers.normalize_transfers(
@@ -144,7 +170,7 @@ def lending_leg(events: DataFrame, *, window, chain: str, project: str,
     half-open time window, plus the implied ``block_month`` bound so the
     scan prunes month partitions."""
     cond = ((F.col("blockchain") == F.lit(chain)) & (F.col("project") == F.lit(project))
-            & partition_bound("block_month", window[0], "month")
+            & partition_bound("block_month", window[0], "month", window[1])
             & window_predicate("block_time", window[0], window[1]))
     if symbols is not None:
         cond = cond & F.col("symbol").isin(list(symbols))
@@ -261,7 +287,7 @@ def arbitrum_intervention(txs: DataFrame, *, council=K.ARBITRUM_SECURITY_COUNCIL
     moves = moves.withColumn("flow_direction", F.when(F.col("_watched"), F.col("flow_direction"))
                              .otherwise(F.lit(route_label)))
     hourly = series.bucket_flow(moves, "block_time", unit, {
-        "tx_count": F.count(F.lit(1)), "_sum": F.sum("amount")},
+        "tx_count": F.count(F.lit(1)), "_sum": sum_of(moves, "amount")},
         keys=["flow_direction"], bucket="hour_bucket")
     hourly = hourly.select(
         "hour_bucket", "flow_direction", "tx_count",
@@ -288,7 +314,7 @@ def thorchain_daily(swaps: DataFrame, *, window=K.LAUNDERING_WINDOW,
                     exact: bool = False) -> DataFrame:
     """Large ETH->BTC swaps per day (v2 sums then rounds; v1,
     ``round_rows=True``, rounds every swap first)."""
-    big = channels.large_swaps(swaps.where(partition_bound("block_date", window[0], "date")), from_pattern=from_pattern, to_pattern=to_pattern,
+    big = channels.large_swaps(swaps.where(partition_bound("block_date", window[0], "date", window[1])), from_pattern=from_pattern, to_pattern=to_pattern,
                                min_usd=min_usd, time_col="block_timestamp",
                                start=window[0], end=window[1])
     return channels.swap_daily(big, round_rows=round_rows, exact=exact)
@@ -299,7 +325,7 @@ def swap_log(swaps: DataFrame, *, window=K.LAUNDERING_WINDOW, from_pattern: str
              exact: bool = False) -> DataFrame:
     """Rows behind :func:`thorchain_daily` of v1: every large swap with its
     route label and its rounded amounts."""
-    big = channels.large_swaps(swaps.where(partition_bound("block_date", window[0], "date")),
+    big = channels.large_swaps(swaps.where(partition_bound("block_date", window[0], "date", window[1])),
                                from_pattern=from_pattern, to_pattern=to_pattern,
                                min_usd=min_usd, time_col="block_timestamp",
                                start=window[0], end=window[1])
@@ -317,8 +343,10 @@ def tron_usdt_daily(logs: DataFrame, *, dates=K.LAUNDERING_DATES,
     """Decoded USDT Transfer logs above ``min_amount`` per day."""
     decoded = channels.decode_token_transfers(logs, contract=contract, topic0=topic0,
                                               decimals=decimals, exact=exact,
+                                              min_amount=min_amount if exact else None,
                                               start=dates[0], end=dates[1])
-    return channels.large_transfer_daily(decoded, min_amount, exact=exact)
+    return channels.large_transfer_daily(decoded, None if exact else min_amount, exact=exact,
+                                         decimals=decimals)
 
 
 def tron_native_daily(txs: DataFrame, *, dates=K.LAUNDERING_DATES,

@@ -1,4 +1,4 @@
-"""Session construction and lineage helpers.
+"""Session construction and the shared folder.
 
 The library never creates its own SparkSession on a cluster: every
 operator takes DataFrames and uses the session they belong to. ``get_session``
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every run relies on: UTC wall clock (block times are UTC),
 # adaptive execution for runtime re-planning, ANSI arithmetic.
@@ -96,15 +96,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
-
-    Used where a plan must not be evaluated twice with different results
-    (range-partition sampling) and to bound lineage on retries.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

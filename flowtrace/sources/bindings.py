@@ -212,6 +212,20 @@ def tron_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.lit(APPROVAL_TOPIC)).alias("topic0"))
 
 
+def wide_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log payloads that fill all 256 bits: four keys of a line as 64-bit
+    limbs, three of them counted down from 2^64 - 1."""
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+
+    def limb(c):
+        return F.unhex(F.lpad(F.hex(c.cast("bigint")), 16, "0"))
+
+    return li.select(
+        F.col("l_shipdate").alias("block_time"), F.to_date("l_shipdate").alias("block_date"),
+        F.concat(*(limb(F.lit(-1) - F.col(c)) for c in ("l_partkey", "l_linenumber")), limb(F.col("l_suppkey")),
+                 limb(F.lit(-1) - F.col("l_orderkey"))).alias("data"))
+
+
 def tron_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem").select(
         "l_extendedprice", "l_returnflag", "l_shipdate")
@@ -231,18 +245,16 @@ def nation_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     # Customers join the orders (a quarter of the lines) first, then the lines
-    # once; nations join last, both lookups over one projection, so that one
-    # broadcast serves both.
+    # once. Lines are summed per pair of nation keys, and only these few sums
+    # get names (a name can stand for several keys, so it sums again).
     buyers = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "c_nationkey")
-    flows = (li.join(buyers, li.l_orderkey == buyers.o_orderkey)
+    keyed = (li.join(buyers, li.l_orderkey == buyers.o_orderkey)
                .join(supp, F.col("l_suppkey") == supp.s_suppkey)
-               .join(sn, F.col("s_nationkey") == F.col("sn.n_nationkey"), "inner")
-               .join(cn, F.col("c_nationkey") == F.col("cn.n_nationkey"), "inner")
-               .select(F.col("sn.n_name").alias("source_node"),
-                       F.col("cn.n_name").alias("target_node"), "l_extendedprice"))
-    return (flows.groupBy("source_node", "target_node")
-            .agg((F.sum(cents("l_extendedprice")) * F.lit(Decimal("0.000001")))
-                 .alias("value_usd_m")))
+               .groupBy("s_nationkey", "c_nationkey").agg(F.sum(cents("l_extendedprice")).alias("cents")))
+    return (keyed.join(sn, F.col("s_nationkey") == F.col("sn.n_nationkey"))
+                 .join(cn, F.col("c_nationkey") == F.col("cn.n_nationkey"))
+                 .groupBy(F.col("sn.n_name").alias("source_node"), F.col("cn.n_name").alias("target_node"))
+                 .agg((F.sum("cents").cast("decimal(28,2)") * F.lit(Decimal("0.000001"))).alias("value_usd_m")))
 
 
 CHAIN_TABLES = {
@@ -253,5 +265,6 @@ CHAIN_TABLES = {
     "lending_borrow": lending_borrow,
     "thorchain_swaps": thorchain_swaps,
     "tron_logs": tron_logs,
+    "wide_logs": wide_logs,
     "tron_transactions": tron_transactions,
 }

@@ -58,18 +58,27 @@ def test_native_proxy_and_channel_total(spark):
     assert combine_channels(both, ["a", "b"], "t").first().t == Decimal("1.500")
 
 
-def test_unreadable_payload_is_reported_and_the_rest_summed(spark):
+def test_payloads_of_256_bits_are_summed_and_longer_ones_reported(spark):
     from flowtrace.operators.channels import (decode_token_transfers, large_transfer_daily,
                                               unreadable_logs)
     day = dt.datetime(2026, 4, 20, 5)
-    rows = [(day, day.date(), bytes([i]), b"a", b"b", w.to_bytes(32, "big"), b"c", b"t")
-            for i, w in enumerate((2 ** 200, 2 ** 70, 7 * 10 ** 12))]
+    words = [2 ** 200, 2 ** 70, 7 * 10 ** 12, 9 * 10 ** 6, 10 ** 7, 10 ** 7 + 1]
+    data = [w.to_bytes(32, "big") for w in words] + [b"\x01" + bytes(32), None, bytes(8) + (5 * 10 ** 12).to_bytes(32, "big")]
+    rows = [(day, day.date(), bytes([i]), b"a", b"b", d, b"c", b"t") for i, d in enumerate(data)]
     logs = spark.createDataFrame(
         rows, "block_time timestamp, block_date date, tx_hash binary, tx_from binary, tx_to binary, "
               "data binary, contract_address binary, topic0 binary")
     decoded = decode_token_transfers(logs, contract=b"c", topic0=b"t", exact=True)
-    assert {"tx_from", "tx_to"} <= set(decoded.columns)
-    out = large_transfer_daily(decoded, 10, exact=True).collect()
-    assert [(r.transfer_count, r.total_volume_m) for r in out] == [
-        (2, round(Decimal(2 ** 70 + 7 * 10 ** 12).scaleb(-12), 3))]
-    assert [bytes(r.tx_hash) for r in unreadable_logs(logs).collect()] == [b"\x00"]
+    assert {"tx_from", "tx_to", "raw", "amount"} <= set(decoded.columns)
+    total = 2 ** 200 + 2 ** 70 + 7 * 10 ** 12 + 10 ** 7 + 1 + 5 * 10 ** 12
+    for kept, bound in ((decoded, 10), (decode_token_transfers(
+            logs, contract=b"c", topic0=b"t", exact=True, min_amount=10), None)):
+        out = large_transfer_daily(kept, bound, exact=True).collect()
+        assert [r.transfer_count for r in out] == [5]  # 10 itself is not above 10
+        assert abs(out[0].total_volume_m - total / 1e12) <= 1e-15 * total / 1e12
+    small = large_transfer_daily(decoded.where("raw.l3 = 0"), 10, exact=True).first()
+    assert small.total_volume_m == float(round(Decimal(total - 2 ** 200).scaleb(-12), 3))
+    assert [bytes(r.tx_hash) for r in unreadable_logs(logs).collect()] == [b"\x06"]
+    doubles = decode_token_transfers(logs, contract=b"c", topic0=b"t")
+    assert doubles.where("tx_hash = X'00'").first().amount == 2 ** 200 / 1e6
+    assert large_transfer_daily(doubles, 10).first().transfer_count == 5

@@ -4,13 +4,14 @@ names and values, order-insensitive)."""
 import pytest
 
 import __spark_entry__ as entry
-from flowtrace.plans.bound import QUERIES as OWN
+from flowtrace.plans.bound import QUERIES as LAZY
+from flowtrace.plans.bound import SINKS
 from flowtrace.plans.oracle import oracle_sql
 
 from .compare import compare, duckdb_connection
 from .conftest import SF_ORACLE, SF_SMALL
 
-QUERIES = {name: query for name, query in entry.queries().items() if name in OWN}
+QUERIES = {name: query for name, query in entry.queries().items() if name in {**LAZY, **SINKS}}
 ORACLES = oracle_sql()
 
 
