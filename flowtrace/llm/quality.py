@@ -32,8 +32,8 @@ from flowtrace.llm.tables import table
 SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS = 4096, 2048, 64, 25
 #: A similarity counts by this power; the prior weighs as one of this size.
 SHARPNESS, PRIOR = 8, 1e-3
-#: Bytes of text whose terms are counted at a time.
-PIECE = 1 << 19
+#: Bytes of text whose terms are counted at a time, texts compared at a time.
+PIECE, ROWS = 1 << 19, 200
 
 
 def counts(column) -> np.ndarray:
@@ -143,8 +143,12 @@ class Model:
         return self.idf, self.labels, self.prior, self.projection, self.vectors
 
     def score(self, c: np.ndarray) -> np.ndarray:
+        """Scores of the texts with term counts ``c``, ROWS at a time."""
         if not len(self.labels) or not len(c):
             return np.full(len(c), self.prior)
+        return np.concatenate([self._score(c[a:a + ROWS]) for a in range(0, len(c), ROWS)])
+
+    def _score(self, c: np.ndarray) -> np.ndarray:
         # Rounded, as equal vectors may differ in the last bits of a product.
         cosine = np.round(unit(weighted(c, self.idf), self.projection) @ self.vectors.T, 5)
         k = min(NEIGHBOURS, cosine.shape[1])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowtrace.session import ensure_checkpoint_dir
 
 #: Rows and bytes that go to a Python worker at once: bounds its arrays.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 * 1024 * 1024
+BATCH_ROWS, BATCH_BYTES = 1000, 4 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
