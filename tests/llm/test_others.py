@@ -190,4 +190,4 @@ def test_pipeline(spark):
 
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(QUERIES) < set(entry.queries())
+    assert numbers == list(range(1, 14)) and set(QUERIES) < set(entry.queries())
