@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import window_predicate
 from ..functions.scalars import lit_number, scale_units
-from .membership import as_values, either_side, flag_members
+from .membership import as_values, either_side, flag_members, touching
 from .ordered import ordered_measures, row_number, running_sum
 
 
@@ -169,7 +169,8 @@ def watchlist_roles(df: DataFrame, origin, suspect, labels: Sequence[str], *,
     Literal addresses take the ``IN`` path, which reaches the scan. With
     watchlist tables each address column is flagged once against both lists
     (one join per column), and the filter and the role both read those
-    flags, instead of separate joins for the filter and for the role.
+    flags, instead of separate joins for the filter and for the role. A Bloom
+    filter over the lists drops most other rows before these joins.
     """
     if as_values(origin) is not None and as_values(suspect) is not None:
         watch = as_values(origin) + [v for v in as_values(suspect)
@@ -177,7 +178,8 @@ def watchlist_roles(df: DataFrame, origin, suspect, labels: Sequence[str], *,
         return classify_role(either_side(df, (sender, receiver), watch), origin, suspect,
                              labels, sender=sender, receiver=receiver, out=out)
     s_o, s_s, r_o, r_s = "__ft_s_o", "__ft_s_s", "__ft_r_o", "__ft_r_s"
-    work = flag_members(df, sender, {s_o: origin, s_s: suspect})
+    work = touching(df, (sender, receiver), [origin, suspect])
+    work = flag_members(work, sender, {s_o: origin, s_s: suspect})
     work = flag_members(work, receiver, {r_o: origin, r_s: suspect})
     work = work.where(F.col(s_o) | F.col(s_s) | F.col(r_o) | F.col(r_s))
     role = (F.when(F.col(s_o) & F.col(r_s), F.lit(labels[0]))
