@@ -18,8 +18,10 @@ and skips node pairs that lie in one component. Large trees are cut into
 blocks; pairs of blocks are traversed in separate tasks, except those that lie
 in the hub's component altogether. So a group of near copies that holds a
 third of all rows costs one link each, not one per pair, and no link between
-unconnected texts is lost. (Token hashes have 64 bits; links are decided on
-words.)
+unconnected texts is lost. A group is cut by size first: sets of sizes that
+can't be similar never meet, and a block's bitmaps have about one width and
+bounded bytes together, so that a very long text widens no short ones. (Shingles
+are 64-bit hashes of their words, in the sets, their sizes and the decision.)
 
 Defined results: a null or empty text, or one without words, has no shingles
 and no links; a text of fewer than ``words`` words is one shingle; documents
@@ -27,6 +29,7 @@ without doc_id take no part, of rows that repeat one the smallest text stays;
 other columns are ignored; an empty table gives an empty table.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +47,8 @@ from flowtrace.llm.tables import release, stored, table
 #: slices they travel in.
 SKETCH_MIN, SKETCH_MAX, SKETCH_BYTES, SLICES = 1 << 20, 1 << 23, 192, 64
 #: Bits of a bitmap per token, sets in a leaf, children of an inner node, sets
-#: in a block.
-BITS, LEAF, FANOUT, BLOCK = 4, 16, 8, 1024
+#: in a block, bytes of a block's bitmaps.
+BITS, LEAF, FANOUT, BLOCK, BLOCK_BYTES = 4, 16, 8, 1024, 32 << 20
 
 
 def shingle_sets(column, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -305,6 +308,23 @@ def _meetings():
                 False, F.least(other, o), F.greatest(other, o), other > o))))
 
 
+def _size_class(percent: int):
+    """Classes of sizes, of which similar sets have the same or neighbouring
+    ones: powers of two, or of more where the similarity is below a half."""
+    step = max(1, math.ceil(math.log2(100 / percent)))
+    return F.floor(F.length(F.bin("n")) / step).cast("int")
+
+
+def _cells(present, own):
+    """The cells that a set of class ``own`` takes part in. Cell c holds the
+    classes c and c + 1 of a group; cells that another holds whole are left
+    out, so that a group of one size, or of two neighbouring ones, is one cell."""
+    def has(c):
+        return F.array_contains(present, c)
+
+    return F.filter(F.array(own - 1, own), lambda c: has(c) & (has(c + 1) | ~has(c - 1)))
+
+
 def _plausible(percent: int):
     """Of pairs with both bitmaps, those whose largest possible overlap is
     enough."""
@@ -406,19 +426,25 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     release(groups)
     mixed = rows.groupBy("hub").agg(
         F.min("label").alias("x"), F.max("label").alias("y"),
-        F.max(F.when(F.col("cid") == F.col("hub"), F.col("label"))).alias("main")) \
-        .where("x <> y").select("hub", "main")
-    labelled, rows = rows, stored(rows.join(mixed, "hub").withColumn(
-        "is_main", F.col("label") == F.col("main")), "mixed")
+        F.max(F.when(F.col("cid") == F.col("hub"), F.col("label"))).alias("main"),
+        F.collect_set(_size_class(percent)).alias("present")) \
+        .where("x <> y").select("hub", "main", "present")
+    labelled, rows = rows, stored(rows.join(mixed, "hub").select(
+        "hub", "cid", "n", "label", (F.col("label") == F.col("main")).alias("is_main"),
+        F.explode(_cells(F.col("present"), _size_class(percent))).alias("cell")), "mixed")
     release(labelled)
     several = rows
-    counts = rows.groupBy("hub").agg(
-        F.ceil(F.count_if("is_main") / BLOCK).cast("int").alias("mains"),
-        F.ceil(F.count_if(~F.col("is_main")) / BLOCK).cast("int").alias("others"))
-    rows = rows.join(counts, "hub").join(sets.select(F.col("doc_id").alias("cid"), "bitmap"), "cid")
-    pairs = rows.select("hub", "cid", "n", "label", "bitmap", F.explode(_meetings()).alias("at")) \
-        .select("hub", "cid", "n", "label", "bitmap", "at.*") \
-        .groupBy("hub", "main", "low", "high").applyInArrow(_traversed(percent), "a long, b long").distinct()
+    # A bitmap has at most as many bytes as its set has shingles, or eight.
+    share = F.greatest(F.lit(1 / BLOCK), F.max("n") / BLOCK_BYTES)
+    counts = rows.groupBy("hub", "cell").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"),
+        F.ceil(F.count_if("is_main") * share).cast("int").alias("mains"),
+        F.ceil(F.count_if(~F.col("is_main")) * share).cast("int").alias("others")) \
+        .where("x <> y").drop("x", "y")
+    rows = rows.join(counts, ["hub", "cell"]).join(sets.select(F.col("doc_id").alias("cid"), "bitmap"), "cid")
+    pairs = rows.select("hub", "cell", "cid", "n", "label", "bitmap", F.explode(_meetings()).alias("at")) \
+        .select("hub", "cell", "cid", "n", "label", "bitmap", "at.*") \
+        .groupBy("hub", "cell", "main", "low", "high").applyInArrow(_traversed(percent), "a long, b long").distinct()
     edges = edges.unionByName(verified(pairs, checked=True))
     joined = components(edges)
     result = stored(members.join(joined, members.cid == joined.node, "left").select(

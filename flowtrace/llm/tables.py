@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtrace.session import ensure_checkpoint_dir
@@ -60,10 +60,26 @@ def one_row_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def one_whole_row_per_id(docs: DataFrame) -> DataFrame:
-    """As :func:`one_row_per_id`, with all columns."""
-    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1)
-    if not odd.count():
-        return docs
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return docs.where("doc_id is not null").withColumn("_place", place).where("_place = 1").drop("_place")
+def with_row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(``docs`` with one more column, its name): a long per row, unique.
+
+    It is doc_id where that is present and belongs to one row only. Other rows
+    get keys above all ids (below, if ids reach 2^62), those of one partition
+    in (doc_id, text) order, and are written once, so that every reader sees
+    the same keys. Ids are expected to leave 2^62 keys free at one end.
+    """
+    key = "row"
+    while key in docs.columns:
+        key += "_"
+    ids = docs.groupBy("doc_id").count()
+    odd = ids.where("count > 1 or doc_id is null").select(F.col("doc_id").alias("shared"), F.lit(True).alias("odd"))
+    if not odd.limit(1).count():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = low or 0, high or 0
+    first = high + 1 if high < 2 ** 62 else low - 2 ** 62
+    rows = docs.select(F.struct(*docs.columns).alias("doc")).join(
+        odd, F.col("doc.doc_id").eqNullSafe(F.col("shared")), "left")
+    rows = rows.sortWithinPartitions("doc.doc_id", "doc.text").withColumn("key", F.when(
+        F.col("odd"), F.lit(first) + F.monotonically_increasing_id()).otherwise(F.col("doc.doc_id")))
+    return stored(rows.select("doc.*", F.col("key").cast("long").alias(key)), "keyed"), key
