@@ -1,16 +1,17 @@
 """The document pipeline: five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and
-returns a DataFrame; all but the last keep the columns of documents. Rows
-without doc_id leave at the near-duplicate stage, as do all but the smallest
-text of rows that repeat one; the stages' operators define the other cases.
+returns a DataFrame; all but the last keep the columns of documents. Every row
+counts on its own: rows without doc_id, and rows that share one, are compared
+and kept or dropped by their own texts. The stages' operators define the other
+cases.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtrace.llm import byte_bpe, decontamination, jaccard_join, pii, quality
-from flowtrace.llm.tables import bounded_batches, one_whole_row_per_id, stored, table
+from flowtrace.llm.tables import bounded_batches, stored, table, with_row_keys
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,17 +21,20 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked by similarity, the one with the smallest id."""
+    """Of documents that are linked by similarity, the one with the smallest
+    id; rows without an id of their own come after those that have one."""
     bounded_batches(spark)
-    docs = one_whole_row_per_id(docs)
-    kept = jaccard_join.similar(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    keyed, key = with_row_keys(docs)
+    linked = jaccard_join.similar(keyed.select(F.col(key).alias("doc_id"), "text"))
+    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return keyed.join(kept, key, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with a benchmark item."""
-    found = decontamination.hits(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    keyed, key = with_row_keys(docs)
+    found = decontamination.hits(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
