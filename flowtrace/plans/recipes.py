@@ -198,7 +198,7 @@ def aave_contagion(supply: DataFrame, borrow: DataFrame, *, window=K.CONTAGION_W
         (b, "block_time", {"eth_borrowed": ("sum", "amount"),
                            "eth_borrowed_usd": ("sum", "amount_usd"),
                            "borrow_tx_count": ("count", None)})], "hour", "hour_bucket")
-    cum = series.running_total(aligned, "eth_borrowed", "_cum", ["hour_bucket"])
+    cum = series.running_total(aligned, "eth_borrowed", "_cum", ["hour_bucket"], frame="rows")
     out = cum.select(
         "hour_bucket",
         _final(F.round("rseth_supplied", 2), exact).alias("rseth_supplied"),
@@ -229,7 +229,7 @@ def aave_tvl_drop(supply: DataFrame, borrow: DataFrame, *, window=K.TVL_WINDOW,
             "transaction_type", "amount_usd", "deposit", "withdraw"))}),
         (b, "block_time", {"net_borrow_usd": ("sum", series.signed_amount(
             "transaction_type", "amount_usd", "borrow", "repay"))})], "day", "day_bucket")
-    cum = series.running_total(aligned, "net_supply_usd", "_cum", ["day_bucket"])
+    cum = series.running_total(aligned, "net_supply_usd", "_cum", ["day_bucket"], frame="rows")
     flagged = series.period_flag(cum, "day_bucket", pivot, labels)
     out = flagged.select(
         "day_bucket",
@@ -295,7 +295,7 @@ def arbitrum_intervention(txs: DataFrame, *, council=K.ARBITRUM_SECURITY_COUNCIL
         _shown(F.col("_sum") * lit_number(price, exact), 3, exact, decimals, 6)
         .alias("usd_volume_m"))
     cum = series.running_total(hourly, "eth_volume", "_cum", ["hour_bucket"],
-                               partition_by=["flow_direction"])
+                               partition_by=["flow_direction"], frame="rows")
     out = cum.select(
         "hour_bucket", F.col("flow_direction").alias("flow_type"), "tx_count",
         _final(F.col("eth_volume"), exact).alias("eth_volume"),

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 from decimal import Decimal
 
 from hypothesis import HealthCheck, given, settings
@@ -90,3 +91,58 @@ def test_hot_key_results(spark):
                  plain(df, ["t", "h"], "c", "v"))
     rn = ordered_measures(df, ["t", "h"], [row_number("rn"), running_sum("c", "v", "rows")])
     assert sorted(r.rn for r in rn.collect()) == list(range(1, 3001))
+
+
+def _largest_share(spark, df):
+    """The largest part of the rows that one of 64 tasks ends up with."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return max(sizes) / sum(sizes)
+
+
+def _moves(spark, hot, rest):
+    day = dt.datetime(2026, 4, 18)
+    return spark.createDataFrame(
+        hot + [(day + dt.timedelta(seconds=i), hashlib.sha256(b"r%d" % i).digest(), i % 5, Decimal(i % 11 - 5))
+               for i in range(rest)], "t timestamp, h binary, i int, v decimal(10,0)")
+
+
+def test_hot_instant_spreads_over_tasks(spark):
+    """A third of all rows in one block: its hashes cut it, and every result
+    is that of the plain window, for 1 and 64 input partitions."""
+    at = dt.datetime(2026, 4, 18, 17, 37)
+    df = _moves(spark, [(at, hashlib.sha256(b"h%d" % (i // 2)).digest(), i % 2, Decimal(i % 7)) for i in range(2000)],
+                4000)
+    for keys, frame in ((["t", "h"], "range"), (["t", "h", "i"], "rows")):
+        results = [ordered_measures(df.repartition(n), keys, [running_sum("c", "v", frame)]) for n in (1, 64)]
+        want = plain(df, keys, "c", "v", frame=frame)
+        assert all(_same(r, want) for r in results)
+        assert _largest_share(spark, results[1]) < 0.1
+
+
+def test_hot_transaction_is_cut_by_its_log_indexes(spark):
+    at, one = dt.datetime(2026, 4, 18, 17, 37), hashlib.sha256(b"one").digest()
+    df = _moves(spark, [(at, one, i, Decimal(i % 7)) for i in range(65536)], 1000)
+    out = ordered_measures(df, ["t", "h", "i"], [row_number("rn"), running_sum("c", "v", "rows")])
+    want = plain(plain(df, ["t", "h", "i"], "rn", None), ["t", "h", "i"], "c", "v", frame="rows")
+    assert _same(out, want)
+    assert _largest_share(spark, out) < 0.5
+
+
+def test_digits_keep_the_order_of_negative_null_and_short_keys(spark):
+    data = [(None if i % 7 == 0 else dt.datetime(2026, 4, 18, i % 3), None if i % 5 == 0 else s, n, Decimal(i))
+            for i, (s, n) in enumerate((s, n) for s in ("", "a", "abcd", "abcde", "ab", "é", "\U0001f600b", "zz")
+                                       for n in (-5000, -4096, -1, 0, 4095, 4096, None, 9000))]
+    df = spark.createDataFrame(data, "t timestamp, s string, n int, v decimal(10,0)")
+    df = df.withColumn("b", F.col("s").cast("binary"))
+    for keys in (["t", "s", "n"], ["t", "b", "n"], ["t", "n", "s"], ["s", "n", "t"], ["t", "n"], ["n", "t", "s"]):
+        for frame in ("range", "rows"):
+            unique = keys if frame == "range" else [*keys, "v"]
+            assert _same(ordered_measures(df, unique, [running_sum("c", "v", frame)]),
+                         plain(df, unique, "c", "v", frame=frame)), (keys, frame)
