@@ -12,9 +12,10 @@ precision; the best of every table and bucket are merged.
 
 Equal vectors are indexed and searched once. A distinct vector carries its
 smallest ``k + 1`` ids, more can't be among anyone's best. Buckets are cut
-into salted blocks of about ``BLOCK`` members and a probe visits all blocks
-of its bucket, so no bucket is gathered whole and none is cut short. A query
-whose buckets hold fewer than k others is answered exactly: it meets every
+into salted blocks of about ``BLOCK`` members, the queries that visit one into
+parts of about ``QUERIES``; every part meets every block of its bucket in a task
+of its own, so no bucket and no crowd of queries is gathered whole and none is
+cut short. A query whose buckets hold fewer than k others is answered exactly: it meets every
 vector, in blocks of about ``BLOCK`` members and as many queries.
 
 Defined results: vectors that are null, empty, zero, of another length than
@@ -36,8 +37,8 @@ from flowtrace.llm.tables import stored, table
 
 #: Projections per table, cell width, tables, buckets visited per table.
 FUNCTIONS, WIDTH, TABLES, PROBES = 6, 2.0, 4, 60
-#: Members in a block, ids of equal vectors, seed of the projections.
-BLOCK, SEED = 4096, 20240229
+#: Members in a block, queries in a part, seed of the projections.
+BLOCK, QUERIES, SEED = 4096, 4096, 20240229
 
 
 def probes(place: np.ndarray, count: int) -> np.ndarray:
@@ -212,17 +213,25 @@ def search(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     members = stored(reps.select("rep", "vector").mapInArrow(
         _indexer(hashing), "bucket long, rep long, vector array<double>"), "index")
     blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(blocks, "bucket").select(
-        "bucket", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int").alias("block"), "rep", "vector")
     # Distinct query vectors, by the representative of their equals.
     asked = rows.where(is_query).select("vec_id", "key", "vector") \
         .join(reps.withColumnRenamed("vector", "same"), "key").where("vector = same").select("vec_id", "rep")
     asked = stored(asked, "queries")
     distinct = asked.select("rep").distinct().join(reps, "rep").select("rep", "vector")
-    visits = distinct.mapInArrow(_prober(hashing), "bucket long, query long").join(blocks, "bucket").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query")
+    visits = stored(distinct.mapInArrow(_prober(hashing), "bucket long, query long").join(blocks, "bucket"), "visits")
+    # A bucket is cut on both sides: blocks of members meet parts of queries.
+    # Members of buckets that no query visits stay where they are.
+    parts = visits.groupBy("bucket").agg(F.max("blocks").alias("blocks"),
+                                         F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    members = members.join(parts, "bucket").select(
+        "bucket", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "vector")
+    visits = visits.join(parts.select("bucket", "parts"), "bucket").select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("query", "bucket"), F.col("parts")).cast("int").alias("part"), "query")
     visits = visits.join(distinct.select(F.col("rep").alias("query"), "vector"), "query")
-    found = members.groupBy("bucket", "block").cogroup(visits.groupBy("bucket", "block")).applyInArrow(
+    meeting = ["bucket", "block", "part"]
+    found = members.groupBy(*meeting).cogroup(visits.groupBy(*meeting)).applyInArrow(
         _ranked(k + 1), "query long, rep long, score double")
     # A pair has one score, whichever table found it.
     found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))

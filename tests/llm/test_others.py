@@ -92,6 +92,18 @@ def test_neighbours_with_ties_copies_and_bad_vectors(spark, monkeypatch):
     assert neighbours.search(df.where("vec_id >= 1000"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("members, queries", [(7, 3), (1000, 3), (7, 1000)])
+def test_neighbours_do_not_depend_on_how_buckets_are_cut(spark, monkeypatch, members, queries):
+    bounded_batches(spark)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(12).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = found(neighbours.search(df, F.lit(True), 5))
+    monkeypatch.setattr(neighbours, "BLOCK", members)
+    monkeypatch.setattr(neighbours, "QUERIES", queries)
+    assert found(neighbours.search(df, F.lit(True), 5)) == whole and len(whole) == 300
+
+
 @pytest.mark.parametrize("n", [15, 400])
 def test_neighbours_no_query_misses_what_there_is(spark, monkeypatch, n):
     """One vector of huge norm sends all others to other cells than the
