@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     bounded_batches(spark)
     keyed, key = with_row_keys(docs)
     linked = jaccard_join.similar(keyed.select(F.col(key).alias("doc_id"), "text"))
-    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias(key))
-    return keyed.join(kept, key, "left_semi").select(docs.columns)
+    copies = stored(linked.where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "copies")
+    return jaccard_join.without(keyed, copies, key).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -362,6 +362,13 @@ def _verified(words: int, percent: int):
     return run
 
 
+def without(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not ``listed`` (stored, so that its size is
+    known and a short list is broadcast). Naming the rows that go, which are
+    mostly few, keeps the ones that stay out of a shuffle."""
+    return rows.join(listed.select(key), key, "left_anti")
+
+
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: documents link
     when 100 * intersection >= percent * union of their shingle sets."""
@@ -375,9 +382,8 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
                      .select("doc_id", "n", F.coalesce("cid", "doc_id").alias("cid")), "members")
 
     # Tokens that several classes have; one token of those with equal lists.
-    owners = members.where("doc_id = cid and n > 0").select("cid")
-    postings = sets.join(owners, sets.doc_id == owners.cid, "left_semi") \
-        .select(F.col("doc_id").alias("cid"), F.explode("tokens").alias("token"))
+    copies = stored(members.where("doc_id <> cid").select("doc_id"), "copies")
+    postings = without(sets, copies, "doc_id").select(F.col("doc_id").alias("cid"), F.explode("tokens").alias("token"))
     shared = stored(postings.repartition(parts, "token").sortWithinPartitions("token")
                     .mapInArrow(_shared, "cid long, token long"), "postings")
     lists = stored(shared.groupBy("token").agg(
@@ -390,7 +396,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sizes = sets.select(F.col("doc_id").alias("cid"), "n")
     found, shared = shared, stored(
         shared.join(tokens, "token").join(degree, "cid").join(sizes, "cid"), "shared")
-    release(found, lists)
+    release(copies, found, lists)
     hub_of = shared.groupBy("token").agg(F.max(F.struct("degree", (-F.col("cid")).alias("c"))).alias("h")) \
         .select("token", (-F.col("h.c")).alias("hub"))
     # Tokens with one hub are one group: who shares a token shares its hub.
