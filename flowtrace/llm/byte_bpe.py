@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtrace.llm.arrays import binary_array, gather_slices, ranges, text_buffers
+from flowtrace.llm.arrays import binary_array, gather_slices, pieces, ranges, returning, text_buffers
 from flowtrace.llm.tables import table
 
 #: Positions in a chunk, and of a chunk in work at a time.
@@ -183,7 +183,7 @@ def _chunker(buckets: int, want_words: bool, chunk_tokens: int):
             return _rows([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()),
                           ("sizes", pa.binary()), ("words", pa.binary())], rows)
 
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in pieces(batch, "text")):
             data, offsets = text_buffers(batch.column("text"))
             starts, before = pre_tokens(data, offsets, classes)
             coded = binary_array(data, np.append(starts, len(data))).dictionary_encode() if len(starts) \
@@ -272,9 +272,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str,
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = docs.mapInArrow(_chunker(buckets, True, chunk_tokens), _WORDS) \
-        .repartition(buckets, "bucket").mapInArrow(_encoder(rank_file, pattern), _IDS)
-    positions = docs.mapInArrow(_chunker(buckets, False, chunk_tokens), _POSITIONS)
+    words = docs.mapInArrow(returning(_chunker(buckets, True, chunk_tokens)), _WORDS) \
+        .repartition(buckets, "bucket").mapInArrow(returning(_encoder(rank_file, pattern)), _IDS)
+    positions = docs.mapInArrow(returning(_chunker(buckets, False, chunk_tokens)), _POSITIONS)
     return positions.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(
         _reassemble, "doc_id long, ids array<int>")
 
@@ -288,7 +288,7 @@ def _decoder(rank_file: str):
             tokens[rank] = token
         offsets = np.append(0, np.cumsum([len(t) for t in tokens]))
         data = np.frombuffer(b"".join(tokens), np.uint8)
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in pieces(batch, "ids")):
             column = batch.column("ids")
             ids = column.flatten().to_numpy()
             counts = column.value_lengths().fill_null(0).to_numpy()
@@ -305,7 +305,7 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     """(doc_id, ids, decoded) of every row of (doc_id, ids): the bytes of the
     token-byte table, joined in order."""
     return encoded.select("doc_id", "ids").mapInArrow(
-        _decoder(rank_file), "doc_id long, ids array<int>, decoded binary")
+        returning(_decoder(rank_file)), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

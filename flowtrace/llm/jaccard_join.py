@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtrace.llm.arrays import (gram_hashes, lower_ascii, mix, ranges, text_buffers, word_hashes,
-                                  word_spans)
+from flowtrace.llm.arrays import (gram_hashes, lower_ascii, mix, pieces, ranges, returning, text_buffers,
+                                  word_hashes, word_spans)
 from flowtrace.llm.components import components
 from flowtrace.llm.repeats import prepared
 from flowtrace.llm.tables import release, stored, table
@@ -49,6 +49,8 @@ SKETCH_MIN, SKETCH_MAX, SKETCH_BYTES, SLICES = 1 << 20, 1 << 23, 192, 64
 #: Bits of a bitmap per token, sets in a leaf, children of an inner node, sets
 #: in a block, bytes of a block's bitmaps.
 BITS, LEAF, FANOUT, BLOCK, BLOCK_BYTES = 4, 16, 8, 1024, 32 << 20
+#: Tokens that go to the sketch at once.
+HELD = 1 << 17
 
 
 def shingle_sets(column, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,16 +84,13 @@ def _counts(words: int, slots: int):
     """A task's share of the counting sketch, in slices."""
 
     def run(batches):
-        total, held, size = np.zeros(slots, np.uint32), [], 0
+        total = np.zeros(slots, np.uint32)
         for batch in batches:
-            grams, _ = shingle_sets(batch.column("text"), words)
-            held.append((grams % np.uint64(slots)).astype(np.int64))
-            size += len(grams)
-            if size > slots // 4:
-                total += np.bincount(np.concatenate(held), minlength=slots).astype(np.uint32)
-                held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=slots).astype(np.uint32)
+            for piece in pieces(batch, "text"):
+                grams, _ = shingle_sets(piece.column("text"), words)
+                for a in range(0, len(grams), HELD):
+                    at, many = np.unique(grams[a:a + HELD] % np.uint64(slots), return_counts=True)
+                    total[at.astype(np.int64)] += many.astype(np.uint32)
         packed = [pa.compress(part.astype("<u4").tobytes(), codec="zstd", asbytes=True)
                   for part in total.reshape(SLICES, -1)]
         yield pa.RecordBatch.from_arrays(
@@ -124,7 +123,7 @@ def token_levels(docs: DataFrame, words: int) -> np.ndarray:
             [pa.array([key[0].as_py()], pa.int32()),
              pa.array([np.minimum(total, 2 ** 32 - 1).astype("<u4").tobytes()], pa.binary())], ["slice", "counts"])
 
-    rows = docs.mapInArrow(_counts(words, slots), "slice int, counts binary").groupBy("slice") \
+    rows = docs.mapInArrow(returning(_counts(words, slots)), "slice int, counts binary").groupBy("slice") \
         .applyInArrow(summed, "slice int, counts binary").collect()
     parts = {r["slice"]: np.frombuffer(r["counts"], "<u4") for r in rows}
     counts = np.concatenate([parts.get(k, np.zeros(slots // SLICES, np.uint32)) for k in range(SLICES)])
@@ -148,10 +147,13 @@ def bitmaps(grams: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 def _rows_of(maps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bitmaps as rows of 64-bit words, bits set in each as it is): narrow
     ones are repeated up to the widest, which keeps every bit that folds."""
-    words = max(map(len, maps)) // 8
-    arrays = [np.frombuffer(m, "<u8") for m in maps]
-    return (np.stack([np.tile(a, words // len(a)) for a in arrays]),
-            np.array([int(np.bitwise_count(a).sum()) for a in arrays]))
+    rows = np.empty((len(maps), max(map(len, maps)) // 8), np.uint64)
+    count = np.empty(len(maps), np.int64)
+    for k, bitmap in enumerate(maps):
+        own = np.frombuffer(bitmap, "<u8")
+        rows[k].reshape(-1, len(own))[:] = own
+        count[k] = np.bitwise_count(own).sum()
+    return rows, count
 
 
 def _describe(words: int, percent: int, level: np.ndarray):
@@ -160,7 +162,7 @@ def _describe(words: int, percent: int, level: np.ndarray):
     def run(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in pieces(batch, "text")):
             grams, offsets = shingle_sets(batch.column("text"), words)
             sizes = np.diff(offsets)
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -348,7 +350,7 @@ def _verified(words: int, percent: int):
     """Of pairs with both texts, those that are similar."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in pieces(batch, "text_a", "text_b")):
             x, at_x = shingle_sets(batch.column("text_a"), words)
             y, at_y = shingle_sets(batch.column("text_b"), words)
             good = []
@@ -375,7 +377,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     docs = prepared(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = stored(docs.mapInArrow(
-        _describe(words, percent, token_levels(docs, words)),
+        returning(_describe(words, percent, token_levels(docs, words))),
         "doc_id long, n long, digest binary, bitmap binary, tokens array<long>"), "sets")
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("cid"))
     members = stored(sets.select("doc_id", "n", "digest").join(classes, "digest", "left")
@@ -385,7 +387,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     copies = stored(members.where("doc_id <> cid").select("doc_id"), "copies")
     postings = without(sets, copies, "doc_id").select(F.col("doc_id").alias("cid"), F.explode("tokens").alias("token"))
     shared = stored(postings.repartition(parts, "token").sortWithinPartitions("token")
-                    .mapInArrow(_shared, "cid long, token long"), "postings")
+                    .mapInArrow(returning(_shared), "cid long, token long"), "postings")
     lists = stored(shared.groupBy("token").agg(
         F.count("*").alias("many"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("list")), "lists")
     tokens = lists.groupBy("many", "list").agg(F.min("token").alias("token")).select("token", "many")
@@ -417,7 +419,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         links = stored(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-                       .mapInArrow(_verified(words, percent), "a long, b long"), "edges")
+                       .mapInArrow(returning(_verified(words, percent)), "a long, b long"), "edges")
         release(pairs, texts)
         return links
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtrace.llm.arrays import text_buffers, word_hashes, word_spans
+from flowtrace.llm.arrays import returning, text_buffers, word_hashes, word_spans
 from flowtrace.llm.tables import table
 
 #: Labelled rows used at most, hashed terms, dimensions, neighbours.
@@ -33,7 +33,7 @@ SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS = 4096, 2048, 64, 25
 #: A similarity counts by this power; the prior weighs as one of this size.
 SHARPNESS, PRIOR = 8, 1e-3
 #: Bytes of text whose terms are counted at a time, texts compared at a time.
-PIECE, ROWS = 1 << 19, 200
+PIECE, ROWS = 1 << 17, 200
 
 
 def counts(column) -> np.ndarray:
@@ -96,7 +96,7 @@ def _frequencies(batches):
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """idf of every term over all documents (TERMS + 2 rows are collected)."""
-    rows = docs.select("text").mapInArrow(_frequencies, "term long, n long") \
+    rows = docs.select("text").mapInArrow(returning(_frequencies), "term long, n long") \
         .groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r.term: r.n for r in rows}
     n = np.array([found.get(t, 0) for t in range(TERMS + 1)])
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 [*batch.columns, pa.array(np.clip(values, 0, 1))], [*batch.schema.names, "score"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, text string, score double").select(
+    return rows.mapInArrow(returning(run), "doc_id long, text string, score double").select(
         "doc_id", held_out().alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "text")
 
@@ -206,7 +206,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(counts(batch.column("text"))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning(run), docs.schema)
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,60 @@
 """How much of a batch a task works on at once, and joins with the rows that
 go instead of those that stay."""
 
+import os
 import random
+import subprocess
+import sys
+import tracemalloc
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
 
 import corpus_pipeline
-from flowtrace.llm import jaccard_join
+from flowtrace.llm import arrays, byte_bpe, jaccard_join
 from flowtrace.llm.tables import stored
 
 from . import brute
 from .conftest import sentence
 
 
+def test_pieces_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(arrays, "PIECE", 20)
+    texts = [None, "", "x" * 50, "ab", None, "y" * 19, "é" * 10, "", "z" * 21, "z", ""]
+    lists = [[], None, [1] * 30, [2], [3, 4], [], [5] * 5, [6], None, [7], [8]]
+    whole = pa.record_batch([pa.array(texts), pa.array(lists, pa.list_(pa.int32()))], ["text", "ids"])
+    for batch in (whole, whole.slice(2, 7), whole.slice(0, 0)):
+        for columns, size in ((["text"], lambda r: len((r["text"] or "").encode())),
+                              (["ids"], lambda r: 4 * len(r["ids"] or [])),
+                              (["text", "text"], lambda r: 2 * len((r["text"] or "").encode()))):
+            parts = [p.to_pylist() for p in arrays.pieces(batch, *columns)]
+            assert [r for p in parts for r in p] == batch.to_pylist()
+            assert all(len(p) == 1 or sum(map(size, p)) <= 20 for p in parts)
+
+
+@pytest.mark.parametrize("name", ["describe", "counts", "decoder"])
+def test_tasks_work_on_pieces_of_a_batch(name):
+    rng = random.Random(1)
+    some = [sentence(rng, 1000) for _ in range(50)]
+    texts = pa.record_batch([pa.array(range(1000)), pa.array(some * 20)], ["doc_id", "text"])
+    ids = pa.record_batch([pa.array(range(1000)), pa.array([[k % 50_000 for k in range(i, i + 1000)] for i in range(1000)],
+                                                           pa.list_(pa.int32()))], ["doc_id", "ids"])
+    run, batch = {"describe": (jaccard_join._describe(5, 80, np.zeros(1 << 20, np.uint8)), texts),
+                  "counts": (jaccard_join._counts(5, 1 << 20), texts),
+                  "decoder": (byte_bpe._decoder(public_tokenizers.path("byte_bpe_50k.tiktoken")), ids)}[name]
+    assert batch.nbytes > 4_000_000
+    for _ in run([batch.slice(0, 1)]):  # imports
+        pass
+    tracemalloc.start()
+    for _ in run([batch]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+
+
 def test_few_copies_leave_the_other_rows_out_of_shuffles(spark, frame, scratch, monkeypatch):
     rng = random.Random(2)
     docs = [(i, sentence(rng, 6)) for i in range(3000)]
@@ -34,3 +78,30 @@ def test_few_copies_leave_the_other_rows_out_of_shuffles(spark, frame, scratch,
         spark.conf.set(threshold, before)
     group = brute.jaccard_components(docs)
     assert got == [(d, t) for d, t in docs if group[d][1] == d]
+
+
+def test_a_finished_task_gives_its_memory_back():
+    code = """
+import re, sys
+import numpy as np
+from flowtrace.llm.arrays import returning
+
+def held():
+    return sum(map(int, re.findall("\\nPss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def run(batches):
+    rows = [bytes(1000) for _ in range(100_000)]
+    pins = [bytes(1000) for _ in range(10)]  # above the others, so that they don't just shrink the heap
+    yield len(rows)
+    del rows
+    kept.extend(pins)
+
+kept, before = [], held()
+assert list(returning(run)([])) == [100_000]
+assert held() - before < 30, held() - before
+"""
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("memory can't be read here")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
