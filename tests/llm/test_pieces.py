@@ -68,7 +68,7 @@ def test_few_copies_leave_the_other_rows_out_of_shuffles(spark, frame, scratch,
     monkeypatch.setattr(jaccard_join, "stored", planned)
     threshold = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(threshold)
-    spark.conf.set(threshold, "8k")  # less than the 3,000 that stay, more than the five that go
+    spark.conf.set(threshold, "3k")  # less than the 3,000 that stay, more than the five that go
     try:
         kept = corpus_pipeline.near_duplicates(spark, frame(docs, scratch), scratch)
         assert "SortMergeJoin" not in plans["postings"]
