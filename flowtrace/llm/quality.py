@@ -79,9 +79,13 @@ def _repeated_words(text: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    total = np.maximum(c.sum(axis=1, keepdims=True), 1)
-    x = np.sqrt(c / total) * idf
-    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    out = np.empty(c.shape, np.float32)
+    for a in range(0, len(c), ROWS):
+        part = c[a:a + ROWS]
+        total = np.maximum(part.sum(axis=1, keepdims=True), 1)
+        x = np.sqrt(part / total) * idf
+        out[a:a + ROWS] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return out
 
 
 def _frequencies(batches):
@@ -104,10 +108,22 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def _featurise(batches):
+    """Term counts, compressed, as most are 0: what the driver collects."""
     for batch in batches:
-        c = counts(batch.column("text")).astype(np.float32)
+        packed = [pa.compress(r.tobytes(), codec="zstd", asbytes=True) for r in counts(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("quality"), pa.array([r.tobytes() for r in c], pa.binary())], ["quality", "counts"])
+            [batch.column("quality"), pa.array(packed, pa.binary())], ["quality", "counts"])
+
+
+def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, labels) of collected rows, by the bytes of the counts and the
+    label: an order of their own, whatever order they arrived in."""
+    c = np.empty((rows.num_rows, TERMS + 1), np.float32)
+    for k, packed in enumerate(rows.column("counts")):
+        c[k] = np.frombuffer(pa.decompress(packed.as_buffer(), c[k].nbytes, codec="zstd"), np.float32)
+    labels = rows.column("quality").to_numpy()
+    order = np.lexsort((labels, c.view(f"S{c.itemsize * c.shape[1]}").ravel()))
+    return c[order], labels[order].astype(np.float32)
 
 
 def held_out():
@@ -174,10 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text") \
         .mapInArrow(_featurise, "quality int, counts binary").limit(sample).toArrow()
-    # In an order of their own, whatever order they arrived in.
-    rows = sorted(zip(rows.column("counts").to_pylist(), rows.column("quality").to_pylist()))
-    c = np.frombuffer(b"".join(r for r, _ in rows), np.float32).reshape(-1, TERMS + 1)
-    return Model.learn(inverse_frequencies(docs), c, np.array([q for _, q in rows], np.float32))
+    return Model.learn(inverse_frequencies(docs), *unpacked(rows))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

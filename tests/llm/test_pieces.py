@@ -11,10 +11,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowtrace.llm import arrays, byte_bpe, jaccard_join
-from flowtrace.llm.tables import stored
+from flowtrace.llm import arrays, byte_bpe, jaccard_join, quality
+from flowtrace.llm.tables import stored, table
 
 from . import brute
 from .conftest import sentence
@@ -105,3 +106,20 @@ assert held() - before < 30, held() - before
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_quality_collects_its_sample_compressed(spark, monkeypatch):
+    """The sample's counts are mostly 0: a quarter of their size at most comes
+    to the driver, and the model learns from the same counts and order."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", name) for name in ("documents", "labels"))
+    collected, learnt, collect = [], [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: collected.append(collect(df)) or collected[-1])
+    monkeypatch.setattr(quality.Model, "learn", staticmethod(lambda idf, c, labels: learnt.append((c, labels))))
+    quality.fit(docs, labels)
+    (c, y), = learnt
+    assert len(c) == collected[0].num_rows > 20 and 4 * collected[0].nbytes < c.nbytes
+    marks = dict(labels.where("quality is not null").where(~quality.held_out())
+                 .groupBy("doc_id").agg(F.max("quality")).collect())
+    texts = [(r.text, marks[r.doc_id]) for r in docs.collect() if r.doc_id in marks]
+    want = sorted(zip((r.tobytes() for r in quality.counts(pa.array([t for t, _ in texts]))), (m for _, m in texts)))
+    assert [r.tobytes() for r in c] == [r for r, _ in want] and y.tolist() == [m for _, m in want]
