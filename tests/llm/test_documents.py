@@ -1,6 +1,7 @@
 """Document operators against plain Python on a small awkward corpus."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from flowtrace.llm import (byte_bpe, decontamination, jaccard_join, phrase_dedup, pii, repeats,
                            suffix_dedup, token_store)
-from flowtrace.llm.tables import bounded_batches
+from flowtrace.llm.tables import bounded_batches, stored
 
 from . import brute
+from .conftest import sentence
 
 
 @pytest.fixture(scope="module")
@@ -100,6 +102,37 @@ def test_no_anchor_is_compared_whole(docs, corpus, monkeypatch, most):
     assert whole == rows(suffix_dedup.deduplicate(docs, 50, keep_first=True))
 
 
+def test_joins_split_hot_anchors(spark, frame, scratch, monkeypatch):
+    """One passage with other text around it, and many copies of one text."""
+    rng = random.Random(5)
+    passage, copy = sentence(rng, 60), sentence(rng, 60)
+    docs = [(i, f"{sentence(rng, 20)} {passage} {sentence(rng, 20)}") for i in range(300)]
+    docs += [(300 + i, copy) for i in range(300)]
+    plans, join = {}, "spark.sql.adaptive.skewJoin."
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false",
+             f"{join}skewedPartitionThresholdInBytes": "1k", f"{join}skewedPartitionFactor": "1.5",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    before = {k: spark.conf.get(k, None) for k in confs}
+
+    def planned(df, name):
+        df.collect()
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(repeats, "stored", planned)
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = rows(suffix_dedup.deduplicate(frame(docs, scratch), 50))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {d: (*g[:3], bytes(g[3])) for d, g in got.items()} == brute.repeated_bytes(docs, 50)
+    for name in ("segments", "listed", "spans"):
+        assert "SortMergeJoin(skew=true)" in plans[name], name
+
+
 @pytest.mark.parametrize("block", [1024, 2])
 def test_jaccard_join(docs, corpus, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
